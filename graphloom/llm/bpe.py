@@ -15,6 +15,7 @@ null doc_id is passed through; other columns are ignored; an empty table gives a
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,10 +301,10 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - done + size, size) + np.arange(done[-1] if len(done) else 0)]
 
 
-_BATCHES: dict[int, Batches] = {}
+_BATCHES: dict[str, Batches] = {}
 
 
-def worker(key: int, ranks: dict[bytes, int]) -> Batches:
+def worker(key: str, ranks: dict[bytes, int]) -> Batches:
     """This worker's encoder of a vocabulary, kept from task to task."""
     if key not in _BATCHES:
         _BATCHES.clear()
@@ -311,13 +312,22 @@ def worker(key: int, ranks: dict[bytes, int]) -> Batches:
     return _BATCHES[key]
 
 
+def named(ranks: dict[bytes, int]) -> str:
+    """A name of the vocabulary's content."""
+    h = hashlib.sha256()
+    for t, i in ranks.items():
+        h.update(b"%d %d " % (i, len(t)) + t)
+    return h.hexdigest()
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether they decode to the text, for every row."""
     docs = texts_of(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    ranks = load(vocabulary)
+    sent, key = docs.sparkSession.sparkContext.broadcast(ranks), named(ranks)
 
     def make():
-        codec = worker(sent.id if hasattr(sent, "id") else id(sent), sent.value)
+        codec = worker(key, sent.value)
 
         def encode(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, off = codec.encode(b.column("text"))
@@ -332,10 +342,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and text of rows of doc_id and token_ids; ids that aren't UTF-8 together are read with U+FFFD. Null ids
     give a null text."""
-    sent = ids.sparkSession.sparkContext.broadcast(load(vocabulary))
+    ranks = load(vocabulary)
+    sent, key = ids.sparkSession.sparkContext.broadcast(ranks), named(ranks)
 
     def make():
-        codec = worker(sent.id if hasattr(sent, "id") else id(sent), sent.value)
+        codec = worker(key, sent.value)
 
         def texts(b: pa.RecordBatch) -> Iterator[str | None]:
             for x in b.column("token_ids"):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, toxicity
+from graphloom.llm import bpe, langid, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_language_id": langid.query,
+    "op8_byte_bpe": bpe.query,
 }
 
 ORACLE: dict[str, str] = {}
