@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, jaccard, langid, toxicity
+from graphloom.llm import bpe, decontam, jaccard, langid, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_language_id": langid.query,
+    "op5_decontamination": decontam.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_byte_bpe": bpe.query,
 }
