@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import langid, toxicity
+from graphloom.llm import bpe, decontam, jaccard, langid, toxicity
 from graphloom.llm.text import table
 from graphloom.session import written
 
@@ -22,7 +22,28 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("language_id", language_id), ("toxicity", non_toxic)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that near copies connect, the document of the least doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and byte-level BPE ids of each document."""
+    return bpe.encoded(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", non_toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("token_ids", token_ids),
+]
 
 #: Models that are fitted and scores that Python makes have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
