@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, decontam, jaccard, langid, toxicity
+from graphloom.llm import bpe, crossent, decontam, jaccard, langid, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontam.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_byte_bpe": bpe.query,
+    "op10_cross_entropy_difference": crossent.query,
 }
 
 ORACLE: dict[str, str] = {}
