@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import WORD, arrow_map, per_document, table, texts_of
+from graphloom.llm.text import WORD, arrow_filter, arrow_map, per_document, table, texts_of
 
 #: Labelled documents that the filters are fitted on, for each language (those of the least hash of doc_id).
 TRAIN_DOCS = 600
