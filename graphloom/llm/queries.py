@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, crossent, decontam, jaccard, langid, toxicity
+from graphloom.llm import bpe, crossent, decontam, jaccard, langid, simple8b, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_language_id": langid.query,
     "op5_decontamination": decontam.query,
+    "op6_simple8b": simple8b.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_byte_bpe": bpe.query,
     "op10_cross_entropy_difference": crossent.query,
