@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.jaccard import _blobs, _join, _split, _starts
-from graphloom.llm.text import Words, arrow_map, column, mix, per_document, table, texts_of
+from graphloom.llm.text import Words, arrow_map, column, mix, per_document, pieces, table, texts_of
 from graphloom.session import ship, written
 
 VOCABULARY, HEAD, MU = 1 << 16, 1 << 10, 500.0
 #: Labelled documents whose ids are sent to all tasks; if there are more, they are joined.
 TARGETS_AT_ONCE = 4_000_000
+#: Bytes of text whose words are sorted at once.
+AT_ONCE = 8 << 20
 UNKNOWN, BOUNDARY = 0, 1
 SCHEMA = "doc_id bigint, n_tokens bigint, ce_target double, ce_background double, score double"
 _WORD = np.dtype([("word", "<u8"), ("target", "<i8"), ("all", "<i8")])
@@ -129,7 +131,7 @@ def vocabulary(docs: DataFrame, buckets: int, size: int = VOCABULARY, head: int
             word, target, every = word[top], target[top], every[top]
         return pa.table({"word": pa.array(word.view(np.int64)), "target": pa.array(target), "all": pa.array(every), "total": pa.array(np.zeros(len(word), bool))})
 
-    rows = arrow_map(docs.select("text", "target"), make, "key int, a binary").groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, total boolean")
+    rows = arrow_map(docs.select("text", "target"), make, "key int, a binary", AT_ONCE).groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, total boolean")
     top = rows.orderBy(F.desc("total"), F.desc("all"), "word").limit(size).toPandas()
     totals, words = top[top.total].sort_values("word"), top[~top.total]
     ids = np.arange(2, 2 + len(words))
@@ -170,7 +172,7 @@ def _postings(docs: DataFrame, sent, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = sent.value
         head = np.zeros((2, vocab.head**2), np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
             flag = b.column("target").to_numpy(zero_copy_only=False)
             runs, posts, keys = [np.zeros(0, _RUN)], [np.zeros(0, _BIGRAM)], [np.zeros(0, np.int64)]
             for i, _, data, off in per_document(b.column("text")):

@@ -38,6 +38,8 @@ from graphloom.session import ship, written
 N, THRESHOLD = 5, 0.5
 #: What it costs to ship and group a subset, where to look at an entry of an inverted list costs 1.
 SUBSET_COST = 4.0
+#: Bytes of text whose n-grams are sorted at once.
+AT_ONCE = 16 << 20
 #: Candidate pairs that are made at once.
 BLOCK = 2_000_000
 
@@ -134,7 +136,7 @@ def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
         return post
 
-    return arrow_map(docs, make, BLOBS)
+    return arrow_map(docs, make, BLOBS, AT_ONCE)
 
 
 def _fresh_counts(owner: list[np.ndarray]) -> Iterator[int]:

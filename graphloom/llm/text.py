@@ -139,15 +139,23 @@ def per_document(texts: pa.Array, most: int = CHUNK, fold: bool = True) -> Itera
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """df through a function of record batches; make() is called once a task."""
+def pieces(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """b in parts of at most that many bytes of text, or of one row."""
+    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    for i, j in slices(off, most):
+        yield b.slice(i, j - i)
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None) -> DataFrame:
+    """df through a function of record batches, of at most that many bytes of text if told so; make() is called once a task."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+        for whole in batches:
+            for b in [whole] if most is None else pieces(whole, most):
+                if b.num_rows and (out := f(b)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
