@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.text import _powers, arrow_map, buffers, mix, slices, table, texts_of
+from graphloom.llm.text import CHUNK, _powers, arrow_map, buffers, mix, slices, table, texts_of
 
 #: A vocabulary of ranks: base64 bytes and the id on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -336,7 +336,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return encode
 
-    return arrow_map(docs, make, SCHEMA)
+    return arrow_map(docs, make, SCHEMA, 8 * CHUNK)
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import PATTERN, VOCABULARY, Batches, load, named
-from graphloom.llm.text import arrow_map, table, texts_of
+from graphloom.llm.text import CHUNK, arrow_map, table, texts_of
 
 BLOCK = 128
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -216,7 +216,7 @@ def documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return f
 
-    return arrow_map(texts_of(docs), make, SCHEMA)
+    return arrow_map(texts_of(docs), make, SCHEMA, 8 * CHUNK)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

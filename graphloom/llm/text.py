@@ -141,7 +141,7 @@ def per_document(texts: pa.Array, most: int = CHUNK, fold: bool = True) -> Itera
 
 def pieces(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """b in parts of at most that many bytes of text, or of one row."""
-    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     for i, j in slices(off, most):
         yield b.slice(i, j - i)
 
@@ -175,11 +175,12 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
-    """The rows of df, all columns, for which a function of record batches says true; make() is called once a task."""
+def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = 8 * CHUNK) -> DataFrame:
+    """The rows of df, all columns, for which a function of record batches, of at most that many bytes of text, says true; make() is called once a
+    task."""
 
     def filtered():
         f = make()
         return lambda b: b.filter(pa.array(f(b), pa.bool_()))
 
-    return arrow_map(df, filtered, df.schema)
+    return arrow_map(df, filtered, df.schema, most)
