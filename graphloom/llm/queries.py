@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, crossent, decontam, jaccard, langid, simple8b, toxicity
+from graphloom.llm import bpe, crossent, decontam, jaccard, langid, simple8b, toxicity, urls, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_language_id": langid.query,
+    "op3_url_filters": urls.query,
     "op5_decontamination": decontam.query,
     "op6_simple8b": simple8b.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_byte_bpe": bpe.query,
+    "op9_warc": warc.query,
     "op10_cross_entropy_difference": crossent.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op9_warc": warc.ORACLE}
