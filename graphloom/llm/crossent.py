@@ -18,7 +18,7 @@ documents the target's counts are zero. Other columns are ignored; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,33 +70,31 @@ class Vocabulary:
         return MU * (counts + 1) / (counts.sum() + len(counts))
 
 
-def tagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, target."""
+def tagged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """doc_id, text, and target where labels had to be joined; and what tells of a batch which documents are the target."""
     docs = texts_of(docs)
     good = labels.select(column(labels, "doc_id", "bigint"), column(labels, "quality", "int")).where("quality > 0 and doc_id is not null").select("doc_id").distinct()
     if good.count() > TARGETS_AT_ONCE:
-        return docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+        docs = docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+        return docs, lambda b: b.column("target").to_numpy(zero_copy_only=False)
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(good.toPandas().doc_id.to_numpy(np.int64)))
 
-    def make():
-        def tag(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            known = sent.value
-            hit = known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids if len(known) else np.zeros(len(ids), bool)
-            hit &= ~b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            return pa.record_batch([*b.columns, pa.array(hit)], names=["doc_id", "text", "target"])
-
-        return tag
+    def is_target(b: pa.RecordBatch) -> np.ndarray:
+        # No second Python process only to add a column.
+        ids = b.column("doc_id")
+        known, none = sent.value, ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+        return (known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids) & ~none if len(known) else np.zeros(len(ids), bool)
 
-    return arrow_map(docs, make, "doc_id bigint, text string, target boolean")
+    return docs, is_target
 
 
-def vocabulary(docs: DataFrame, buckets: int, size: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
+def vocabulary(docs: DataFrame, is_target: Callable, buckets: int, size: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
     """Word counts of all documents, and of these the most frequent words."""
 
     def make():
         def count(b: pa.RecordBatch) -> pa.RecordBatch:
-            flag = b.column("target").to_numpy(zero_copy_only=False)
+            flag = is_target(b)
             parts, which, totals = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], np.zeros((2, 2), np.int64)
             for i, j, data, off in per_document(b.column("text")):
                 w = Words(data, off)
@@ -131,7 +129,7 @@ def vocabulary(docs: DataFrame, buckets: int, size: int = VOCABULARY, head: int
             word, target, every = word[top], target[top], every[top]
         return pa.table({"word": pa.array(word.view(np.int64)), "target": pa.array(target), "all": pa.array(every), "total": pa.array(np.zeros(len(word), bool))})
 
-    rows = arrow_map(docs.select("text", "target"), make, "key int, a binary", AT_ONCE).groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, total boolean")
+    rows = arrow_map(docs, make, "key int, a binary", AT_ONCE).groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, total boolean")
     top = rows.orderBy(F.desc("total"), F.desc("all"), "word").limit(size).toPandas()
     totals, words = top[top.total].sort_values("word"), top[~top.total]
     ids = np.arange(2, 2 + len(words))
@@ -166,14 +164,14 @@ def _counted(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (key[at] >> np.uint64(32)).astype(np.int64), key[at].astype(np.uint32), np.diff(np.append(at, len(key)))
 
 
-def _postings(docs: DataFrame, sent, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, is_target: Callable, sent, buckets: int) -> DataFrame:
     """Kind 0: tail bigrams of a bucket by text; kind 1: counts of a part of the table of head bigrams. The table is sent once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = sent.value
         head = np.zeros((2, vocab.head**2), np.int64)
         for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
-            flag = b.column("target").to_numpy(zero_copy_only=False)
+            flag = is_target(b)
             runs, posts, keys = [np.zeros(0, _RUN)], [np.zeros(0, _BIGRAM)], [np.zeros(0, np.int64)]
             for i, _, data, off in per_document(b.column("text")):
                 code, b_off, has, name = bigrams(data, off, vocab)
@@ -222,7 +220,7 @@ def _postings(docs: DataFrame, sent, buckets: int) -> DataFrame:
             at = _starts(slot * 64 // vocab.head**2)
             yield pa.record_batch([pa.array(np.ones(len(at), np.int32)), pa.array((slot[at] * 64 // vocab.head**2).astype(np.int32)), _blobs(x, np.append(at, len(x))), pa.array([b""] * len(at), pa.binary())], names=["kind", "key", "a", "b"])
 
-    return docs.select("text", "target").mapInArrow(run, "kind int, key int, a binary, b binary")
+    return docs.mapInArrow(run, "kind int, key int, a binary, b binary")
 
 
 def _tail(sent, buckets: int):
@@ -260,7 +258,7 @@ def _total(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table({"text": pa.array(name.view(np.int64)), "target": pa.array(np.bincount(of, x["target"], len(name))), "all": pa.array(np.bincount(of, x["all"], len(name)))})
 
 
-def _own(docs: DataFrame, sent, head_sent) -> DataFrame:
+def _own(docs: DataFrame, is_target: Callable, sent, head_sent) -> DataFrame:
     """Of each document: fingerprint, predictions, and the parts of both losses that need no tail counts."""
 
     def make():
@@ -268,7 +266,7 @@ def _own(docs: DataFrame, sent, head_sent) -> DataFrame:
         priors = [vocab.prior(c) for c in (vocab.target, vocab.all)]
 
         def score(b: pa.RecordBatch) -> pa.RecordBatch:
-            flag = b.column("target").to_numpy(zero_copy_only=False)
+            flag = is_target(b)
             names, counts, losses = np.zeros(len(flag), np.uint64), np.zeros(len(flag), np.int64), np.zeros((2, len(flag)))
             for i, _, data, off in per_document(b.column("text")):
                 code, b_off, has, name = bigrams(data, off, vocab)
@@ -291,7 +289,7 @@ def _own(docs: DataFrame, sent, head_sent) -> DataFrame:
 
         return score
 
-    return arrow_map(docs, make, "doc_id bigint, text bigint, n bigint, t double, a double")
+    return arrow_map(docs, make, "doc_id bigint, text bigint, n bigint, t double, a double", AT_ONCE)
 
 
 def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_words: int = HEAD) -> DataFrame:
@@ -299,15 +297,15 @@ def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_words
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = tagged(docs, labels)
-    sent = spark.sparkContext.broadcast(vocabulary(docs, parts, size, head_words))
-    sums = written(_postings(docs, sent, parts).groupBy("kind", "key").applyInArrow(_tail(sent, parts), "kind int, key int, a binary"), "lm-sums")
+    docs, is_target = tagged(docs, labels)
+    sent = spark.sparkContext.broadcast(vocabulary(docs, is_target, parts, size, head_words))
+    sums = written(_postings(docs, is_target, sent, parts).groupBy("kind", "key").applyInArrow(_tail(sent, parts), "kind int, key int, a binary"), "lm-sums")
     head = np.zeros((2, head_words**2), np.int64)
     for r in sums.where("kind = 1").select("a").collect():  # head_words ** 2 rows of three numbers at most
         x = np.frombuffer(r.a, np.int64).reshape(-1, 3)
         head[:, x[:, 0]] += x[:, 1:].T
     tail = sums.where("kind = 0").groupBy("key").applyInArrow(_total, "text bigint, target double, all double")
-    own = _own(docs, sent, spark.sparkContext.broadcast(head))
+    own = _own(docs, is_target, sent, spark.sparkContext.broadcast(head))
     out = own.join(tail, "text", "left").select(
         "doc_id",
         F.greatest(F.col("n") - 1, F.lit(0)).alias("n_tokens"),
