@@ -5,11 +5,11 @@ mean difference is the document's score, lower for text that is like the target.
     p(w | v) = (c(vw) + MU p(w)) / (c(v) + MU),  p(w) = (c(w) + 1) / (N + size of the vocabulary)
 
 A document runs from a boundary to a boundary, which is predicted too. Bigram counts leave out the document that is
-scored. The vocabulary is the VOCABULARY most frequent words, those of one hash less first among equals; all others are one word.
+scored. The vocabulary is the VOCABULARY most frequent words, those of lesser hash first among equals; all others are one word.
 
-Counts are of all documents. Those of bigrams of the HEAD most frequent words fit a table of fixed size. The others' are never in one
-place: each text sends its bigrams to buckets, which count them and return the text's share of its loss.
-Texts are known by a 64-bit fingerprint, so repeated ones are sent once a batch.
+Counts are of all documents, and the bigrams' are never in one place: texts are written as pieces of some megabytes of word ids; each piece
+sends its distinct bigrams to buckets, which add them up and return the totals of those that other pieces have too; then the piece's documents are
+scored. So what is shipped is a few bytes a bigram of a piece, and a frequent one costs its bucket an entry a piece.
 
 Defined cases: null and empty texts, and texts without a word, aren't counted and have null scores (n_tokens 0). Repeated rows count as often as they
 occur and get equal scores. A null doc_id is passed through and isn't labelled; of several labels the highest counts. Without labelled
@@ -18,29 +18,29 @@ documents the target's counts are zero. Other columns are ignored; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import secrets
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.jaccard import _blobs, _join, _split, _starts
-from graphloom.llm.text import Words, arrow_map, column, mix, per_document, pieces, table, texts_of
+from graphloom.llm.text import Words, arrow_map, column, mix, per_document, table, texts_of
 from graphloom.session import ship, written
 
-VOCABULARY, HEAD, MU = 1 << 16, 1 << 10, 500.0
+VOCABULARY, MU = 1 << 16, 500.0
 #: Labelled documents whose ids are sent to all tasks; if there are more, they are joined.
 TARGETS_AT_ONCE = 4_000_000
-#: Bytes of text whose words are sorted at once.
+#: Bytes of text in a piece.
 AT_ONCE = 8 << 20
 UNKNOWN, BOUNDARY = 0, 1
 SCHEMA = "doc_id bigint, n_tokens bigint, ce_target double, ce_background double, score double"
+PIECES = "piece bigint, doc_ids array<bigint>, targets binary, lengths binary, tokens binary"
 _WORD = np.dtype([("word", "<u8"), ("target", "<i8"), ("all", "<i8")])
-_RUN = np.dtype([("text", "<u8"), ("copies", "<u4"), ("targets", "<u4"), ("count", "<u4")])
-_BIGRAM = np.dtype([("code", "<u4"), ("n", "<u4")])
-_SUM = np.dtype([("text", "<u8"), ("target", "<f8"), ("all", "<f8")])
 
 
 @dataclass
@@ -51,7 +51,6 @@ class Vocabulary:
     ids: np.ndarray
     target: np.ndarray
     all: np.ndarray
-    head: int = HEAD
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -59,13 +58,6 @@ class Vocabulary:
         i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[i] == h, self.ids[i], UNKNOWN).astype(np.uint32)
 
-    def is_head(self, code: np.ndarray) -> np.ndarray:
-        return ((code >> np.uint32(16)) < self.head) & ((code & np.uint32(0xFFFF)) < self.head)
-
-    def slot(self, code: np.ndarray) -> np.ndarray:
-        """Of head bigrams, their place in the table."""
-        return ((code >> np.uint32(16)) * np.uint32(self.head) | code & np.uint32(0xFFFF)).astype(np.int64)
-
     def prior(self, counts: np.ndarray) -> np.ndarray:
         return MU * (counts + 1) / (counts.sum() + len(counts))
 
@@ -89,8 +81,8 @@ def tagged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Callable[[pa.
     return docs, is_target
 
 
-def vocabulary(docs: DataFrame, is_target: Callable, buckets: int, size: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
-    """Word counts of all documents, and of these the most frequent words."""
+def _word_counts(docs: DataFrame, is_target: Callable, buckets: int, most: int) -> pd.DataFrame:
+    """Counts of the most frequent words of each bucket; the first that is left out has cut set. Two rows of totals, of documents and words."""
 
     def make():
         def count(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -118,201 +110,157 @@ def vocabulary(docs: DataFrame, is_target: Callable, buckets: int, size: int = V
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             a = _join(t.column("a"), np.int64).reshape(-1, 2, 2).sum(axis=0)
-            return pa.table({"word": pa.array([0, 1]), "target": pa.array(a[:, 0]), "all": pa.array(a[:, 1]), "total": pa.array([True, True])})
+            return pa.table({"word": pa.array([0, 1]), "target": pa.array(a[:, 0]), "all": pa.array(a[:, 1]), "kind": pa.array(["total"] * 2)})
         x = _join(t.column("a"), _WORD)
         x = x[np.argsort(x["word"])]
         at = _starts(x["word"])
         target, every = (np.add.reduceat(x[c], at) if len(at) else np.zeros(0, np.int64) for c in ("target", "all"))
-        word = x["word"][at]
-        if len(at) > size:  # no more of them can be in the vocabulary
-            top = np.lexsort((word.view(np.int64), -every))[:size]
-            word, target, every = word[top], target[top], every[top]
-        return pa.table({"word": pa.array(word.view(np.int64)), "target": pa.array(target), "all": pa.array(every), "total": pa.array(np.zeros(len(word), bool))})
-
-    rows = arrow_map(docs, make, "key int, a binary", AT_ONCE).groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, total boolean")
-    top = rows.orderBy(F.desc("total"), F.desc("all"), "word").limit(size).toPandas()
-    totals, words = top[top.total].sort_values("word"), top[~top.total]
+        word = x["word"][at].view(np.int64)
+        top = np.lexsort((word, -every))[: most + 1]
+        kind = ["word"] * min(most, len(top)) + ["cut"] * (len(top) - most)
+        return pa.table({"word": pa.array(word[top]), "target": pa.array(target[top]), "all": pa.array(every[top]), "kind": pa.array(kind, pa.string())})
+
+    return arrow_map(docs, make, "key int, a binary", AT_ONCE).groupBy("key").applyInArrow(add, "word bigint, target bigint, all bigint, kind string").toPandas()
+
+
+def vocabulary(docs: DataFrame, is_target: Callable, buckets: int, size: int = VOCABULARY) -> Vocabulary:
+    """Word counts of all documents, and of these the most frequent words. Buckets send somewhat more than their share of them; in the rare case that
+    one holds more, all send as many as there can be."""
+    size -= 2
+    for most in (2 * size // buckets + 16, size):
+        got = _word_counts(docs, is_target, buckets, most)
+        totals = got[got.kind == "total"].sort_values("word")
+        words = got[got.kind == "word"].sort_values(["all", "word"], ascending=[False, True])[:size]
+        cut = got[got.kind == "cut"]["all"].max()
+        if most == size or len(words) == size and not cut >= words["all"].iloc[-1] or np.isnan(cut):
+            break
     ids = np.arange(2, 2 + len(words))
-    counts = [np.concatenate([[0, totals[c].sum() and totals[c].iloc[0]], words[c].to_numpy(np.int64)]).astype(np.int64) for c in ("target", "all")]
-    for x, c in zip(counts, ("target", "all"), strict=True):
-        x[UNKNOWN] = (totals[c].iloc[1] if len(totals) else 0) - words[c].sum()
+    counts = []
+    for c in ("target", "all"):
+        n_docs, n_words = totals[c].tolist() or [0, 0]
+        counts.append(np.concatenate([[n_words - words[c].sum(), n_docs], words[c].to_numpy(np.int64)]).astype(np.int64))
     h = words.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(h[order], ids[order], *counts, head)
-
-
-def bigrams(data: np.ndarray, off: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the bigrams of the documents that have a word, their offsets, these documents, and a fingerprint of each."""
-    w = Words(data, off)
-    n = np.diff(w.off)
-    has = np.flatnonzero(n)
-    b_off = np.concatenate([[0], np.cumsum(n[has] + 1)])
-    token = np.full(b_off[-1], BOUNDARY, np.uint32)
-    inner = np.ones(len(token), bool)
-    inner[b_off[:-1]] = False
-    token[inner] = vocab.of(w.hash)  # each document's first is its boundary
-    after = np.append(token[1:], np.uint32(BOUNDARY))
-    name = mix(w.between(off[:-1][has], off[1:][has]) ^ np.diff(off)[has].astype(np.uint64))
-    return token << np.uint32(16) | after, b_off, has, name
+    return Vocabulary(h[order], ids[order], *counts)
 
 
-def _counted(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes of each document: its index, the code, and how often."""
-    key = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off)) << np.uint64(32) | code
-    key.sort()
-    at = _starts(key)
-    return (key[at] >> np.uint64(32)).astype(np.int64), key[at].astype(np.uint32), np.diff(np.append(at, len(key)))
+def pieces_of(docs: DataFrame, is_target: Callable, sent) -> DataFrame:
+    """Rows of documents as word ids: doc_ids, whether each is of the target, its words, and the ids of all."""
 
-
-def _postings(docs: DataFrame, is_target: Callable, sent, buckets: int) -> DataFrame:
-    """Kind 0: tail bigrams of a bucket by text; kind 1: counts of a part of the table of head bigrams. The table is sent once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
-        head = np.zeros((2, vocab.head**2), np.int64)
-        for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
-            flag = is_target(b)
-            runs, posts, keys = [np.zeros(0, _RUN)], [np.zeros(0, _BIGRAM)], [np.zeros(0, np.int64)]
-            for i, _, data, off in per_document(b.column("text")):
-                code, b_off, has, name = bigrams(data, off, vocab)
-                if not len(has):
-                    continue
-                good = flag[i + has]
-                h = vocab.is_head(code)
-                slot = vocab.slot(code[h])
-                np.add.at(head[1], slot, 1)
-                np.add.at(head[0], slot[np.repeat(good, np.diff(b_off))[h]], 1)
-                name ^= good.astype(np.uint64)
-                _, first, of = np.unique(name, return_index=True, return_inverse=True)
-                doc, c, n = _counted(code, b_off)
-                one = np.zeros(len(has), bool)
-                one[first] = True
-                take = one[doc] & ~vocab.is_head(c)
-                doc, c, n = doc[take], c[take], n[take]
-                bucket = (mix(c.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, bucket))
-                doc, c, n, bucket = doc[order], c[order], n[order], bucket[order]
-                at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                r = np.zeros(len(at), _RUN)
-                copies, targets = np.bincount(of), np.bincount(of, good)
-                r["text"], r["copies"], r["targets"], r["count"] = name[doc[at]], copies[of[doc[at]]], targets[of[doc[at]]], np.diff(np.append(at, len(doc)))
-                p = np.zeros(len(c), _BIGRAM)
-                p["code"], p["n"] = c, n
-                runs.append(r)
-                posts.append(p)
-                keys.append(bucket[at])
-            r, p, k = np.concatenate(runs), np.concatenate(posts), np.concatenate(keys)
-            if not len(r):
-                continue
-            order = np.argsort(k, kind="stable")
-            begin = np.cumsum(r["count"], dtype=np.int64) - r["count"]
-            n = r["count"][order].astype(np.int64)
-            end = np.cumsum(n)
-            p = p[np.repeat(begin[order] - end + n, n) + np.arange(end[-1])]
-            k, r = k[order], r[order]
-            at = _starts(k)
-            cuts = np.append(at, len(k))
-            yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(k[at].astype(np.int32)), _blobs(r, cuts), _blobs(p, np.concatenate([[0], end])[cuts])], names=["kind", "key", "a", "b"])
-        if head.any():
-            # Few slots are filled by a small task: only these are sent, in parts of the table.
-            slot = np.flatnonzero(head[1])
-            x = np.stack([slot, head[0, slot], head[1, slot]], axis=1)
-            at = _starts(slot * 64 // vocab.head**2)
-            yield pa.record_batch([pa.array(np.ones(len(at), np.int32)), pa.array((slot[at] * 64 // vocab.head**2).astype(np.int32)), _blobs(x, np.append(at, len(x))), pa.array([b""] * len(at), pa.binary())], names=["kind", "key", "a", "b"])
-
-    return docs.mapInArrow(run, "kind int, key int, a binary, b binary")
-
-
-def _tail(sent, buckets: int):
-    """Reduces a bucket of tail bigrams: the sum of log numerators of each text, by buckets of texts."""
-
-    def reduce(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    def make():
         vocab = sent.value
-        if key[0].as_py() == 1:
-            x = _join(t.column("a"), np.int64).reshape(-1, 3)
-            slot, of = np.unique(x[:, 0], return_inverse=True)
-            out = np.stack([slot, np.bincount(of, x[:, 1]).astype(np.int64), np.bincount(of, x[:, 2]).astype(np.int64)], axis=1)
-            return pa.table({"kind": pa.array([1], pa.int32()), "key": pa.array([0], pa.int32()), "a": pa.array([out.tobytes()], pa.binary())})
-        runs, post = _join(t.column("a"), _RUN), _join(t.column("b"), _BIGRAM)
-        run = np.repeat(np.arange(len(runs)), runs["count"])
-        code, of = np.unique(post["code"], return_inverse=True)
-        n = post["n"].astype(float)
-        every = np.bincount(of, n * runs["copies"][run])[of]
-        target = np.bincount(of, n * runs["targets"][run])[of]
-        w = post["code"] & np.uint32(0xFFFF)
-        own = n * (runs["targets"][run] > 0)
-        a = n * np.log(every - n + vocab.prior(vocab.all)[w])
-        b = n * np.log(target - own + vocab.prior(vocab.target)[w])
-        name, first = np.unique(runs["text"], return_index=True)
-        out = np.zeros(len(name), _SUM)
-        out["text"], out["target"], out["all"] = name, np.bincount(run, b, len(runs))[first], np.bincount(run, a, len(runs))[first]
-        out, keys, cuts = _split((mix(name) % np.uint64(buckets)).astype(np.int64), out, buckets)
-        return pa.table({"kind": pa.array(np.zeros(len(keys), np.int32)), "key": pa.array(keys.astype(np.int32)), "a": _blobs(out, cuts)})
-
-    return reduce
-
-
-def _total(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    x = _join(t.column("a"), _SUM)
-    name, of = np.unique(x["text"], return_inverse=True)
-    return pa.table({"text": pa.array(name.view(np.int64)), "target": pa.array(np.bincount(of, x["target"], len(name))), "all": pa.array(np.bincount(of, x["all"], len(name)))})
-
-
-def _own(docs: DataFrame, is_target: Callable, sent, head_sent) -> DataFrame:
-    """Of each document: fingerprint, predictions, and the parts of both losses that need no tail counts."""
 
+        def encode(b: pa.RecordBatch) -> pa.RecordBatch:
+            lengths, tokens = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint16)]
+            for _, _, data, off in per_document(b.column("text")):
+                w = Words(data, off)
+                lengths.append(np.diff(w.off).astype(np.uint32))
+                tokens.append(vocab.of(w.hash).astype(np.uint16))
+            n = b.num_rows
+            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("doc_id"))
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (is_target(b), np.concatenate(lengths), np.concatenate(tokens))]
+            return pa.record_batch([pa.array([secrets.randbits(63)]), ids, *blobs], names=["piece", "doc_ids", "targets", "lengths", "tokens"])
+
+        return encode
+
+    return arrow_map(docs, make, PIECES, AT_ONCE)
+
+
+class Piece:
+    """Bigrams of a piece's documents that have a word."""
+
+    def __init__(self, targets: bytes, lengths: bytes, tokens: bytes):
+        flag, n, tok = np.frombuffer(targets, bool), np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(tokens, np.uint16)
+        self.rows, self.docs = len(n), np.flatnonzero(n)
+        self.target, n = flag[self.docs], n[self.docs]
+        self.off = np.concatenate([[0], np.cumsum(n + 1)])
+        token = np.full(self.off[-1], BOUNDARY, np.uint32)
+        inner = np.ones(len(token), bool)
+        inner[self.off[:-1]] = False
+        token[inner] = tok  # each document's first is its boundary
+        self.code = token << np.uint32(16) | np.append(token[1:], np.uint32(BOUNDARY))
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams, how often, and how often in the target."""
+        code, of, n = np.unique(self.code, return_inverse=True, return_counts=True)
+        return code, n, np.bincount(of, self.target[self.doc], len(code)).astype(np.int64)
+
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct values of each document: document, value, how often."""
+        key = self.doc.astype(np.uint64) << np.uint64(32) | x
+        key.sort()
+        at = _starts(key)
+        return (key[at] >> np.uint64(32)).astype(np.int64), key[at].astype(np.uint32), np.diff(np.append(at, len(key)))
+
+
+def _sent(pieces: DataFrame, buckets: int) -> DataFrame:
     def make():
-        vocab, head = sent.value, head_sent.value
-        priors = [vocab.prior(c) for c in (vocab.target, vocab.all)]
-
-        def score(b: pa.RecordBatch) -> pa.RecordBatch:
-            flag = is_target(b)
-            names, counts, losses = np.zeros(len(flag), np.uint64), np.zeros(len(flag), np.int64), np.zeros((2, len(flag)))
-            for i, _, data, off in per_document(b.column("text")):
-                code, b_off, has, name = bigrams(data, off, vocab)
-                if not len(has):
-                    continue
-                good = flag[i + has]
-                names[i + has], counts[i + has] = name ^ good.astype(np.uint64), np.diff(b_off)
-                doc, v, n = _counted(code >> np.uint32(16), b_off)
-                for k, c in enumerate((vocab.target, vocab.all)):
-                    mine = n * good[doc] if k == 0 else n
-                    losses[k, i + has] += np.bincount(doc, n * np.log(c[v] - mine + MU), len(has))
-                doc, c, n = _counted(code, b_off)
-                h = vocab.is_head(c)
-                doc, c, n = doc[h], c[h], n[h]
-                slot = vocab.slot(c)
-                for k in range(2):
-                    mine = n * good[doc] if k == 0 else n
-                    losses[k, i + has] -= np.bincount(doc, n * np.log(head[k, slot] - mine + priors[k][c & np.uint32(0xFFFF)]), len(has))
-            return pa.record_batch([b.column("doc_id"), pa.array(names.view(np.int64)), pa.array(counts), pa.array(losses[0]), pa.array(losses[1])], names=["doc_id", "text", "n", "t", "a"])
-
-        return score
-
-    return arrow_map(docs, make, "doc_id bigint, text bigint, n bigint, t double, a double", AT_ONCE)
-
-
-def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_words: int = HEAD) -> DataFrame:
+        def send(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for piece, *x in zip(*(b.column(c) for c in ("piece", "targets", "lengths", "tokens")), strict=True):
+                code, n, good = Piece(*(v.as_py() for v in x)).counts()
+                key = (mix(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(key.astype(np.uint16) if buckets <= 1 << 16 else key, kind="stable")
+                key = key[order]
+                at = _starts(key)
+                cuts = np.append(at, len(key))
+                out.append(pa.record_batch([pa.array(key[at].astype(np.int32)), pa.array([piece.as_py()] * len(at), pa.int64()), *(_blobs(v[order].astype(np.uint32), cuts) for v in (code, n, good))], names=["key", "piece", "code", "all", "target"]))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(r.num_rows for r in out) else None
+
+        return send
+
+    return arrow_map(pieces.select("piece", "targets", "lengths", "tokens"), make, "key int, piece bigint, code binary, all binary, target binary")
+
+
+def _added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Reduces a bucket: to each piece the totals of those of its bigrams that are in others too."""
+    code, n, good = (_join(t.column(c), np.uint32) for c in ("code", "all", "target"))
+    size = np.array([len(x.as_buffer()) // 4 for x in t.column("code")], np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    code, of = np.unique(code, return_inverse=True)
+    total, in_target = np.bincount(of, n).astype(np.int64), np.bincount(of, good).astype(np.int64)
+    shared = np.flatnonzero(total[of] > n)
+    of, row = of[shared], row[shared]
+    cuts = np.searchsorted(row, np.arange(len(size) + 1))
+    return pa.table({"piece": t.column("piece"), "code": _blobs(code[of], cuts), "all": _blobs(total[of], cuts), "target": _blobs(in_target[of], cuts)})
+
+
+def _scorer(sent):
+    def score(key: tuple[pa.Scalar, ...], piece: pa.Table, totals: pa.Table) -> pa.Table:
+        vocab = sent.value
+        p = Piece(*(piece.column(c)[0].as_py() for c in ("targets", "lengths", "tokens")))
+        code, n, good = p.counts()
+        at = np.searchsorted(code, _join(totals.column("code"), np.uint32))
+        n[at], good[at] = _join(totals.column("all"), np.int64), _join(totals.column("target"), np.int64)
+        of_context, of_bigram = p.own(p.code >> np.uint32(16)), p.own(p.code)
+        out = []
+        for counts, bigrams, mine in ((vocab.target, good, p.target), (vocab.all, n, np.ones(len(p.docs), bool))):
+            doc, v, k = of_context
+            loss = np.bincount(doc, k * np.log(counts[v] - k * mine[doc] + MU), len(p.docs))
+            doc, c, k = of_bigram
+            loss -= np.bincount(doc, k * np.log(bigrams[np.searchsorted(code, c)] - k * mine[doc] + vocab.prior(counts)[c & np.uint32(0xFFFF)]), len(p.docs))
+            out.append(loss / np.diff(p.off))
+        words = np.zeros(p.rows, np.int64)
+        words[p.docs] = np.diff(p.off) - 1
+        t, a = (np.full(p.rows, np.nan) for _ in range(2))
+        t[p.docs], a[p.docs] = out
+        ids = piece.column("doc_ids").combine_chunks().values
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(words), **{k: pa.array(np.round(x, 6), from_pandas=True) for k, x in (("ce_target", t), ("ce_background", a), ("score", t - a))}})
+
+    return score
+
+
+def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """A row for every row of docs; n_tokens counts words."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs, is_target = tagged(docs, labels)
-    sent = spark.sparkContext.broadcast(vocabulary(docs, is_target, parts, size, head_words))
-    sums = written(_postings(docs, is_target, sent, parts).groupBy("kind", "key").applyInArrow(_tail(sent, parts), "kind int, key int, a binary"), "lm-sums")
-    head = np.zeros((2, head_words**2), np.int64)
-    for r in sums.where("kind = 1").select("a").collect():  # head_words ** 2 rows of three numbers at most
-        x = np.frombuffer(r.a, np.int64).reshape(-1, 3)
-        head[:, x[:, 0]] += x[:, 1:].T
-    tail = sums.where("kind = 0").groupBy("key").applyInArrow(_total, "text bigint, target double, all double")
-    own = _own(docs, is_target, sent, spark.sparkContext.broadcast(head))
-    out = own.join(tail, "text", "left").select(
-        "doc_id",
-        F.greatest(F.col("n") - 1, F.lit(0)).alias("n_tokens"),
-        F.when(F.col("n") > 0, (F.col("t") - F.coalesce("target", F.lit(0.0))) / F.col("n")).alias("t"),
-        F.when(F.col("n") > 0, (F.col("a") - F.coalesce("all", F.lit(0.0))) / F.col("n")).alias("a"),
-    )
-    return out.select("doc_id", "n_tokens", F.round("t", 6).alias("ce_target"), F.round("a", 6).alias("ce_background"), F.round(F.col("t") - F.col("a"), 6).alias("score"))
+    sent = spark.sparkContext.broadcast(vocabulary(docs, is_target, parts, size))
+    pieces = written(pieces_of(docs, is_target, sent), "pieces")
+    totals = _sent(pieces, parts).groupBy("key").applyInArrow(_added, "piece bigint, code binary, all binary, target binary")
+    return pieces.groupBy("piece").cogroup(totals.withColumnRenamed("piece", "of").groupBy("of")).applyInArrow(_scorer(sent), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
