@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.jaccard import _blobs, _join, _split, _starts
-from graphloom.llm.text import Words, arrow_map, column, mix, per_document, table, texts_of
+from graphloom.llm.text import Words, arrow_map, picked, mix, per_document, table, texts_of
 from graphloom.session import ship, written
 
 VOCABULARY, MU = 1 << 16, 500.0
@@ -65,7 +65,7 @@ class Vocabulary:
 def tagged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
     """doc_id, text, and target where labels had to be joined; and what tells of a batch which documents are the target."""
     docs = texts_of(docs)
-    good = labels.select(column(labels, "doc_id", "bigint"), column(labels, "quality", "int")).where("quality > 0 and doc_id is not null").select("doc_id").distinct()
+    good = picked(labels, doc_id="bigint", quality="int").where("quality > 0 and doc_id is not null").select("doc_id").distinct()
     if good.count() > TARGETS_AT_ONCE:
         docs = docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
         return docs, lambda b: b.column("target").to_numpy(zero_copy_only=False)

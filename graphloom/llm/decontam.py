@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Words, arrow_filter, arrow_map, column, lower, buffers, per_document, table, texts_of
+from graphloom.llm.text import Words, arrow_filter, arrow_map, picked, lower, buffers, per_document, table, texts_of
 from graphloom.session import ship
 
 #: Words of a passage of the SVD; of a window, and between windows.
@@ -176,7 +176,8 @@ def factorised(items: Items, y: np.ndarray, df: np.ndarray, n: int) -> Space:
     core = np.linalg.pinv((core + core.T) / 2, hermitian=True)
     value, vector = np.linalg.eigh(r @ core @ r.T)
     order = np.argsort(-value)[:RANK]
-    value = np.clip(value[order] - shift, 1e-9, None)
+    order = order[value[order] > 1e-5 * value.max()]  # a corpus of few different passages has fewer dimensions; the others are noise
+    value = value[order] - shift
     columns = (q @ vector[:, order]) * idf[:, None] / np.sqrt(value / n)
     centre = df / n @ columns
     of = t @ columns - t.sum(axis=1, keepdims=True) * (centre / max(df.sum() / n, 1))
@@ -288,7 +289,7 @@ class Search:
 
 def spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator[Space]:
     """A latent space for each part of the benchmark; one, unless it's larger than ITEMS_AT_ONCE."""
-    some = benchmark.select(column(benchmark, "item_id", "bigint"), column(benchmark, "text", "string"), column(benchmark, "answer", "string"))
+    some = picked(benchmark, item_id="bigint", text="string", answer="string")
     parts = -(-some.count() // ITEMS_AT_ONCE)
     for k in range(parts):
         items = items_of(some.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import Words, arrow_map, mix, per_document, shingles, table, texts_of
@@ -430,13 +430,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, without those whose doc_id is connected with a lesser one. Of rows that repeat a doc_id and text one stays;
     rows without a doc_id stay."""
-    gone = components(join(docs, n, threshold, forest=True)).select(F.col("id").alias("doc_id"))
-    order = "__order"
-    while order in docs.columns:
-        order += "_"
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").select(*(F.col(f"`{c}`") for c in docs.columns), F.expr("row_number() over (partition by doc_id, xxhash64(text) order by xxhash64(text))").alias(order))
-    return named.where(F.col(order) == 1).drop(order).unionByName(left.where("doc_id is null"))
+    gone = components(join(docs, n, threshold, forest=True)).select(F.col("id").alias("gone"))
+    names = docs.columns
+    d = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that differ in case only don't clash
+    key, text = (F.col(f"c{names.index(k)}") for k in ("doc_id", "text"))
+    left = d.join(gone, key.cast("bigint") == F.col("gone"), "left_anti")
+    copy = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text)))
+    named = left.where(key.isNotNull()).withColumn("copy", copy).where("copy = 1").drop("copy")
+    return named.unionByName(left.where(key.isNull())).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

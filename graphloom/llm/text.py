@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -139,36 +139,38 @@ def per_document(texts: pa.Array, most: int = CHUNK, fold: bool = True) -> Itera
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def pieces(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+def pieces(b: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """b in parts of at most that many bytes of text, or of one row."""
-    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     for i, j in slices(off, most):
         yield b.slice(i, j - i)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None) -> DataFrame:
-    """df through a function of record batches, of at most that many bytes of text if told so; make() is called once a task."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None, text: str = "text") -> DataFrame:
+    """df through a function of record batches, of at most that many bytes of the column text if told so; make() is called once a task."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for b in [whole] if most is None else pieces(whole, most):
+            for b in [whole] if most is None else pieces(whole, most, text):
                 if b.num_rows and (out := f(b)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
-def column(df: DataFrame, name: str, kind: str) -> Column:
-    """The column of that name as that type, or nulls of it where df has none. Names are matched exactly, so a
-    column that differs in case only is another one."""
-    return F.col(f"`{name}`").cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+def picked(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns as these types, nulls where df has none. Names are matched exactly and by place, so that columns which
+    differ in case only don't clash."""
+    c = df.columns
+    by_place = df.toDF(*(f"c{i}" for i in range(len(c))))
+    return by_place.select(*((F.col(f"c{c.index(k)}") if k in c else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
 
 
 def texts_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id bigint, text string and the named string columns, whatever else df holds."""
-    return df.select(column(df, "doc_id", "bigint"), column(df, "text", "string"), *(column(df, c, "string") for c in more))
+    return picked(df, doc_id="bigint", text="string", **dict.fromkeys(more, "string"))
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -179,8 +181,11 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np
     """The rows of df, all columns, for which a function of record batches, of at most that many bytes of text, says true; make() is called once a
     task."""
 
+    names = df.columns
+    by_place = df.toDF(*(f"c{i}" for i in range(len(names))))  # names that differ in case only don't clash
+
     def filtered():
         f = make()
-        return lambda b: b.filter(pa.array(f(b), pa.bool_()))
+        return lambda b: b.filter(pa.array(f(b.rename_columns(names)), pa.bool_()))
 
-    return arrow_map(df, filtered, df.schema, most)
+    return arrow_map(by_place, filtered, by_place.schema, most, f"c{names.index('text')}").toDF(*names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import CHUNK, WORD, Words, arrow_filter, arrow_map, column, hash_of, per_document, table, texts_of
+from graphloom.llm.text import CHUNK, WORD, Words, arrow_filter, arrow_map, picked, hash_of, per_document, table, texts_of
 from graphloom.session import written
 
 #: Labelled documents to fit on: those with the least hash of doc_id.
@@ -208,7 +208,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    of = labels.select(column(labels, "doc_id", "bigint"), column(labels, "toxic", "int")).dropna()
+    of = picked(labels, doc_id="bigint", toxic="int").dropna()
     of = of.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     of = of.select("doc_id", "toxic", ((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) / 1000) < CALIBRATE).alias("held"))
     # train_docs rows of three numbers at most.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import column, table
+from graphloom.llm.text import picked, table
 
 ALLOW = "allow"
 #: Labels of a host and segments of a path that patterns can have at most; longer ones are cut at this depth from the right and the left.
@@ -39,7 +39,7 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list_name, pattern, active_from, active_to (null: to this day) of the times that patterns are on lists."""
-    e = entries.select(column(entries, "list_name", "string"), column(entries, "pattern", "string"), column(entries, "action", "string"), column(entries, "at", "timestamp")).dropna().where("action in ('add', 'remove')")
+    e = picked(entries, list_name="string", pattern="string", action="string", at="timestamp").dropna().where("action in ('add', 'remove')")
     e = e.groupBy("list_name", "pattern", "at").agg(F.max("action").alias("action"))
     of = Window.partitionBy("list_name", "pattern").orderBy("at")
     return e.withColumn("active_to", F.lead("at").over(of)).where("action = 'add'").select("list_name", "pattern", F.col("at").alias("active_from"), "active_to")
@@ -47,7 +47,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def candidates(captures: DataFrame) -> DataFrame:
     """page_id, url, fetched_at, host, row (names the capture), and patterns that could fit."""
-    c = captures.select(column(captures, "page_id", "bigint"), column(captures, "url", "string"), column(captures, "fetched_at", "timestamp"))
+    c = picked(captures, page_id="bigint", url="string", fetched_at="timestamp")
     c = c.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels, segments = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda x: x != "")
     hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))

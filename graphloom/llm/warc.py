@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import arrow_map, column, table
+from graphloom.llm.text import arrow_map, picked, table
 from graphloom.session import ship
 
 #: The frame that holds a dictionary, and those of data.
@@ -208,7 +208,7 @@ def read(archives: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame) -> DataFrame:
     """Archives of pages as rows of path and content."""
-    pages = pages.select(column(pages, "page_id", "bigint"), column(pages, "url", "string"), column(pages, "html", "string"))
+    pages = picked(pages, page_id="bigint", url="string", html="string")
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
