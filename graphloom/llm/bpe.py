@@ -29,8 +29,8 @@ from graphloom.llm.text import CHUNK, _powers, arrow_map, buffers, mix, slices,
 #: A vocabulary of ranks: base64 bytes and the id on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pretokens that a worker keeps before it starts anew; only speed depends on it.
-KEPT = 600_000
+#: Distinct pretokens, and pairs of tokens, that a worker keeps before it starts anew; only speed and memory depend on them.
+KEPT, KEPT_PAIRS = 300_000, 400_000
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean"
 
 
@@ -63,7 +63,7 @@ class Prefixes:
         """Whether the tokens a and b are the encoding of their bytes."""
         if (ok := self.valid.get((a, b))) is None:
             ok = self.valid[a, b] = merged(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
-            if len(self.valid) > 4_000_000:
+            if len(self.valid) > KEPT_PAIRS:
                 self.valid.clear()
         return ok
 

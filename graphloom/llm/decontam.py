@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Words, arrow_filter, arrow_map, picked, lower, buffers, per_document, table, texts_of
+from graphloom.llm.text import Words, arrow_filter, arrow_map, buffers, lower, per_document, picked, pieces, table, texts_of
 from graphloom.session import ship
 
 #: Words of a passage of the SVD; of a window, and between windows.
@@ -44,7 +44,8 @@ MIN_COSINE, LCS_SHARE, ANSWER_SHARE, MIN_WORDS = 0.4, 0.6, 0.5, 5
 ITEMS_AT_ONCE = 20_000
 SEED = 20_240_601
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs int, lcs_share double, answer_share double, word_at bigint"
-_ROWS = 512
+#: Rows of passages, and bytes of text, that are worked on at once.
+_ROWS, AT_ONCE = 512, 8 << 20
 
 
 @dataclass
@@ -128,7 +129,7 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, w = sent.value, test_matrix(width)
         y, df, n = np.zeros((width, rank)), np.zeros(width), 0
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
             for _, _, data, off in per_document(b.column("text")):
                 for t in passages(Words(data, off), items):
                     y += t.T @ (t @ w)
@@ -316,7 +317,7 @@ def contaminated(docs: DataFrame, space: Space) -> DataFrame:
 
         return f
 
-    return arrow_map(texts_of(docs), make, SCHEMA)
+    return arrow_map(texts_of(docs), make, SCHEMA, AT_ONCE)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
