@@ -131,7 +131,7 @@ def _t(s: str, p: str, o: str, kind: str, order: str, dt: str = "null", keys: st
 
 VIEWS = f"""with recursive part_k as (
     select *, replace(lower(p_type), ' ', '_') as doc, p_size as chunk_ord, 'c' || p_size as hid, '{DOCS}' || replace(lower(p_type), ' ', '_') || '/chunk/c' || p_size || '/part' || p_partkey as s0 from part
-), t_part as (
+), t_part as materialized (
     {_t("s0", f"'{V.LABEL}'", "p_name", "literal", "p_partkey * 3")} from part_k
     union all {_t("s0", f"'{V.TYPE}'", f"'{VOC}' || replace(p_brand, '#', '')", "iri", "p_partkey * 3 + 1")} from part_k
     union all {_t("s0", f"'{VOC}price'", "round(p_retailprice * 100)::bigint::varchar", "literal", "p_partkey * 3 + 2", f"'{V.XSD}integer'")} from part_k
@@ -143,7 +143,7 @@ VIEWS = f"""with recursive part_k as (
     union all {_t("s0", f"'{V.COMMENT}'", f"'{DOCS}x'", "literal", "-1")} from brand
 ), cust as (
     select *, 'geo' as doc, c_nationkey as chunk_ord, 'n' || c_nationkey as hid, '{DOCS}geo/chunk/n' || c_nationkey || '/' as base from customer
-), t_geo as (
+), t_geo as materialized (
     {_t("base || 'customer' || c_custkey", f"'{V.LABEL}'", "c_name", "literal", "c_custkey * 10")} from cust
     union all {_t("base || 'customer' || c_custkey", f"'{VOC}segment'", "base || 'seg' || c_mktsegment", "iri", "c_custkey * 10 + 1")} from cust
     union all {_t(f"'{DOCS}geo/chunk/n' || s_nationkey || '/supplier' || s_suppkey", f"'{V.LABEL}'", "s_name", "literal", "s_suppkey * 10 + 1000000000", keys="'geo' as doc, s_nationkey as chunk_ord, 'n' || s_nationkey as hid")} from supplier
@@ -169,7 +169,7 @@ VIEWS = f"""with recursive part_k as (
     union all select distinct doc, hid, '{DOCS}' || doc || '/chunk/' || hid || '/' from t_part
 ), geo_e as (
     select distinct doc, chunk_ord, hid, e from (select doc, chunk_ord, hid, s as e from t_geo union all select doc, chunk_ord, hid, o from t_geo where o_kind = 'iri')
-), geo_c as (
+), geo_c as materialized (
     select doc, chunk_ord, hid, e, least(e, coalesce((select min(t.s) from t_geo t where t.o = coalesce(g.seg, geo_e.e) and t.o_kind = 'iri'), e), coalesce(g.seg, e)) as component
     from geo_e left join (select s, o as seg from t_geo where o_kind = 'iri') g on g.s = geo_e.e
 ), geo_size as (select doc, chunk_ord, hid, component, count(*) as n, min(e) as e from geo_c group by all
@@ -179,34 +179,34 @@ VIEWS = f"""with recursive part_k as (
         union all select doc, chunk_ord, hid, o, false from t_geo where o_kind = 'iri' and o <> s) group by all
 ), geo_r as (
     select doc, chunk_ord, hid, component, e from (select *, row_number() over (partition by doc, chunk_ord, component order by has_label desc, degree desc, e) as k from geo_c join geo_d using (doc, chunk_ord, hid, e)) where k = 1
-), val_d as (
+), val_d as materialized (
     select doc, chunk_ord, hid, u.p, count(*) filter (m.p = '{V.LABEL}') as labels, count(*) filter (m.p = '{V.DOMAIN_OF}') as domains, count(*) filter (m.p = '{V.RANGE}') as ranges,
         max_by(m.o, m.triple_ord) filter (m.p = '{V.DOMAIN_OF}') as domain, max_by(m.o, m.triple_ord) filter (m.p = '{V.RANGE}') as range
     from (select distinct doc, chunk_ord, hid, p from t_val) u left join (select doc, chunk_ord, hid, s, p, o, triple_ord from t_val) m using (doc, chunk_ord, hid) where m.s = u.p or m.s is null group by all
     union all select doc, chunk_ord, hid, p, 0, 0, 0, null, null from (select distinct doc, chunk_ord, hid, p from t_val) u where not exists (from t_val m where m.s = u.p and m.hid = u.hid)
 ), val_t as (select doc, chunk_ord, hid, s as e, min_by(o, triple_ord) as type from t_val where p = '{V.TYPE}' group by all
-), part_m as (
+), part_m as materialized (
     select doc, e, local_name, label, comment, types, row_number() over (partition by doc order by chunk_ord, pass, place, pos, e) as i from (
         select doc, s0 as e, 'part' || p_partkey as local_name, p_name as label, null::varchar as comment, ['{VOC}' || replace(p_brand, '#', '')] as types, chunk_ord, 0 as pass, p_partkey * 3 as place, 0 as pos from part_k
         union all select doc, '{VOC}' || replace(p_brand, '#', ''), replace(p_brand, '#', ''), null, null, [], min(chunk_ord), 1, min_by(p_partkey, (chunk_ord, p_partkey)) * 3 + 1, 1 from part_k group by all)
-), part_lab as (select distinct doc, lower(label) as l from part_m where label is not null
-), part_sim as (
+), part_lab as materialized (select distinct doc, lower(label) as l from part_m where label is not null
+), part_sim as materialized (
     select x.doc, x.l as l1, y.l as l2, 200.0::double * list_reduce(regexp_extract_all(x.l, '(?s).'), lambda row, ca: [list_max([greatest(row[k], case when k > 1 then row[k - 1] + (substr(y.l, k - 1, 1) = ca)::int else 0 end) for k in range(1, j + 1)]) for j in range(1, len(row) + 1)], [0 for _ in range(length(y.l) + 1)])[-1] / (length(x.l) + length(y.l)) as ratio
     from part_lab x join part_lab y on x.doc = y.doc and x.l <= y.l
-), part_edge as (
-    select distinct doc, i1, i2 from (
-        select a.doc, a.i as i1, b.i as i2 from part_m a join part_m b on a.doc = b.doc and a.i < b.i and lower(a.local_name) = lower(b.local_name) where len(a.types) = 0 or len(b.types) = 0 or list_has_any(a.types, b.types)
-        union all select a.doc, a.i, b.i from part_m a join part_m b on a.doc = b.doc and a.i < b.i join part_sim s on s.doc = a.doc and s.l1 = least(lower(a.label), lower(b.label)) and s.l2 = greatest(lower(a.label), lower(b.label))
-        where a.label is not null and b.label is not null and (len(a.types) = 0 or len(b.types) = 0 or list_has_any(a.types, b.types)) and ratio >= case when list_has_any(a.types, b.types) then 90 else 85 end)
-), part_adj as (select doc, i2 as i, list(i1) as lower_ones from part_edge group by all
+), part_pair as materialized (
+    select a.doc, a.i as i1, b.i as i2, lower(a.local_name) = lower(b.local_name) as same, list_has_any(a.types, b.types) as share, least(lower(a.label), lower(b.label)) as l1, greatest(lower(a.label), lower(b.label)) as l2, a.label is not null and b.label is not null as labelled
+    from part_m a join part_m b on a.doc = b.doc and a.i < b.i where len(a.types) = 0 or len(b.types) = 0 or list_has_any(a.types, b.types)
+), part_edge as materialized (
+    select doc, i1, i2 from part_pair left join part_sim using (doc, l1, l2) where same or (labelled and ratio >= case when share then 90 else 85 end)
+), part_adj as materialized (select doc, i2 as i, list(i1) as lower_ones from part_edge group by all
 ), part_lead as (
     select doc, 0::bigint as i, []::bigint[] as leaders from (select distinct doc from part_m)
     union all select l.doc, l.i + 1, case when list_has_any(coalesce(a.lower_ones, []), l.leaders) then l.leaders else list_append(l.leaders, l.i + 1) end
     from part_lead l left join part_adj a on a.doc = l.doc and a.i = l.i + 1 where l.i < (select max(i) from part_m m where m.doc = l.doc)
 ), part_leader as (select doc, unnest(max_by(leaders, i)) as i from part_lead group by doc
 ), part_led as (select e.doc, i2 as i, min(i1) as leader from part_edge e join part_leader l on l.doc = e.doc and l.i = e.i1 group by all
-), part_cluster as (from part_led union all select distinct doc, leader, leader from part_led
-), part_group as (
+), part_cluster as materialized (from part_led union all select distinct doc, leader, leader from part_led
+), part_group as materialized (
     select doc, leader, '{DOCS}' || doc || '/' || max_by(local_name, (coalesce(length(label), 0), -i)) as base, max_by(coalesce(label, ''), (coalesce(length(label), 0), -i)) as label from part_m join part_cluster using (doc, i) group by doc, leader
 ), emb as (
     select label::varchar as doc, vec_id as ord, embedding, 1 - array_cosine_similarity(embedding::double[64], (lead(embedding) over w)::double[64]) as distance from embeddings window w as (partition by label order by vec_id)
