@@ -156,6 +156,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for b in [whole] if most is None else pieces(whole, most, text):
                 if b.num_rows and (out := f(b)) is not None:
                     yield out
+            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     return df.mapInArrow(run, schema)
 
