@@ -31,8 +31,10 @@ CALIBRATE = 0.3
 #: A unit (word or beginning) is in the lexicon if it is in so many toxic training documents and if its rate in
 #: them is so many times that in clean ones.
 LEAST_TOXIC, LEAST_ODDS = 4, 20.0
+#: From this many times on it's in a second, weak part, whose hits are features of their own: several together tell what one doesn't.
+WEAK_ODDS = 5.0
 #: Bytes of word beginnings.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 #: Words to either side in which a pronoun makes a lexicon hit personal.
 NEAR = 5
 #: Calibrated probability from which a document is toxic.
@@ -40,7 +42,7 @@ THRESHOLD = 0.5
 ROUNDS, DEPTH, RATE, BINS, L2 = 60, 3, 0.2, 64, 1.0
 
 PRONOUNS = "you your yours yourself u ur tu te toi ton tes vous votre vos du dich dir dein deine ihr euch euer ti tú usted ustedes vosotros".split()
-FEATURES = ["words", "word_hits", "start_hits", "log_hits", "kinds", "personal", "second_person", "capitals", "marks", "obfuscated"]
+FEATURES = ["words", "word_hits", "start_hits", "log_hits", "kinds", "personal", "second_person", "capitals", "marks", "obfuscated", "weak_hits", "log_weak"]
 SCHEMA = "doc_id bigint, toxicity double, toxic boolean"
 
 _READ_AS = np.arange(256, dtype=np.uint8)
@@ -78,8 +80,8 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return (c[off[1:]] - c[off[:-1]]).astype(float)
 
 
-def features(raw: np.ndarray, low: np.ndarray, off: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """documents x FEATURES; raw as written and low lower-cased with their own offsets, of which off is low's."""
+def features(low: np.ndarray, off: np.ndarray, lexicon: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """documents x FEATURES of lower-cased bytes and their offsets; capitals are left at 0."""
     w = read(low, off)
     count = np.diff(w.off).astype(float)
     per = np.maximum(count, 1)
@@ -90,6 +92,10 @@ def features(raw: np.ndarray, low: np.ndarray, off: np.ndarray, lexicon: np.ndar
         start_hit |= _in(h, lexicon)
     start_hit &= ~word_hit
     hit = word_hit | start_hit
+    weak_hit = _in(whole, weak)
+    for h in starts:
+        weak_hit |= _in(h, weak)
+    weak_hits = _sums(weak_hit & ~hit, w.off)
     you = _in(whole, _PRONOUN_HASHES)
     doc = w.doc()
     near = np.concatenate([[0], np.cumsum(you, dtype=np.int64)])
@@ -105,13 +111,13 @@ def features(raw: np.ndarray, low: np.ndarray, off: np.ndarray, lexicon: np.ndar
     odd = np.zeros(len(low), bool)
     if len(low) > 2:
         odd[1:-1] = _LETTER[low[:-2]] & _SIGN[low[1:-1]] & _LETTER[low[2:]]
-    return np.stack([np.log1p(count), _sums(word_hit, w.off) / per, _sums(start_hit, w.off) / per, np.log1p(hits), kinds, _sums(personal, w.off) / per, _sums(you, w.off) / per, np.zeros(len(count)), _sums((low == ord("!")) | (low == ord("?")), off) / np.maximum(np.diff(off), 1), _sums(odd, off) / per], axis=1)
+    return np.stack([np.log1p(count), _sums(word_hit, w.off) / per, _sums(start_hit, w.off) / per, np.log1p(hits), kinds, _sums(personal, w.off) / per, _sums(you, w.off) / per, np.zeros(len(count)), _sums((low == ord("!")) | (low == ord("?")), off) / np.maximum(np.diff(off), 1), _sums(odd, off) / per, weak_hits / per, np.log1p(weak_hits)], axis=1)
 
 
 _PRONOUN_HASHES = np.sort(np.array([hash_of(p) for p in PRONOUNS], np.uint64))
 
 
-def batch_features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
+def batch_features(texts: pa.Array, lexicon: np.ndarray, weak: np.ndarray) -> np.ndarray:
     from graphloom.llm.text import buffers
 
     parts = []
@@ -119,7 +125,7 @@ def batch_features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     upper = np.concatenate([[0], np.cumsum((raw >= ord("A")) & (raw <= ord("Z")), dtype=np.int64)])
     share = (upper[raw_off[1:]] - upper[raw_off[:-1]]) / np.maximum(np.diff(raw_off), 1)
     for _, _, low, off in per_document(texts):
-        parts.append(features(raw, low, off, lexicon))
+        parts.append(features(low, off, lexicon, weak))
     x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
     x[:, FEATURES.index("capitals")] = share
     return x
@@ -196,6 +202,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     lexicon: np.ndarray
+    weak: np.ndarray
     trees: Trees
     at: np.ndarray
     value: np.ndarray
@@ -204,7 +211,7 @@ class Model:
     def probability(self, texts: pa.Array) -> np.ndarray:
         if not len(self.at):
             return np.full(len(texts), self.prior)
-        return np.interp(self.trees.raw(batch_features(texts, self.lexicon)), self.at, self.value)
+        return np.interp(self.trees.raw(batch_features(texts, self.lexicon, self.weak)), self.at, self.value)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
@@ -234,22 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     totals = {r.toxic: r.n for r in sample.where("not held").groupBy(F.expr("int(toxic > 0)").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     every = sample.agg(F.avg(F.expr("int(toxic > 0)")).alias("p")).first().p or 0.0
     if len(totals) < 2:
-        return Model(np.zeros(0, np.uint64), Trees(), np.zeros(0), np.zeros(0), float(every))
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.uint64), Trees(), np.zeros(0), np.zeros(0), float(every))
     u = arrow_map(sample.where("not held"), make, "u bigint, toxic bigint, clean bigint", 8 * CHUNK).groupBy("u").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    u = u.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") / totals[1] >= LEAST_ODDS * (F.col("clean") + 0.5) / totals[0]))
-    lexicon = np.sort(np.array([r.u for r in u.select("u").collect()], np.int64).view(np.uint64))
-    x, y, held = dense(sample, lexicon)
+    odds = (F.col("toxic") / totals[1]) / ((F.col("clean") + 0.5) / totals[0])
+    rows = u.where(F.col("toxic") >= LEAST_TOXIC).where(odds >= WEAK_ODDS).select("u", (odds >= LEAST_ODDS).alias("strong")).collect()
+    lexicon, weak = (np.sort(np.array([r.u for r in rows if r.strong == strong], np.int64).view(np.uint64)) for strong in (True, False))
+    x, y, held = dense(sample, lexicon, weak)
     trees = Trees.fit(x[~held], y[~held])
     hold = held if held.any() else ~held
-    return Model(lexicon, trees, *isotonic(trees.raw(x[hold]), y[hold]), float(every))
+    return Model(lexicon, weak, trees, *isotonic(trees.raw(x[hold]), y[hold]), float(every))
 
 
-def dense(sample: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dense(sample: DataFrame, lexicon: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, label and whether it calibrates, of each document of the bounded sample, in a fixed order."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = batch_features(b.column("text"), lexicon)
+            x = batch_features(b.column("text"), lexicon, weak)
             cols = [b.column("doc_id"), b.column("toxic"), b.column("held"), *(pa.array(c) for c in x.T)]
             return pa.record_batch(cols, names=["doc_id", "toxic", "held", *(f"f_{n}" for n in FEATURES)])
 
