@@ -1,11 +1,12 @@
 """The namespaces and terms that operators know."""
 
 DOMAIN = "https://example.com"
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-RDFS = "http://www.w3.org/2000/01/rdf-schema#"
-OWL = "http://www.w3.org/2002/07/owl#"
-XSD = "http://www.w3.org/2001/XMLSchema#"
-PROV = "http://www.w3.org/ns/prov#"
+W3 = "http://www.w3.org/"
+RDF = W3 + "1999/02/22-rdf-syntax-ns#"
+RDFS = W3 + "2000/01/rdf-schema#"
+OWL = W3 + "2002/07/owl#"
+XSD = W3 + "2001/XMLSchema#"
+PROV = W3 + "ns/prov#"
 SCHEMA = "https://schema.org/"
 TYPE, PROPERTY = RDF + "type", RDF + "Property"
 LABEL, COMMENT, RANGE, DOMAIN_OF = RDFS + "label", RDFS + "comment", RDFS + "range", RDFS + "domain"
@@ -17,7 +18,7 @@ PREFIXES = {
     "owl": OWL,
     "foaf": "http://xmlns.com/foaf/0.1/",
     "schema": "http://schema.org/",
-    "skos": "http://www.w3.org/2004/02/skos/core#",
+    "skos": W3 + "2004/02/skos/core#",
     "ex": "http://example.org/",
 }
 #: Stands for "no ontology"; a value, not a null.

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sentence ends for plain text, and for Markdown: before headings and list items, and after a sentence before a long capitalised word.
-PLAIN = r"(?<=[.?!])\s+"
-MARKDOWN = r"\n{2,}(?=#)|\n{2,}(?=- )|(?<=[a-z][.?!])\s+(?=[A-Z]\w{8,}\b)|(?<!#)(?=#)"
+PLAIN = r"(?<=[!.?])\s+"
+_LONG_NAME = r"(?<=[.!?])(?<=[a-z].)\s+(?=[A-Z]\w{8})"
+MARKDOWN = "|".join([r"\n\n+(?=#|- )", _LONG_NAME, r"(?=#)(?<!#)"])
 #: By kind: the amount that is used unless told otherwise.
 AMOUNTS = {"percentile": 95.0, "standard_deviation": 3.0, "interquartile": 1.5, "gradient": 95.0}
 

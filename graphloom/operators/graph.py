@@ -161,3 +161,37 @@ def violations(triples: DataFrame, side: str, keys: list[str] = KEYS) -> DataFra
 
 def is_property() -> Column:
     return (F.col("p") == TYPE) & (F.col("o") == PROPERTY)
+
+
+NAMESPACES = "graph_id string, ord int, prefix string, uri string"
+
+
+def merged_namespaces(bindings: DataFrame, extra: dict[str, str]) -> DataFrame:
+    """One binding table of each graph_id out of those of its parts in order (ord): the first binding of a prefix stays; another URI under
+    it gets prefix_n, where n is how many are bound by then. A URI that is bound already isn't bound again; extra is bound last, over all. The fold is
+    over a graph's prefixes, so it stays in one group."""
+
+    def fold(df):
+        bound: dict[str, str] = {}
+        for prefix, uri in zip(*(df.sort_values(["ord", "prefix", "uri"])[c] for c in ("prefix", "uri")), strict=True):
+            if prefix not in bound:
+                bound[prefix] = uri
+            elif bound[prefix] != uri and uri not in bound.values():
+                bound[f"{prefix}_{len(bound)}"] = uri
+        bound |= extra
+        return df.iloc[[0] * len(bound)][["graph_id"]].assign(ord=range(len(bound)), prefix=list(bound), uri=list(bound.values()))
+
+    return bindings.select("graph_id", "ord", "prefix", "uri").groupBy("graph_id").applyInPandas(fold, NAMESPACES)
+
+
+def prefix_of(ontologies: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """The first prefix that is bound to an ontology's IRI, which both parts of a split graph bind again."""
+    n = namespaces.groupBy(F.col("uri").alias("iri")).agg(F.min_by("prefix", "ord").alias("prefix"))
+    return ontologies.join(n, "iri", "left")
+
+
+def updated(registry: DataFrame, short_name: str, triples: DataFrame) -> DataFrame:
+    """The registry's triples (short_name and terms) with those added to the ontology of that name, which must be there."""
+    if not registry.where(F.col("short_name") == short_name).limit(1).count():
+        raise KeyError(short_name)
+    return union(registry, triples.withColumn("short_name", F.lit(short_name)), ["short_name"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import Protocol
 
-from graphloom.functions.vocab import LABEL, NO_ONTOLOGY, TYPE
+from graphloom.functions.vocab import LABEL, NO_ONTOLOGY, RDFS, TYPE
 
 PROMPTS = {
     "select": "Known ontologies:\n{ontologies}\n\nText:\n{excerpt}\n\nName the one that suits the text, or none.",
@@ -46,7 +46,7 @@ class Rules:
         return ontologies[len(text) % len(ontologies)] if ontologies else NO_ONTOLOGY
 
     def ontology(self, name: str, text: str, note: str | None) -> list[tuple]:
-        return [(f"{self.voc}Term{n}", "iri", TYPE, "http://www.w3.org/2000/01/rdf-schema#Class", "iri") for n in sorted({len(x) for x in self.names(text)})]
+        return [(f"{self.voc}Term{n}", "iri", TYPE, RDFS + "Class", "iri") for n in sorted({len(x) for x in self.names(text)})]
 
     def criticise_ontology(self, text: str, addendum: list[tuple], visit: int) -> tuple[bool, float, str]:
         ok = visit > len(text) % 2

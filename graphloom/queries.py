@@ -295,6 +295,21 @@ def drop_chunk_prefixes(spark, sf):
     return graph.without_chunk_prefixes(namespaces(spark, sf))
 
 
+@query("namespace_union", "select graph_id, ord, prefix, uri from (select graph_id, row_number() over (partition by graph_id order by length(prefix), prefix) - 1 as ord, prefix, uri from (select graph_id, prefix, min(uri) as uri from namespaces where contains(uri, '/chunk/') group by all))")
+def namespace_union(spark, sf):
+    """Of the chunks of each document; their prefixes differ, so all stay."""
+    n = namespaces(spark, sf).where("contains(uri, '/chunk/')")
+    order = F.row_number().over(graph.Window.partitionBy("graph_id").orderBy(F.length("prefix"), "prefix")).alias("ord")
+    return graph.merged_namespaces(n.select("graph_id", order, "prefix", "uri"), {})
+
+
+@query("ontology_prefix", f"select r_regionkey, '{VOC}' || r_name as iri, case when r_regionkey < 3 then 'r' || r_regionkey end as prefix from region")
+def ontology_prefix(spark, sf):
+    r = table(spark, sf, "region").withColumn("iri", F.concat(F.lit(VOC), "r_name"))
+    ns = r.where("r_regionkey < 3").select(F.lit("g").alias("graph_id"), F.col("r_regionkey").alias("ord"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("prefix"), F.col("iri").alias("uri"))
+    return graph.prefix_of(r.select("r_regionkey", "iri"), ns)
+
+
 @query("graph_union", f"select distinct {', '.join(ALL)} from t_mixed")
 def graph_union(spark, sf):
     return graph.union(t_mixed(spark, sf), t_part(spark, sf))

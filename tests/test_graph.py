@@ -164,3 +164,25 @@ def test_columns(spark):
     assert [one(ids.suffix(lit(x))) for x in ("a/b.tar.gz", "a.b/c", ".hidden", "x.JSON")] == [".gz", "", "", ".JSON"]
     assert [one(ids.trailing_number(lit(x))) for x in ("s/a.update.12.json", "a.json", "a.1x.json")] == [12, 0, 0]
     assert ids.recursion_limit(3) == 1000 and ids.recursion_limit(3, 50) == 1500
+
+
+def test_namespaces_merge(spark):
+    rows = [("g", 0, "a", "u1"), ("g", 1, "a", "u2"), ("g", 2, "b", "u1"), ("g", 3, "a", "u1"), ("h", 0, "a", "u9")]
+    got = graph.merged_namespaces(spark.createDataFrame(rows, graph.NAMESPACES), {"prov": V.PROV}).collect()
+    assert {(r.graph_id, r.prefix, r.uri) for r in got} == {("g", "a", "u1"), ("g", "a_1", "u2"), ("g", "b", "u1"), ("g", "prov", V.PROV), ("h", "a", "u9"), ("h", "prov", V.PROV)}
+    assert {(r.iri, r.prefix) for r in graph.prefix_of(spark.createDataFrame([("u1",), ("x",)], "iri string"), spark.createDataFrame(rows, graph.NAMESPACES)).collect()} == {("u1", "a"), ("x", None)}
+
+
+def test_registry_update(spark):
+    t = table(spark, two_chunks())
+    reg = t.where("hid = 'abc123'").withColumn("short_name", F.lit("o"))
+    assert graph.updated(reg, "o", t).count() == 8
+    with pytest.raises(KeyError):
+        graph.updated(reg, "x", t)
+
+
+def test_curies(spark):
+    ns = spark.createDataFrame([("g", 0, "a", "http://a#"), ("g", 1, "ab", "http://ab/")], graph.NAMESPACES)
+    rows = [("a:x a:y",), ("ab:z",), ("http://q/w",)]
+    got = {r.uri: (r.full, r.local) for r in graph.normalized(spark.createDataFrame(rows, "uri string"), ns).collect()}
+    assert got == {"a:x a:y": ("http://a#x http://a#y", "y"), "ab:z": ("http://ab/z", "z"), "http://q/w": ("http://q/w", "w")}
