@@ -30,7 +30,7 @@ from graphloom.llm.text import CHUNK, _powers, arrow_map, buffers, mix, slices,
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pretokens, and pairs of tokens, that a worker keeps before it starts anew; only speed and memory depend on them.
-KEPT, KEPT_PAIRS = 300_000, 400_000
+KEPT, KEPT_PAIRS = 400_000, 1_000_000
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean"
 
 
@@ -57,12 +57,13 @@ class Prefixes:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}  # by a << 32 | b: a number is smaller than a pair
+        self.made: dict[int, bool] = {}
 
     def pair(self, a: int, b: int) -> bool:
         """Whether the tokens a and b are the encoding of their bytes."""
-        if (ok := self.valid.get((a, b))) is None:
-            ok = self.valid[a, b] = merged(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+        if (ok := self.valid.get(a << 32 | b)) is None:
+            ok = self.valid[a << 32 | b] = merged(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
             if len(self.valid) > KEPT_PAIRS:
                 self.valid.clear()
         return ok
@@ -80,15 +81,15 @@ class Prefixes:
                     if end == 1 or self.whole(token):
                         break
                     continue
-                ok = valid.get((last[begin], token))
+                ok = valid.get(last[begin] << 32 | token)
                 if ok or ok is None and self.pair(last[begin], token):
                     break
             last.append(token)
         return last
 
     def whole(self, token: int) -> bool:
-        if (ok := self.valid.get((-1, token))) is None:
-            ok = self.valid[-1, token] = merged(self.bytes_of[token], self.ranks) == [token]
+        if (ok := self.made.get(token)) is None:
+            ok = self.made[token] = merged(self.bytes_of[token], self.ranks) == [token]
         return ok
 
     def back(self, last: list[int], end: int | None = None) -> list[int]:
