@@ -14,8 +14,9 @@ Two documents are joined if the Jaccard similarity of their sets of word n-grams
 3. Candidates are verified on their whole sets, at the least n-gram of the smaller id.
 
 Sets are named by 64-bit fingerprints and n-grams by 40 bits and their bucket, so a false match has a chance of about
-1e-8 a pair. Documents with equal sets are one set: the least doc_id stands for it, and each of the others is paired
-with that one.
+1e-8 a pair. Documents with equal sets are one set while pairs are searched. all_pairs then gives every pair of documents: all within a
+set, and all of one set with all of another for each verified pair of sets, so its rows grow with the square of the copies. join
+lets the least doc_id stand for a set and pairs each of the others with that one, which connects the same documents.
 
 Defined cases: texts without a word (null, empty) have an empty set and no partner. A text of less than N words has one
 n-gram of all of them. Rows without a doc_id are ignored; rows that repeat a doc_id with the same set count once, and
@@ -388,9 +389,8 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, light: float | None = None) -> DataFrame:
-    """left_id < right_id, jaccard. forest: of the pairs that are found in one place, only as many as connect the same documents. light: the boundary, else it's
-    the one of least cost."""
+def _true_pairs(docs: DataFrame, n: int, threshold: float, forest: bool, light: float | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets (a, b, jaccard), and the documents of each set (id, docs)."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -403,7 +403,13 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool
     pairs = written(pairs.select("a", "b", F.pmod("grp", F.lit(parts * 2)).alias("grp")), "jaccard-pairs")
     need = pairs.select(F.col("grp").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct()
     need = need.join(some.select("id", "size", "tokens"), "id").select("at", "id", "size", "tokens")
-    true = pairs.groupBy("grp").cogroup(need.groupBy("at")).applyInArrow(_verify(threshold, forest), "a bigint, b bigint, jaccard double")
+    return pairs.groupBy("grp").cogroup(need.groupBy("at")).applyInArrow(_verify(threshold, forest), "a bigint, b bigint, jaccard double"), ids
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, light: float | None = None) -> DataFrame:
+    """left_id < right_id, jaccard. forest: of the pairs that are found in one place, only as many as connect the same documents. light: the boundary, else it's
+    the one of least cost."""
+    true, ids = _true_pairs(docs, n, threshold, forest, light)
     of = ids.select("id", F.col("docs")[0].alias("doc"))
     near = true.join(of.select(F.col("id").alias("a"), F.col("doc").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("doc").alias("y")), "b")
     near = near.where("x <> y").groupBy(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).agg(F.max("jaccard").alias("jaccard"))
@@ -411,6 +417,17 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool
     return near.withColumn("jaccard", F.round("jaccard", 6)).unionByName(same)
 
 
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, light: float | None = None) -> DataFrame:
+    """left_id < right_id, jaccard of every pair of documents, copies among them. Of a doc_id with several texts the most similar counts."""
+    true, ids = _true_pairs(docs, n, threshold, False, light)
+    near = true.join(ids.withColumnRenamed("id", "a"), "a").select("b", "jaccard", F.explode("docs").alias("x"))
+    near = near.join(ids.withColumnRenamed("id", "b"), "b").select("x", F.explode("docs").alias("y"), "jaccard")
+    same = ids.where("size(docs) > 1").select("docs", F.posexplode("docs").alias("k", "x"))
+    same = same.select("x", F.explode(F.expr("slice(docs, k + 2, size(docs))")).alias("y"), F.lit(1.0).alias("jaccard"))
+    both = near.unionByName(same).where("x <> y").groupBy(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
+    return both.agg(F.max("jaccard").alias("jaccard")).withColumn("jaccard", F.round("jaccard", 6))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id and the least id that pairs connect it with, by alternating stars: every node points its larger
     neighbours, then its smaller ones, to the least."""
@@ -441,4 +458,4 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return all_pairs(table(spark, sf_dir, "documents"))

@@ -263,6 +263,23 @@ def test_jaccard_is_exact(spark, light):
     assert {tuple(x) for x in jaccard.join(docs, n, threshold, light=light).collect()} == want
 
 
+@pytest.mark.parametrize("light", [None, 0.0, 1e9])
+def test_all_pairs_of_documents(spark, light):
+    r = random.Random(24)
+    base = corpus(30, 25, 60, (5, 60))
+    texts = [edited(t, rate, r) for t in base[:8] for rate in (0.02, 0.1)]
+    texts = base + base[:8] * 12 + texts * 3 + ["", None]
+    r.shuffle(texts)
+    n, threshold, want = 2, 0.4, {}
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := words(t)) else set() for t in texts]
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold:
+            want[a, b] = round(j, 6)
+    rows = list(enumerate(texts))
+    got = jaccard.all_pairs(spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string"), n, threshold, light).collect()
+    assert len(got) == len(want) and {(x.left_id, x.right_id): x.jaccard for x in got} == want
+
+
 def test_components(spark):
     r = random.Random(16)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
