@@ -7,7 +7,7 @@ Two documents are joined if the Jaccard similarity of their sets of word n-grams
    one that has fewer shared n-grams is done with.
 2. The shared n-grams of a set are ordered, rare ones first. Partners share k of the first
    shared - need + k of them, for any k. Sets up to a boundary of size (light) enumerate the subsets of k = 2 of
-   theirs, and two that have a subset in common are a candidate. Larger sets (heavy) scan the inverted lists of
+   theirs, and those of need = 1 single n-grams too, and two that have a subset in common are a candidate. Larger sets (heavy) scan the inverted lists of
    theirs for k = 1, in which all sets stand. The boundary is the size that makes the counted cost of
    both least. Lists live where the least set of their n-gram says, so that a pair found by many n-grams
    is mostly found in one place, where it counts once.
@@ -266,11 +266,11 @@ def _keys(sets: DataFrame, light: float, buckets: int) -> DataFrame:
                 tok, home = np.frombuffer(tokens.as_buffer(), np.uint64), np.frombuffer(homes.as_buffer(), np.uint32) % buckets
                 p, heavy = p1.as_py(), size.as_py() > light
                 subs, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if not heavy and len(tok) > 1:
+                if not heavy:
                     i, j = np.triu_indices(min(p + 1, len(tok)), 1)
                     subs, at = mix(tok[i] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[j])), home[i]
-                elif not heavy:
-                    subs, at = mix(tok), home  # the only shared n-gram is all that there is to share
+                if not heavy and p == len(tok):  # need = 1: a partner may share a single n-gram, and then has need = 1 too
+                    subs, at = np.concatenate([subs, mix(tok)]), np.concatenate([at, home])
                 tok, home = tok[:p], home[:p]
                 for h in np.unique(np.concatenate([at, home])).tolist():
                     out["key"].append(h)

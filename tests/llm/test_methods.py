@@ -280,6 +280,12 @@ def test_all_pairs_of_documents(spark, light):
     assert len(got) == len(want) and {(x.left_id, x.right_id): x.jaccard for x in got} == want
 
 
+def test_pairs_that_share_a_single_n_gram(spark):
+    docs = spark.createDataFrame(list(enumerate(["a b c d e", "a b c d e f", "b c d e f"])), "doc_id bigint, text string")
+    for f in (jaccard.join, jaccard.all_pairs):
+        assert {tuple(x) for x in f(docs, light=1e9).collect()} == {(0, 1, 0.5), (1, 2, 0.5)}
+
+
 def test_components(spark):
     r = random.Random(16)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
