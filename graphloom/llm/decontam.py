@@ -5,7 +5,8 @@
    the document frequencies of its passages T for one random W, and the driver factorises the sum (columns x RANK) as Halko,
    Martinsson and Tropp do for a positive semidefinite matrix. Scaling by IDF comes after, as it only scales W.
 2. Windows of WINDOW words, STEP apart, of every document are projected; those whose cosine with an item is
-   MIN_COSINE at least are candidates.
+   MIN_COSINE at least are candidates. Of an item of more than WINDOW words so are its own windows, 2 * STEP apart, and the margin is the
+   item's length then, so that the stretch holds the whole item whichever of its parts was met.
 3. A candidate is contaminated if the longest common subsequence of the words of the item and of the window with a margin is LCS_SHARE of
    the item at least, and that with the item's answer ANSWER_SHARE of the answer: the column answer where the benchmark has one, else
    the item's last sentence.
@@ -153,11 +154,12 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
 
 @dataclass
 class Space:
-    """Latent vectors of the columns (IDF and singular values included) and of the items."""
+    """Latent vectors of the columns (IDF and singular values included) and of the items, then of windows of long ones; the item of each."""
 
     items: Items
     columns: np.ndarray
     of_items: np.ndarray
+    owner: np.ndarray
 
 
 def factorised(items: Items, y: np.ndarray, df: np.ndarray, n: int) -> Space:
@@ -182,7 +184,15 @@ def factorised(items: Items, y: np.ndarray, df: np.ndarray, n: int) -> Space:
     columns = (q @ vector[:, order]) * idf[:, None] / np.sqrt(value / n)
     centre = df / n @ columns
     of = t @ columns - t.sum(axis=1, keepdims=True) * (centre / max(df.sum() / n, 1))
-    return Space(items, (columns - centre / max(df.sum() / n, 1)).astype(np.float32), (of / np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+    columns = (columns - centre / max(df.sum() / n, 1)).astype(np.float32)
+    parts, owner = [of], list(range(len(items.ids)))
+    for k, x in enumerate(items.words):
+        for a in sorted({*range(0, len(x) - WINDOW, 2 * STEP), len(x) - WINDOW}) if len(x) > WINDOW else []:
+            part = x[a : a + WINDOW]
+            parts.append(columns[np.unique(items.column(part, items.vocab[part]))].sum(axis=0, dtype=float)[None])
+            owner.append(k)
+    of = np.concatenate(parts)
+    return Space(items, columns, (of / np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-12)).astype(np.float32), np.array(owner, np.int64))
 
 
 def lcs(item: np.ndarray, words: np.ndarray) -> int:
@@ -199,6 +209,11 @@ def lcs(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - (v & full).bit_count()
 
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
 class Search:
     """Finds items in documents."""
 
@@ -207,6 +222,7 @@ class Search:
         self.columns = np.concatenate([space.columns, np.zeros((1, space.columns.shape[1]), np.float32)])
         self.size = np.array([len(x) for x in items.words], np.int64)
         self.least = np.ceil(self.size * LCS_SHARE - 1e-9).astype(np.int64)
+        self.margin = np.where(self.size > WINDOW, self.size, STEP)
         self.has = np.zeros((len(items.ids), len(items.vocab) + 1), bool)  # the last, index -1, is no word of the benchmark
         for k, x in enumerate(items.words):
             self.has[k, x] = True
@@ -249,9 +265,14 @@ class Search:
         for a in range(0, len(vec), 8192):
             cosine = vec[a : a + 8192] @ self.space.of_items.T
             at, item = np.nonzero(cosine >= MIN_COSINE)
-            cos, at = cosine[at, item], at + a
-            lo = np.maximum(start[at] - STEP, w.off[doc[at]])
-            hi = np.minimum(start[at] + WINDOW + STEP, w.off[doc[at] + 1])
+            cos, at, item = cosine[at, item], at + a, self.space.owner[item]
+            if len(self.space.owner) > len(items.ids):  # several windows of an item: the nearest
+                order = np.lexsort((-cos, item, at))
+                cos, at, item = cos[order], at[order], item[order]
+                new = _first(at * len(items.ids) + item)
+                cos, at, item = cos[new], at[new], item[new]
+            lo = np.maximum(start[at] - self.margin[item], w.off[doc[at]])
+            hi = np.minimum(start[at] + WINDOW + self.margin[item], w.off[doc[at] + 1])
             for i in range(0, len(at), 1 << 15):
                 part = slice(i, i + (1 << 15))
                 for k, n in self.long_enough(word, lo[part], hi[part], item[part]):

@@ -211,6 +211,20 @@ def test_leaks_are_found(spark):
     assert len(found & exact) >= 0.98 * len(exact)
 
 
+@pytest.mark.parametrize("rate", [0, 0.2])
+def test_long_items_are_found(spark, rate):
+    r = random.Random(31)
+    bench = [t for n in (100, 150, 155, 160, 161, 200, 300, 500, 1000) for t in corpus(2, n, 3000, (n, n))]
+    bench = [" ".join(w[:-10]) + ". " + " ".join(w[-10:]) for w in map(str.split, bench)]
+    docs = []
+    for i, t in enumerate(corpus(3 * len(bench), 32, 3000, (200, 900))):
+        w = t.split()
+        at = r.randrange(len(w))
+        docs.append((i, " ".join(w[:at] + [edited(bench[i], rate, r)] + w[at:]) if i < len(bench) else t))
+    got = decontam.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(len(bench))}
+
+
 # Simple-8b
 
 IDS = st.lists(st.one_of(st.just(0), st.integers(0, 1), st.integers(0, 1 << 17), st.integers(0, (1 << 64) - 1)), max_size=400)
