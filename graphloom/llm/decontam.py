@@ -7,6 +7,9 @@
 2. Windows of WINDOW words, STEP apart, of every document are projected; those whose cosine with an item is
    MIN_COSINE at least are candidates. Of an item of more than WINDOW words so are its own windows, 2 * STEP apart, and the margin is the
    item's length then, so that the stretch holds the whole item whichever of its parts was met.
+   So are, exactly, places that share a run of SHORT_RUN or RUN words with an item: what lies on about the same diagonal is one candidate, of the
+   item's length and a margin of a quarter of it on both sides. No verbatim item is lost, however short, and none of more than
+   five words of which up to 40 % are replaced where runs are of SHORT_RUN words.
 3. A candidate is contaminated if the longest common subsequence of the words of the item and of the window with a margin is LCS_SHARE of
    the item at least, and that with the item's answer ANSWER_SHARE of the answer: the column answer where the benchmark has one, else
    the item's last sentence.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Words, arrow_filter, arrow_map, buffers, lower, per_document, picked, pieces, table, texts_of
+from graphloom.llm.text import Words, arrow_filter, arrow_map, buffers, lower, mix, per_document, picked, pieces, table, texts_of
 from graphloom.session import ship
 
 #: Words of a passage of the SVD; of a window, and between windows.
@@ -41,6 +44,10 @@ WORD_COLUMNS, OTHER_COLUMNS = 6144, 1024
 #: Squared IDF: what a passage and an item share by chance is frequent words.
 IDF_POWER = 2
 MIN_COSINE, LCS_SHARE, ANSWER_SHARE, MIN_WORDS = 0.4, 0.6, 0.5, 5
+#: Words of a run that an item and a document share; the shorter one for items of less than SHORT words.
+SHORT, SHORT_RUN, RUN = 16, 2, 3
+#: Runs in common that are looked at once.
+HITS = 1 << 20
 #: Items that are sent to the tasks at once; a larger benchmark is searched in several passes.
 ITEMS_AT_ONCE = 20_000
 SEED = 20_240_601
@@ -214,6 +221,15 @@ def _first(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
 
 
+def _codes(word: np.ndarray, n: int) -> np.ndarray:
+    """Of each run of n words, a hash."""
+    m = max(len(word) - n + 1, 0)
+    out = np.zeros(m, np.uint64)
+    for i in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[i : i + m].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class Search:
     """Finds items in documents."""
 
@@ -232,6 +248,49 @@ class Search:
             for i, word in enumerate(x[:64].tolist()):
                 self.masks[k, word] |= np.uint64(1 << i)
 
+        self.step = np.maximum(self.size // 4, 2)
+        self.runs = []
+        for n, chosen in ((SHORT_RUN, self.size < SHORT), (RUN, self.size >= SHORT)):
+            k = np.flatnonzero(chosen)
+            if not len(k):
+                continue
+            many = self.size[k] - n + 1
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            code = np.concatenate([_codes(items.words[i], n) for i in k.tolist()])
+            order = np.argsort(code)
+            self.runs.append((n, code[order], np.repeat(k, many)[order], at[order]))
+
+    def shared(self, word: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stretches (document, item, first word, end) that share a run of words with an item."""
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        for n, code, item, at in self.runs:
+            p = np.arange(max(len(word) - n + 1, 0))
+            p = p[np.logical_and.reduce([word[p + i] >= 0 for i in range(n)]) & (doc[p] == doc[p + n - 1])] if len(p) else p
+            mine = np.zeros(len(word), np.uint64)
+            mine[: max(len(word) - n + 1, 0)] = _codes(word, n)
+            a = np.searchsorted(code, mine[p])
+            many = np.searchsorted(code, mine[p], side="right") - a
+            a, p, many = a[many > 0], p[many > 0], many[many > 0]
+            done = np.concatenate([[0], np.cumsum(many)])
+            i = 0
+            while i < len(p):
+                j = max(i + 1, int(np.searchsorted(done, done[i] + HITS, side="right")) - 1)
+                m = many[i:j]
+                hit = np.repeat(a[i:j] - (done[i:j] - done[i]), m) + np.arange(m.sum())
+                d, k = np.repeat(doc[p[i:j]], m), item[hit]
+                diagonal = (np.repeat(p[i:j], m) - off[d] - at[hit]) // self.step[k]
+                order = np.lexsort((diagonal, k, d))
+                d, k, diagonal = d[order], k[order], diagonal[order]
+                new = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (diagonal[1:] != diagonal[:-1]))
+                d, k, diagonal = d[new], k[new], diagonal[new]
+                lo = off[d] + (diagonal - 1) * self.step[k]
+                yield d, k, np.maximum(lo, off[d]), np.minimum(lo + 3 * self.step[k] + self.size[k], off[d + 1])
+                i = j
+
+    def cosine(self, col: np.ndarray, item: int) -> float:
+        v = self.columns[col].sum(axis=0)
+        return float(v @ self.space.of_items[item] / max(float(np.linalg.norm(v)), 1e-12))
+
     def windows(self, col: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Latent vectors of the windows, the document of each and its first word."""
         count = np.diff(off)
@@ -278,6 +337,16 @@ class Search:
                 for k, n in self.long_enough(word, lo[part], hi[part], item[part]):
                     k += i
                     self.keep(best, int(doc[at[k]]), int(item[k]), word[lo[k] : hi[k]], n, float(cos[k]), int(start[at[k]] - w.off[doc[at[k]]]))
+        known = np.sort(np.array([d * len(items.ids) + k for d, k in best], np.int64))
+        for d, item, lo, hi in self.shared(word, w.off):
+            new = ~np.isin(d * len(items.ids) + item, known)
+            d, item, lo, hi = d[new], item[new], lo[new], hi[new]
+            for i in range(0, len(d), 1 << 15):
+                part = slice(i, i + (1 << 15))
+                for k, n in self.long_enough(word, lo[part], hi[part], item[part]):
+                    k += i
+                    own = slice(lo[k], hi[k])
+                    self.keep(best, int(d[k]), int(item[k]), word[own], n, self.cosine(items.column(word[own], w.hash[own]), int(item[k])), int(lo[k] - w.off[d[k]]))
         return best
 
     def long_enough(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:

@@ -225,6 +225,27 @@ def test_long_items_are_found(spark, rate):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(len(bench))}
 
 
+@pytest.mark.parametrize("rate", [0, 0.25])
+def test_short_items_are_found(spark, rate):
+    r = random.Random(41)
+    bench = [t for n in range(5 + 3 * (rate > 0), 16) for t in corpus(8, 50 + n, 3000, (n, n))]
+    docs, want = [], set()
+    for i, t in enumerate(corpus(3 * len(bench), 42, 3000, (200, 1500))):
+        w = t.split()
+        if i < len(bench):
+            at, leak = r.randrange(len(w)), edited(bench[i], rate, r)
+            w[at:at] = leak.split()
+            if lcs_plain(bench[i].split(), leak.split()) >= 0.6 * len(bench[i].split()):
+                want.add((i, i))
+        docs.append((i, " ".join(w)))
+    got = decontam.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert len(want) > 0.7 * len(bench) and want <= found
+    for x in got:  # what else is found is a common subsequence of that length, by chance
+        part = docs[x.doc_id][1].split()[max(x.word_at - decontam.STEP, 0) : x.word_at + 3 * max(len(bench[x.item_id].split()) // 4, 2) + 80]
+        assert lcs_plain(bench[x.item_id].split(), part) >= x.lcs >= 0.6 * len(bench[x.item_id].split())
+
+
 # Simple-8b
 
 IDS = st.lists(st.one_of(st.just(0), st.integers(0, 1), st.integers(0, 1 << 17), st.integers(0, (1 << 64) - 1)), max_size=400)
