@@ -5,7 +5,8 @@ An entry is (list_name, pattern, action, at): a host, with all its subdomains, o
 taken off ('remove') at a time. Successive entries of a list and pattern give intervals from one up to the next, closed on the left. A capture is blocked if the most
 specific active pattern that fits it (a longer path first, then a longer host) is on a blocking list; of patterns alike in that, one on the list ALLOW wins.
 
-The join is on the pattern: a capture has as many candidate patterns as its host has labels and its path segments. Spark broadcasts the intervals
+The join is on the pattern: a capture has as many candidate patterns as its host has labels times its path beginnings that end before a slash or
+with it all; none is left out. Spark broadcasts the intervals
 where they are small, and else shuffles the candidates, which hold no page content.
 
 Defined cases: a null or malformed url fits nothing and isn't blocked (host null); nor does a capture without a time. Entries with a null in any column or
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 from graphloom.llm.text import picked, table
 
 ALLOW = "allow"
-#: Labels of a host and segments of a path that patterns can have at most; longer ones are cut at this depth from the right and the left.
-LABELS, SEGMENTS = 8, 4
 
 
 def host_of(url: Column) -> Column:
@@ -49,9 +48,9 @@ def candidates(captures: DataFrame) -> DataFrame:
     """page_id, url, fetched_at, host, row (names the capture), and patterns that could fit."""
     c = picked(captures, page_id="bigint", url="string", fetched_at="timestamp")
     c = c.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    labels, segments = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda x: x != "")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    paths = F.concat(F.array(F.lit("")), F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(SEGMENTS))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>")))
+    labels, segments = F.split("host", r"\."), F.split("path", "/")  # the first segment, before the slash, is empty
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/"))
     both = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(F.concat(h, p).alias("pattern"), F.length(p).alias("path_length"), F.length(h).alias("host_length")))))
     return c.withColumn("fits", F.when(F.col("host").isNotNull(), both)).drop("path")
 

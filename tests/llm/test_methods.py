@@ -108,6 +108,16 @@ def test_url_intervals(spark):
     assert {r.page_id: (r.blocked, r.list_name) for r in got} == {i: (b, n) for i, (_, _, b, n) in enumerate(caps)}
 
 
+def test_url_patterns_of_any_depth(spark):
+    t = datetime(2024, 1, 1)
+    deep = "l1.l2.l3.l4.l5.l6.l7.l8.l9.b.com"
+    patterns = [("ads", "h.com/a/b/c/d/e"), ("allow", "h.com/a/b/c/d/e/f/g"), ("spam", deep), ("ads", "s.com/x/"), ("ads", "s.com/y/z")]
+    e = spark.createDataFrame([(k, p, "add", t) for k, p in patterns], "list_name string, pattern string, action string, at timestamp")
+    caps = {"http://h.com/a/b/c/d": None, "http://h.com/a/b/c/d/e": "ads", "http://h.com/a/b/c/d/e/f": "ads", "http://h.com/a/b/c/d/e/f/g/h?q": "allow", f"http://{deep}/": "spam", f"http://m.{deep}": "spam", "http://s.com/x": None, "http://s.com/x/": "ads", "http://s.com/y//z": None}
+    got = urls.evaluate(spark.createDataFrame([(i, u, t) for i, u in enumerate(caps)], "page_id bigint, url string, fetched_at timestamp"), e).collect()
+    assert {r.url: r.list_name for r in got} == caps
+
+
 # Top-k
 
 
