@@ -23,8 +23,8 @@ from graphloom.llm.text import CHUNK, WORD, arrow_filter, arrow_map, per_documen
 
 #: Labelled documents that the filters are fitted on, for each language (those of the least hash of doc_id).
 TRAIN_DOCS = 600
-#: Most languages; one bit of a table row each.
-MAX_LANGS = 64
+#: Languages of a word of a table row, one bit each; a row has as many words as the languages need.
+WORD_LANGS = 64
 #: Bits of a filter, and rows that an n-gram reads.
 BITS, HASHES = 1 << 20, 3
 #: An n-gram belongs to a language if it makes up this share, against the language where it is most frequent.
@@ -64,7 +64,8 @@ def rows_of(g: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """langs in order of their bits; table of BITS rows; chance of a false hit of each language."""
+    """langs in order of their bits; table of BITS rows, of several words each (bits x words) beyond WORD_LANGS languages; chance of a false hit of each
+    language."""
 
     langs: list[str]
     table: np.ndarray
@@ -73,14 +74,13 @@ class Filters:
     @staticmethod
     def build(of: dict[str, np.ndarray], bits: int = BITS) -> Filters:
         langs = sorted(of)
-        assert len(langs) <= MAX_LANGS
         kind = np.uint8 if len(langs) <= 8 else np.uint64
-        t = np.zeros(bits, kind)
+        t = np.zeros((bits, max(1, -(-len(langs) // WORD_LANGS))), kind)
         for i, lang in enumerate(langs):
             for r in rows_of(of[lang], bits):
-                t[np.unique(r)] |= kind(1 << i)
-        fill = np.array([((t >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
-        return Filters(langs, t, fill**HASHES)
+                t[np.unique(r), i // WORD_LANGS] |= kind(1 << i % WORD_LANGS)
+        fill = np.array([((t[:, i // WORD_LANGS] >> kind(i % WORD_LANGS)) & kind(1)).mean() for i in range(len(langs))])
+        return Filters(langs, t if t.shape[1] > 1 else t[:, 0], fill**HASHES)
 
     def masks(self, g: np.ndarray) -> np.ndarray:
         """The languages that hold each gram, as a bit mask; with the filters' false positives."""
@@ -94,7 +94,8 @@ class Filters:
         m, n = self.masks(g), np.diff(off)
         out = np.empty((len(n), len(self.langs)))
         for i in range(len(self.langs)):
-            hit = np.concatenate([[0], np.cumsum((m >> m.dtype.type(i)) & m.dtype.type(1), dtype=np.int64)])
+            own = m if m.ndim == 1 else m[:, i // WORD_LANGS]
+            hit = np.concatenate([[0], np.cumsum((own >> m.dtype.type(i % WORD_LANGS)) & m.dtype.type(1), dtype=np.int64)])
             out[:, i] = hit[off[1:]] - hit[off[:-1]]
         return np.clip((out - n[:, None] * self.chance) / np.maximum(1 - self.chance, 1e-9), 0, None)
 
@@ -102,10 +103,9 @@ class Filters:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
     """Filters from the documents whose lang is set: the train_docs of each language with the least hash."""
     docs = texts_of(docs, "lang").where("lang is not null and text is not null")
-    langs = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    ids = docs.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= train_docs)
-    # At most MAX_LANGS * train_docs rows of two numbers are sent to the tasks.
+    # At most train_docs rows of two values for each language are sent to the tasks.
     ids = ids.select("doc_id", "lang").distinct()
     sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 

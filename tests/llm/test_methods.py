@@ -65,6 +65,19 @@ def test_noise_has_no_language(spark):
     assert langid.accepted(spark.createDataFrame(noise, "doc_id int, text string"), f).count() <= 1
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    r, rows = random.Random(51), []
+    for k in range(70):
+        letters = r.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        vocab = ["".join(r.choices(letters, k=5)) for _ in range(12)]
+        rows += [(10 * k + i, " ".join(r.choices(vocab, k=40)), f"l{k:02}") for i in range(6 if k < 64 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    f = langid.fit(docs)
+    assert len(f.langs) == 70
+    got = langid.apply(docs, f).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    assert (got.lang_pred == got.lang).mean() > 0.98 and (got.lang_pred == got.lang)[got.lang >= "l64"].all()
+
+
 # Toxicity
 
 
