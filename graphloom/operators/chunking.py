@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -130,8 +131,8 @@ def hashed_vectors(texts: pd.Series, width: int = 256) -> list[np.ndarray]:
     for t in texts:
         v = np.zeros(width, np.float32)
         for w in re.findall(r"\w+", (t or "").lower()):
-            h = int.from_bytes(w.encode()[:16].ljust(16, b"\0"), "little") * 0x9E3779B97F4A7C15 % (1 << 64)
-            v[(h >> 40) % width] += 1 if h >> 39 & 1 else -1
+            h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[(h >> 1) % width] += 1 if h & 1 else -1
         out.append(v / max(float(np.linalg.norm(v)), 1e-12))
     return out
 

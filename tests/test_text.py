@@ -220,3 +220,8 @@ def test_process_and_stream(spark, tmp_path):
 def test_vectors_are_the_same_everywhere():
     a, b = chunking.hashed_vectors(pd.Series(["One two", ""]))
     assert np.linalg.norm(a) == pytest.approx(1) and not b.any()
+
+
+def test_words_of_one_beginning_differ():
+    a, b = chunking.hashed_vectors(pd.Series(["http_example_org_some_long_word_one", "http_example_org_some_long_word_two"]))
+    assert not np.array_equal(a, b)
