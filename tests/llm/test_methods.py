@@ -476,6 +476,29 @@ def test_cross_entropy_difference(spark, monkeypatch):
     assert all(again[i] == pytest.approx(got[i].score, abs=2e-6) for i in seqs)
 
 
+def test_cross_entropy_of_all_words(spark):
+    r = random.Random(61)
+    vocab = [f"r{i}" for i in range(80_000)]
+    r.shuffle(vocab)
+    texts = [" ".join(vocab[i : i + 1000] + r.choices(vocab, k=20)) for i in range(0, len(vocab), 1000)]
+    texts += [" ".join(r.choices(vocab[k : k + 1000], k=300)) for k in (5000, 6000)]
+    good = {i for i in range(len(texts)) if i % 2}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x for x in crossent.score(docs, spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id bigint, quality int")).collect()}
+    seqs, uni, bi = [["|", *t.split(), "|"] for t in texts], [Counter(), Counter()], [Counter(), Counter()]
+    for i, q in enumerate(seqs):
+        for k in [0, 1] if i in good else [1]:
+            uni[k].update(q[1:])
+            bi[k].update(zip(q, q[1:], strict=False))
+    for i, q in enumerate(seqs):
+        own, ctx, ce = Counter(zip(q, q[1:], strict=False)), Counter(q[:-1]), []
+        for k in range(2):
+            m = int(k == 1 or i in good)
+            total = uni[k].total() + len(vocab) + 2
+            ce.append(-sum(n * math.log((bi[k][v, w] - m * n + crossent.MU * (uni[k][w] + 1) / total) / (uni[k][v] - m * ctx[v] + crossent.MU)) for (v, w), n in own.items()) / (len(q) - 1))
+        assert (got[i].ce_target, got[i].ce_background, got[i].score) == pytest.approx((*ce, ce[0] - ce[1]), abs=2e-6)
+
+
 def test_words_match_the_pattern():
     texts = ["Don't stop ÀB-c 東京x 1_2", "", "...", "a"]
     from graphloom.llm.text import Words
