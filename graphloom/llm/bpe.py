@@ -9,7 +9,8 @@ Documents are encoded a batch at a time: pretokens are cut by vector operations
 exactly, each distinct one is encoded once a worker, and ids are gathered.
 
 Defined cases: a null or empty text has no ids and is round-tripped. Repeated rows give repeated results; a
-null doc_id is passed through; other columns are ignored; an empty table gives an empty result.
+null doc_id is passed through; other columns are ignored; an empty table gives an empty result. Decoding: null ids, a null among them,
+and an id that the vocabulary lacks (a negative one too) give a null text, no ids an empty one.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.text import CHUNK, _powers, arrow_map, buffers, mix, slices, table, texts_of
+from graphloom.llm.text import BATCH, CHUNK, arrow_map, buffers, mix, picked, places, slices, table, texts_of
 
 #: A vocabulary of ranks: base64 bytes and the id on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pretokens, and pairs of tokens, that a worker keeps before it starts anew; only speed and memory depend on them.
-KEPT, KEPT_PAIRS = 400_000, 1_000_000
+#: Distinct pretokens, and pairs of tokens, that a worker keeps before it starts anew, and steps of the automaton that it keeps; only speed and memory depend on them.
+KEPT, KEPT_PAIRS, KEPT_STEPS = 400_000, 1_000_000, 2_000_000
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean"
 
 
@@ -56,52 +57,129 @@ class Prefixes:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.valid: dict[int, bool] = {}  # by a << 32 | b: a number is smaller than a pair
-        self.made: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.size = [0] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.size[i] = len(t)
+        self.longest = max(self.size)
+        # An automaton of the tokens: where a byte leads (by state << 8 | byte; those that fall back are added as they occur), the state of the longest
+        # end that is also a beginning of tokens, the longest token that ends in a state; and of each token the next shorter one that ends it.
+        self.to: dict[int, int] = {}
+        self.falls, self.ends, level = [0], [-1], []
+        own: list[int] = [-1]
+        for t, i in ranks.items():
+            state = 0
+            for x in t:
+                if (to := self.to.get(state << 8 | x)) is None:
+                    to = self.to[state << 8 | x] = len(own)
+                    own.append(-1)
+                    level.append((state, x, to))
+                state = to
+            own[state] = i
+        self.falls, self.ends, self.shorter = [0] * len(own), list(own), [-1] * len(self.size)
+        depth = [0] * len(own)
+        for state, _, to in level:  # a state comes after the one that it goes on from
+            depth[to] = depth[state] + 1
+        for state, x, to in sorted(level, key=lambda e: depth[e[2]]):
+            back = self.falls[state]
+            while state and (at := self.to.get(back << 8 | x)) is None and back:
+                back = self.falls[back]
+            self.falls[to] = (at or 0) if state else 0
+            below = self.ends[self.falls[to]]
+            if own[to] >= 0:
+                self.shorter[own[to]] = below
+            else:
+                self.ends[to] = below
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that merging makes this one of last; twice itself if it's a byte; None if merging doesn't make it."""
+        if token in self.halves:
+            return self.halves[token]
+        text = self.bytes_of[token]
+        parts = [text[i : i + 1] for i in range(len(text))]
+        last = (token, token)
+        while len(parts) > 1:
+            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                last = None
+                break
+            last = self.ranks[parts[i]], self.ranks[parts[i + 1]]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        self.halves[token] = last
+        return last
 
     def pair(self, a: int, b: int) -> bool:
-        """Whether the tokens a and b are the encoding of their bytes."""
-        if (ok := self.valid.get(a << 32 | b)) is None:
-            ok = self.valid[a << 32 | b] = merged(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
-            if len(self.valid) > KEPT_PAIRS:
-                self.valid.clear()
+        """Whether the tokens a and b are the encoding of their bytes: undo the merges that made them, latest first; no merge over the border may
+        have come before what is left."""
+        if (ok := self.valid.get(a << 32 | b)) is not None:
+            return ok
+        key, ok, bound = a << 32 | b, self.whole(a) and self.whole(b), 1 << 60
+        ranks, bytes_of = self.ranks, self.bytes_of
+        while ok:
+            over = ranks.get(bytes_of[a] + bytes_of[b])
+            if over is not None and over < bound:
+                ok = False
+                break
+            left, right = self.split(a)[1], self.split(b)[0]
+            if left == a and right == b:
+                break
+            # The later merge is undone; of equals the left one came first.
+            if right == b or left != a and a > b:
+                bound, a = a, left
+            else:
+                bound, b = b + 1, right
+        if len(self.valid) > KEPT_PAIRS:
+            self.valid.clear()
+        self.valid[key] = ok
         return ok
 
+    def whole(self, token: int) -> bool:
+        return self.split(token) is not None
+
     def extend(self, text: bytes, last: list[int]) -> list[int]:
         """last[i] is the last token of text[:i], last[0] is -1. It may hold a first part; the rest is added."""
-        ranks, valid, longest, start = self.ranks, self.valid, self.longest, len(last)
+        to, ends, size, shorter, valid, start, state, add = self.to.get, self.ends, self.size, self.shorter, self.valid.get, len(last), 0, last.append
+        for x in text[max(0, start - 1 - self.longest) : start - 1]:
+            state = self.step(state, x)
         for end in range(start, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(text[begin:end])
-                if token is None:
-                    continue
-                if begin == 0:
-                    # A whole prefix that is a token, and that merging makes.
-                    if end == 1 or self.whole(token):
+            x = text[end - 1]
+            if (at := to(state << 8 | x)) is None:
+                at = self.step(state, x)
+            state = at
+            token = ends[state]
+            while True:  # longest first; the last byte alone is a token
+                before = last[end - size[token]]
+                if before < 0:
+                    if self.whole(token):
                         break
-                    continue
-                ok = valid.get(last[begin] << 32 | token)
-                if ok or ok is None and self.pair(last[begin], token):
-                    break
-            last.append(token)
+                else:
+                    ok = valid(before << 32 | token)
+                    if ok or ok is None and self.pair(before, token):
+                        break
+                token = shorter[token]
+            add(token)
         return last
 
-    def whole(self, token: int) -> bool:
-        if (ok := self.made.get(token)) is None:
-            ok = self.made[token] = merged(self.bytes_of[token], self.ranks) == [token]
-        return ok
+    def step(self, state: int, x: int) -> int:
+        """The state after another byte."""
+        if (at := self.to.get(state << 8 | x)) is None:
+            at = self.step(self.falls[state], x) if state else 0
+            if len(self.to) < KEPT_STEPS:
+                self.to[state << 8 | x] = at
+        return at
 
     def back(self, last: list[int], end: int | None = None) -> list[int]:
         """The encoding of the first end bytes."""
         at, out = len(last) - 1 if end is None else end, []
         while at:
             out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            at -= self.size[last[at]]
         return out[::-1]
 
     def encode(self, text: bytes) -> list[int]:
-        return self.back(self.extend(text, [-1]))
+        token = self.ranks.get(text, -1)
+        return [token] if token >= 0 and self.whole(token) else self.back(self.extend(text, [-1]))
 
 
 class Editable:
@@ -223,7 +301,7 @@ class Batches:
         """All ids, and n + 1 offsets of the documents."""
         data, off = buffers(texts)
         ids, count = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for i, j in slices(off):
+        for i, j in slices(off, 4 * CHUNK):
             x, n = self._run(bytes(data[off[i] : off[j]]), off[i : j + 1] - off[i])
             ids.append(x)
             count.append(n)
@@ -240,11 +318,9 @@ class Batches:
         starts = pretokens(code, code_off)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        power, inverse = _powers(len(code))
-        sums = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)], out=sums[1:])
+        sums = places(code, starts)
         ends = np.concatenate([starts[1:], [len(code)]])
-        which, distinct = pd.factorize(mix((sums[ends] - sums[starts]) * inverse[starts]))
+        which, distinct = pd.factorize(mix(sums[ends] - sums[starts]))
         sample = np.zeros(len(distinct), np.int64)
         sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         if len(self.seen) + len(distinct) > KEPT and self.seen:
@@ -337,25 +413,33 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return encode
 
-    return arrow_map(docs, make, SCHEMA, 8 * CHUNK)
+    return arrow_map(docs, make, SCHEMA, BATCH)
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and text of rows of doc_id and token_ids; ids that aren't UTF-8 together are read with U+FFFD. Null ids
-    give a null text."""
+    """doc_id and text of rows of doc_id and token_ids; ids that aren't UTF-8 together are read with U+FFFD."""
     ranks = load(vocabulary)
     sent, key = ids.sparkSession.sparkContext.broadcast(ranks), named(ranks)
 
     def make():
         codec = worker(key, sent.value)
 
-        def texts(b: pa.RecordBatch) -> Iterator[str | None]:
-            for x in b.column("token_ids"):
-                yield bytes(codec.decode(np.array(x.values, np.int64))).decode(errors="replace") if x.is_valid else None
-
-        return lambda b: pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts(b), pa.string())})
-
-    return arrow_map(ids.selectExpr("cast(doc_id as bigint) doc_id", "cast(token_ids as array<int>) token_ids"), make, "doc_id bigint, text string")
+        def texts(b: pa.RecordBatch) -> pa.RecordBatch:
+            lists = b.column("token_ids")
+            flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            off = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            known = (flat >= 0) & (flat < len(codec.size))
+            known[known] = codec.size[flat[known]] > 0
+            flat = np.where(known, flat, 0)
+            wrong = np.concatenate([[0], np.cumsum(~known)])
+            at = np.concatenate([[0], np.cumsum(codec.size[flat])])[off].tolist()
+            data = bytes(codec.decode(flat))
+            ok = (np.diff(wrong[off]) == 0) & lists.is_valid().to_numpy(zero_copy_only=False)
+            return pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array([data[at[i] : at[i + 1]].decode(errors="replace") if k else None for i, k in enumerate(ok.tolist())], pa.string())})
+
+        return texts
+
+    return arrow_map(picked(ids, doc_id="bigint", token_ids="array<bigint>"), make, "doc_id bigint, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

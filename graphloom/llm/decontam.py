@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages of PASSAGE words of all documents, and the benchmark's items, are TF-IDF rows: a column for each word of the benchmark, and
-   hashed ones for all other words. A randomised SVD is taken in one distributed pass: each task adds up T'(T W) and
+1. Passages of PASSAGE words of all documents and items are TF-IDF rows (a word counts once a passage). Words of the benchmark are hashed to WORD_COLUMNS columns, all
+   other words to OTHER_COLUMNS, whatever their number. A randomised SVD is taken in one distributed pass: each task adds up T'(T W) and
    the document frequencies of its passages T for one random W, and the driver factorises the sum (columns x RANK) as Halko,
    Martinsson and Tropp do for a positive semidefinite matrix. Scaling by IDF comes after, as it only scales W.
 2. Windows of WINDOW words, STEP apart, of every document are projected; those whose cosine with an item is
@@ -12,9 +12,11 @@
    five words of which up to 40 % are replaced where runs are of SHORT_RUN words.
 3. A candidate is contaminated if the longest common subsequence of the words of the item and of the window with a margin is LCS_SHARE of
    the item at least, and that with the item's answer ANSWER_SHARE of the answer: the column answer where the benchmark has one, else
-   the item's last sentence.
+   the item's last sentence. An item of less than MIN_WORDS words must stand there word for word, one of a single word must be all of the document.
 
-Defined cases: null and empty texts hold nothing, and items of less than MIN_WORDS words, null or empty ones match nothing. A document that holds
+The benchmark is searched ITEMS_AT_ONCE items at a time, in one latent space; what tasks are sent of it is in proportion to these.
+
+Defined cases: null and empty texts hold nothing, and null or empty items match nothing. A document that holds
 several items has a row for each, one that holds an item repeatedly one, with its best window. Repeated rows give
 repeated results; items that repeat an item_id are matched by the one that sorts first. A null doc_id is passed
 through; items without an item_id are ignored. Ties go to the first window. Other columns are ignored; an empty table of either kind gives
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,9 @@ from graphloom.session import ship
 PASSAGE, WINDOW, STEP = 256, 64, 16
 #: Latent dimensions, and further ones of the sketch.
 RANK, OVERSAMPLE = 64, 8
-#: Columns for benchmark words (hashed if there are more) and for all others.
-WORD_COLUMNS, OTHER_COLUMNS = 6144, 1024
+#: Columns for benchmark words and for all others, and bits of the filter that tells them apart.
+WORD_COLUMNS, OTHER_COLUMNS, FILTER_BITS = 8192, 1024, 24
+WIDTH = WORD_COLUMNS + OTHER_COLUMNS
 #: Squared IDF: what a passage and an item share by chance is frequent words.
 IDF_POWER = 2
 MIN_COSINE, LCS_SHARE, ANSWER_SHARE, MIN_WORDS = 0.4, 0.6, 0.5, 5
@@ -65,14 +69,6 @@ class Items:
     answers: list[np.ndarray]
     vocab: np.ndarray
 
-    @property
-    def columns(self) -> int:
-        return min(len(self.vocab), WORD_COLUMNS)
-
-    @property
-    def width(self) -> int:
-        return self.columns + OTHER_COLUMNS
-
     def index(self, h: np.ndarray) -> np.ndarray:
         """Of each word, its index in vocab, or -1."""
         if not len(self.vocab):
@@ -80,10 +76,20 @@ class Items:
         i = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[i] == h, i, -1)
 
-    def column(self, i: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Of each word, its column."""
-        own = i if len(self.vocab) <= WORD_COLUMNS else (h % np.uint64(max(self.columns, 1))).astype(np.int64)
-        return np.where(i >= 0, own, self.columns + (h % np.uint64(OTHER_COLUMNS)).astype(np.int64))
+
+def column(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each word, its column; known are the bits of the benchmark's words."""
+    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    own = (known[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)
+    return np.where(own > 0, (h % np.uint64(WORD_COLUMNS)).astype(np.int64), WORD_COLUMNS + (h % np.uint64(OTHER_COLUMNS)).astype(np.int64))
+
+
+def known_words(h: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """The bits with those of these words set."""
+    known = np.zeros(1 << (FILTER_BITS - 3), np.uint8) if known is None else known
+    at = np.unique(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    np.bitwise_or.at(known, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return known
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -101,62 +107,62 @@ def items_of(rows: list) -> Items:
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i, text, answer in sorted((r[0], r[1] or "", r[2] or "") for r in rows if r[0] is not None):
         h = hashes(text)
-        if len(h) >= MIN_WORDS and i not in kept:
+        if len(h) and i not in kept:
             kept[i] = h, hashes(answer or answer_of(text))
     vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for pair in kept.values() for x in pair)]))
     at = lambda h: np.searchsorted(vocab, h)
     return Items(np.array(list(kept), np.int64), [at(h) for h, _ in kept.values()], [at(a) for _, a in kept.values()], vocab)
 
 
-def test_matrix(width: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((width, RANK + OVERSAMPLE)).astype(np.float32)
+def test_matrix() -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((WIDTH, RANK + OVERSAMPLE)).astype(np.float32)
 
 
-def passages(w: Words, items: Items) -> Iterator[np.ndarray]:
+def passages(w: Words, known: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of zeros and ones, some passages at a time."""
-    col = items.column(items.index(w.hash), w.hash)
+    col = column(w.hash, known)
     count = np.diff(w.off)
     many = -(-count // PASSAGE)
     first = np.concatenate([[0], np.cumsum(many)])
     row = np.repeat(first[:-1], count) + (np.arange(len(col)) - np.repeat(w.off[:-1], count)) // PASSAGE
     for a in range(0, int(first[-1]), _ROWS):
         i, j = np.searchsorted(row, [a, a + _ROWS])
-        t = np.zeros((min(_ROWS, int(first[-1]) - a), items.width), np.float32)
+        t = np.zeros((min(_ROWS, int(first[-1]) - a), WIDTH), np.float32)
         t[row[i:j] - a, col[i:j]] = 1
         yield t
 
 
-def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
-    """T'(T W), document frequencies and the number of passages, over all documents."""
-    spark = docs.sparkSession
+def sketch(texts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """T'(T W), document frequencies and the number of passages, over all texts."""
+    spark = texts.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(items)
-    width, rank = items.width, RANK + OVERSAMPLE
-    block = 128
+    sent = spark.sparkContext.broadcast(known)
+    rank, block = RANK + OVERSAMPLE, 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, w = sent.value, test_matrix(width)
-        y, df, n = np.zeros((width, rank)), np.zeros(width), 0
+        known, w = sent.value, test_matrix()
+        y, n = np.zeros((WIDTH, rank + 1)), 0
         for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
-            for _, _, data, off in per_document(b.column("text")):
-                for t in passages(Words(data, off), items):
-                    y += t.T @ (t @ w)
-                    df += t.sum(axis=0)
+            for _, _, data, off in per_document(b.column("text"), 1 << 20):
+                for t in passages(Words(data, off), known):
+                    y[:, :rank] += t.T @ (t @ w)
+                    y[:, rank] += t.sum(axis=0)
                     n += len(t)
         if n:
-            out = np.column_stack([y, df, np.full(width, n)])
-            yield pa.record_batch({"part": pa.array(range(0, width, block), pa.int32()), "sums": pa.array([out[i : i + block].tobytes() for i in range(0, width, block)], pa.binary())})
+            out = y.astype(np.float32)
+            sums = [out[i : i + block].tobytes() for i in range(0, WIDTH, block)]
+            yield pa.record_batch({"part": pa.array(range(0, WIDTH, block), pa.int32()), "n": pa.array([n] * len(sums)), "sums": pa.array(sums, pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), float) for x in t.column("sums"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in t.column("sums"))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([pc.sum(t.column("n")).as_py()]), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "part int, sums binary"
-    rows = texts_of(docs).select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
+    schema = "part int, n bigint, sums binary"
+    rows = texts.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
     if not rows:
-        return np.zeros((width, rank)), np.zeros(width), 0
-    total = np.concatenate([np.frombuffer(r.sums, float).reshape(-1, rank + 2) for r in sorted(rows, key=lambda r: r.part)])
-    return total[:, :rank], total[:, rank], int(total[0, -1])
+        return np.zeros((WIDTH, rank)), np.zeros(WIDTH), 0
+    total = np.concatenate([np.frombuffer(r.sums, float).reshape(-1, rank + 1) for r in sorted(rows, key=lambda r: r.part)])
+    return total[:, :rank], total[:, rank], rows[0].n
 
 
 @dataclass
@@ -164,18 +170,15 @@ class Space:
     """Latent vectors of the columns (IDF and singular values included) and of the items, then of windows of long ones; the item of each."""
 
     items: Items
+    known: np.ndarray
     columns: np.ndarray
     of_items: np.ndarray
     owner: np.ndarray
 
 
-def factorised(items: Items, y: np.ndarray, df: np.ndarray, n: int) -> Space:
-    """The items' own rows are passages too."""
-    t = np.zeros((len(items.ids), items.width), np.float32)
-    for k, x in enumerate(items.words):
-        t[k, items.column(x, items.vocab[x])] = 1
-    w = test_matrix(items.width)
-    y, df, n = y + t.T @ (t @ w), df + t.sum(axis=0), n + len(t)
+def factorised(y: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """The latent vector of each column."""
+    w = test_matrix()
     idf = (np.log((1 + n) / (1 + df)) + 1) ** IDF_POWER
     # With S = diag(idf), S T'T S = A, and y = T'T w, so S y = A (w / idf).
     y, test = y * idf[:, None], w / idf[:, None]
@@ -188,18 +191,20 @@ def factorised(items: Items, y: np.ndarray, df: np.ndarray, n: int) -> Space:
     order = np.argsort(-value)[:RANK]
     order = order[value[order] > 1e-5 * value.max()]  # a corpus of few different passages has fewer dimensions; the others are noise
     value = value[order] - shift
-    columns = (q @ vector[:, order]) * idf[:, None] / np.sqrt(value / n)
-    centre = df / n @ columns
-    of = t @ columns - t.sum(axis=1, keepdims=True) * (centre / max(df.sum() / n, 1))
-    columns = (columns - centre / max(df.sum() / n, 1)).astype(np.float32)
-    parts, owner = [of], list(range(len(items.ids)))
+    columns = (q @ vector[:, order]) * idf[:, None] / np.sqrt(np.maximum(value, 1e-300) / n)
+    return (columns - df / n @ columns / max(df.sum() / n, 1)).astype(np.float32)
+
+
+def space_of(items: Items, known: np.ndarray, columns: np.ndarray) -> Space:
+    parts, owner = [], []
     for k, x in enumerate(items.words):
-        for a in sorted({*range(0, len(x) - WINDOW, 2 * STEP), len(x) - WINDOW}) if len(x) > WINDOW else []:
-            part = x[a : a + WINDOW]
-            parts.append(columns[np.unique(items.column(part, items.vocab[part]))].sum(axis=0, dtype=float)[None])
+        col = column(items.vocab[x], known)
+        starts = sorted({*range(0, len(x) - WINDOW, 2 * STEP), len(x) - WINDOW}) if len(x) > WINDOW else []
+        for part in (col, *(col[a : a + WINDOW] for a in starts)):
+            v = columns[np.unique(part)].sum(axis=0, dtype=float) * (len(x) >= MIN_WORDS)  # shorter ones aren't searched for so
+            parts.append(v / max(float(np.linalg.norm(v)), 1e-12))
             owner.append(k)
-    of = np.concatenate(parts)
-    return Space(items, columns, (of / np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-12)).astype(np.float32), np.array(owner, np.int64))
+    return Space(items, known, columns, np.stack(parts).astype(np.float32), np.array(owner, np.int64))
 
 
 def lcs(item: np.ndarray, words: np.ndarray) -> int:
@@ -237,20 +242,24 @@ class Search:
         self.space, items = space, space.items
         self.columns = np.concatenate([space.columns, np.zeros((1, space.columns.shape[1]), np.float32)])
         self.size = np.array([len(x) for x in items.words], np.int64)
-        self.least = np.ceil(self.size * LCS_SHARE - 1e-9).astype(np.int64)
+        self.least = np.where(self.size < MIN_WORDS, self.size, np.ceil(self.size * LCS_SHARE - 1e-9)).astype(np.int64)
         self.margin = np.where(self.size > WINDOW, self.size, STEP)
-        self.has = np.zeros((len(items.ids), len(items.vocab) + 1), bool)  # the last, index -1, is no word of the benchmark
+        # Item and word in one number, sorted, with the bits of the item's first 64 words that the word is.
+        code, bit = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for k, x in enumerate(items.words):
-            self.has[k, x] = True
-        self.masks = np.zeros(self.has.shape, np.uint64)
+            code.append(k * (len(items.vocab) + 1) + x)
+            bit.append(np.where(np.arange(len(x)) < 64, np.uint64(1) << (np.arange(len(x)) & 63).astype(np.uint64), np.uint64(0)))
+        code, bit = np.concatenate(code), np.concatenate(bit)
+        order = np.argsort(code, kind="stable")
+        code, bit = code[order], bit[order]
+        at = _first(code)
+        self.code, self.bits = code[at], np.bitwise_or.reduceat(bit, at) if len(at) else bit
         self.full = np.array([(1 << min(n, 64)) - 1 for n in self.size.tolist()], np.uint64)
-        for k, x in enumerate(items.words):
-            for i, word in enumerate(x[:64].tolist()):
-                self.masks[k, word] |= np.uint64(1 << i)
 
         self.step = np.maximum(self.size // 4, 2)
         self.runs = []
-        for n, chosen in ((SHORT_RUN, self.size < SHORT), (RUN, self.size >= SHORT)):
+        exact = [(n, self.size == n) for n in range(1, MIN_WORDS)]
+        for n, chosen in (*exact, (SHORT_RUN, (self.size >= MIN_WORDS) & (self.size < SHORT)), (RUN, self.size >= SHORT)):
             k = np.flatnonzero(chosen)
             if not len(k):
                 continue
@@ -278,6 +287,9 @@ class Search:
                 m = many[i:j]
                 hit = np.repeat(a[i:j] - (done[i:j] - done[i]), m) + np.arange(m.sum())
                 d, k = np.repeat(doc[p[i:j]], m), item[hit]
+                if n == 1:  # the item must be all of the document
+                    alone = np.diff(off)[d] == 1
+                    d, k, hit, m = d[alone], k[alone], hit[alone], np.bincount(np.repeat(np.arange(j - i), m)[alone], minlength=j - i)
                 diagonal = (np.repeat(p[i:j], m) - off[d] - at[hit]) // self.step[k]
                 order = np.lexsort((diagonal, k, d))
                 d, k, diagonal = d[order], k[order], diagonal[order]
@@ -318,7 +330,7 @@ class Search:
         """(document, item): lcs, its share, that of the answer, cosine, first word of the best window."""
         items, w = self.space.items, Words(data, off)
         word = items.index(w.hash)
-        vec, doc, start = self.windows(items.column(word, w.hash), w.off)
+        vec, doc, start = self.windows(column(w.hash, self.space.known), w.off)
         vec /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vec, vec)), 1e-12)[:, None]
         best: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(vec), 8192):
@@ -346,7 +358,7 @@ class Search:
                 for k, n in self.long_enough(word, lo[part], hi[part], item[part]):
                     k += i
                     own = slice(lo[k], hi[k])
-                    self.keep(best, int(d[k]), int(item[k]), word[own], n, self.cosine(items.column(word[own], w.hash[own]), int(item[k])), int(lo[k] - w.off[d[k]]))
+                    self.keep(best, int(d[k]), int(item[k]), word[own], n, self.cosine(column(w.hash[own], self.space.known), int(np.searchsorted(self.space.owner, item[k]))), int(lo[k] - w.off[d[k]]))
         return best
 
     def long_enough(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
@@ -354,15 +366,19 @@ class Search:
         bits of their items together."""
         n = hi - lo
         end = np.cumsum(n)
-        hit = self.has[np.repeat(item, n), word[np.repeat(lo - end + n, n) + np.arange(end[-1])]]
+        flat, of = word[np.repeat(lo - end + n, n) + np.arange(end[-1])], np.repeat(item, n)
+        key = np.where(flat >= 0, of * (len(self.space.items.vocab) + 1) + flat, -1)
+        at = np.minimum(np.searchsorted(self.code, key), len(self.code) - 1)
+        hit = self.code[at] == key
         done = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
         few = np.flatnonzero(done[end] - done[end - n] >= self.least[item])
         out = [(k, got) for k in few[self.size[item[few]] > 64].tolist() if (got := lcs(self.space.items.words[item[k]], word[lo[k] : hi[k]])) >= self.least[item[k]]]
         few = few[self.size[item[few]] <= 64]
-        lo, n, item = lo[few], n[few], item[few]
+        mask = np.where(hit, self.bits[at], np.uint64(0))
+        first, n, item = (end - n)[few], n[few], item[few]
         v = np.full(len(few), ~np.uint64(0))
         for j in range(int(n.max(initial=0))):
-            m = np.where(j < n, self.masks[item, word[np.minimum(lo + j, len(word) - 1)]], np.uint64(0))
+            m = np.where(j < n, mask[np.minimum(first + j, len(mask) - 1)], np.uint64(0))
             u = v & m
             v = (v + u) | (v - u)
         size = self.size[item]
@@ -379,13 +395,21 @@ class Search:
 
 
 def spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator[Space]:
-    """A latent space for each part of the benchmark; one, unless it's larger than ITEMS_AT_ONCE."""
-    some = picked(benchmark, item_id="bigint", text="string", answer="string")
-    parts = -(-some.count() // ITEMS_AT_ONCE)
-    for k in range(parts):
-        items = items_of(some.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())
+    """One latent space, with each part of the benchmark; one, unless it's larger than ITEMS_AT_ONCE."""
+    some = picked(benchmark, item_id="bigint", text="string", answer="string").where("item_id is not null")
+    parts, known = -(-some.count() // ITEMS_AT_ONCE), None
+    of = [some.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts)]
+    first = None
+    for part in of:  # the driver holds one part at a time
+        items = items_of(part.collect())
+        first, known = first or items, known_words(items.vocab, known)
+    if known is None or not known.any():
+        return
+    columns = factorised(*sketch(texts_of(docs).select("text").unionByName(some.select("text")), known))
+    for k, part in enumerate(of):
+        items = items_of(part.collect()) if k else first
         if len(items.ids):
-            yield factorised(items, *sketch(docs, items))
+            yield space_of(items, known, columns)
 
 
 def contaminated(docs: DataFrame, space: Space) -> DataFrame:

@@ -1,26 +1,26 @@
 """N-gram Jaccard join: a size-aware heavy-light join.
 
-Two documents are joined if the Jaccard similarity of their sets of word n-grams is THRESHOLD at least. It is exact:
+Two documents are linked if the Jaccard similarity of their sets of word n-grams is THRESHOLD at least. It is exact:
 
-1. Every n-gram is sent to a bucket, which counts the sets that hold it. N-grams of one set only are dropped; what
-   is left goes back to its set. A set of size n with a partner shares need = ceil(THRESHOLD * n) n-grams or more, so
-   one that has fewer shared n-grams is done with.
-2. The shared n-grams of a set are ordered, rare ones first. Partners share k of the first
+1. A first pass names the set of every document, and finds the n-grams that so many sets hold that their postings must not meet in one place (hot).
+2. Every other n-gram is sent to a bucket, which counts the sets that hold it. N-grams of one set only are dropped; what
+   is left goes back to its set, and so do, straight, the hot ones, whose counts are known. A set of size n with a partner shares
+   need = ceil(THRESHOLD * n) n-grams or more, so one that has fewer shared n-grams is done with.
+3. The shared n-grams of a set are ordered, rare ones first. Partners share k of the first
    shared - need + k of them, for any k. Sets up to a boundary of size (light) enumerate the subsets of k = 2 of
    theirs, and those of need = 1 single n-grams too, and two that have a subset in common are a candidate. Larger sets (heavy) scan the inverted lists of
    theirs for k = 1, in which all sets stand. The boundary is the size that makes the counted cost of
    both least. Lists live where the least set of their n-gram says, so that a pair found by many n-grams
-   is mostly found in one place, where it counts once.
-3. Candidates are verified on their whole sets, at the least n-gram of the smaller id.
+   is mostly found in one place, where it counts once. A list of more than LIST sets is cut into parts, and each two parts meet in a place of their own.
+4. Candidates are verified on their whole sets, at the least n-gram of the smaller id; many candidates of one place are split over several.
 
-Sets are named by 64-bit fingerprints and n-grams by 40 bits and their bucket, so a false match has a chance of about
-1e-8 a pair. Documents with equal sets are one set while pairs are searched. all_pairs then gives every pair of documents: all within a
-set, and all of one set with all of another for each verified pair of sets, so its rows grow with the square of the copies. join
-lets the least doc_id stand for a set and pairs each of the others with that one, which connects the same documents.
+Sets are named by 64-bit fingerprints and n-grams by 48 bits and their bucket. Documents with equal sets are one set while pairs are searched, and copies are never
+expanded into pairs: classes gives each document its class (the least doc_id of all that links connect it with) and its number of links, copies and
+near copies alike; join gives the pairs of the least documents of the sets, and pairs each other document of a set with the least.
 
 Defined cases: texts without a word (null, empty) have an empty set and no partner. A text of less than N words has one
-n-gram of all of them. Rows without a doc_id are ignored; rows that repeat a doc_id with the same set count once, and
-a document isn't paired with itself. Other columns are ignored; an empty table gives an empty result.
+n-gram of all of them. Rows without a doc_id are ignored; rows that repeat a doc_id with the same set count once, those that repeat it with another set are documents
+of their own. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,15 +41,22 @@ N, THRESHOLD = 5, 0.5
 SUBSET_COST = 4.0
 #: Bytes of text whose n-grams are sorted at once.
 AT_ONCE = 16 << 20
-#: Candidate pairs that are made at once.
-BLOCK = 2_000_000
+#: Candidate pairs that are made at once, sets of an inverted list that meet in one place, and candidates that are verified in one.
+BLOCK, LIST, VERIFIED = 2_000_000, 4096, 8_000_000
+#: An n-gram is hot if batches that hold it OFTEN times count it so many times, and more than a millionth of all n-grams; so there are a million hot ones at most.
+OFTEN, HOT, HOT_SHARE = 16, 50_000, 1e-6
+#: Documents whose ids are sent to all tasks; if there are more, they are joined.
+IDS_AT_ONCE = 2_000_000
 
 _RUN = np.dtype([("set", "<u8"), ("size", "<u4"), ("count", "<u4")])
 _DOC = np.dtype([("set", "<u8"), ("id", "<i8"), ("size", "<u4")])
 _POST = np.dtype([("token", "<u8"), ("df", "<u4"), ("home", "<u4")])
-_LOW = np.uint64((1 << 40) - 1)
+_OFTEN = np.dtype([("gram", "<u8"), ("n", "<u4")])
+#: Bytes of an n-gram that are sent to its bucket.
+_SENT = 6
+_LOW = np.uint64((1 << 8 * _SENT) - 1)
 BLOBS = "kind int, key int, a binary, b binary"
-SETS = "kind int, id bigint, size bigint, grp int, p1 int, subsets double, lists double, tokens binary, homes binary, docs array<bigint>"
+SETS = "id bigint, size bigint, grp int, p1 int, subsets double, lists double, tokens binary, homes binary, dfs binary"
 
 
 def _blobs(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -111,35 +118,115 @@ def _sets(ids: np.ndarray, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndar
     return docs, grams, owner
 
 
-def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Kind 0: the n-grams of a bucket, by set; kind 1: documents."""
+def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _token(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """The name of an n-gram, from what is sent of it and its bucket."""
+    return low + mix(np.asarray(bucket).astype(np.uint64) << np.uint64(8 * _SENT))
+
+
+def _first_pass(docs: DataFrame, n: int) -> DataFrame:
+    """A row for each batch: its documents, the n-grams that many of its sets hold with how many do, and how many n-grams all its sets have."""
+
+    def make():
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            docs, grams, _ = _sets(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text"), n)
+            g = np.sort(np.concatenate(grams))
+            at = _starts(g)
+            many = np.diff(np.append(at, len(g)))
+            often = np.zeros(int((many >= OFTEN).sum()), _OFTEN)
+            often["gram"], often["n"] = g[at][many >= OFTEN], many[many >= OFTEN]
+            return pa.record_batch([pa.array([np.concatenate(docs).tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary()), pa.array([len(g)])], names=["docs", "often", "grams"])
+
+        return one
+
+    return arrow_map(docs, make, "docs binary, often binary, grams bigint", AT_ONCE)
+
+
+def _documents(first: DataFrame) -> DataFrame:
+    """id, name (of its set) and size of the documents with a word, each once."""
 
     def make():
+        def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+            d = _join(b.column("docs"), _DOC)
+            return pa.record_batch([pa.array(d["id"].astype(np.int64)), pa.array(d["set"].astype(np.uint64).view(np.int64)), pa.array(d["size"].astype(np.int64))], names=["id", "name", "size"])
+
+        return rows
+
+    return arrow_map(first.select("docs"), make, "id bigint, name bigint, size bigint").distinct()
+
+
+def _hot(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot n-grams, sorted, and their counts."""
+
+    def make():
+        def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+            x = _join(b.column("often"), _OFTEN)
+            return pa.record_batch([pa.array(x["gram"].astype(np.uint64).view(np.int64)), pa.array(x["n"].astype(np.int64))], names=["gram", "n"])
+
+        return rows
+
+    least = max(HOT, int((first.agg(F.sum("grams")).first()[0] or 0) * HOT_SHARE))
+    got = arrow_map(first.select("often"), make, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    gram = got["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], np.minimum(got["n"].to_numpy(np.int64)[order], (1 << 32) - 1).astype(np.uint32)
+
+
+def _postings(docs: DataFrame, n: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Kind 0: the n-grams of a bucket, by set; kind 1: hot n-grams, for the bucket of their set."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def make():
+        known, count = sent.value
+
         def post(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            docs, grams, owner = _sets(ids, b.column("text"), n)
+            docs, grams, owner = _sets(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text"), n)
             g, o = np.concatenate(grams), np.concatenate(owner).astype(np.int64)
             heads = np.concatenate([d[: int(m)] for d, m in zip(docs[1:], _fresh_counts(owner[1:]), strict=True)] or [np.zeros(0, _DOC)])
-            every = np.concatenate(docs)
-            bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            is_hot = np.zeros(len(g), bool)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                is_hot = known[at] == g
+            bucket = _bucket(g, buckets)
+            direct = _direct(g[is_hot], o[is_hot], bucket[is_hot], count[at[is_hot]], heads, buckets) if is_hot.any() else None
+            bucket, o, g = bucket[~is_hot], o[~is_hot], g[~is_hot]
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             bucket, o, g = bucket[order], o[order], g[order]
             at = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (o[1:] != o[:-1])])) if len(g) else np.zeros(0, np.int64)
             runs = np.zeros(len(at), _RUN)
             runs["set"], runs["size"], runs["count"] = heads["set"][o[at]], heads["size"][o[at]], np.diff(np.append(at, len(g)))
             key_at = _starts(bucket)
-            low = (g & _LOW).view(np.uint8).reshape(-1, 8)[:, :5]
-            home, keys, cuts = _split(_set_bucket(every["set"], buckets), every, buckets)
-            kinds = np.repeat(np.array([0, 1], np.int32), [len(key_at), len(keys)])
-            a = pa.concat_arrays([_blobs(runs, np.append(np.searchsorted(at, key_at), len(runs))), _blobs(home, cuts)])
-            c = pa.concat_arrays([_blobs(low, np.append(key_at, len(g))), pa.array([b""] * len(keys), pa.binary())])
-            return pa.record_batch([pa.array(kinds), pa.array(np.concatenate([bucket[key_at], keys]).astype(np.int32)), a, c], names=["kind", "key", "a", "b"])
+            low = (g & _LOW).view(np.uint8).reshape(-1, 8)[:, :_SENT]
+            made = pa.record_batch([pa.array(np.zeros(len(key_at), np.int32)), pa.array(bucket[key_at].astype(np.int32)), _blobs(runs, np.append(np.searchsorted(at, key_at), len(runs))), _blobs(low, np.append(key_at, len(g)))], names=["kind", "key", "a", "b"])
+            return pa.Table.from_batches([made, direct]).combine_chunks().to_batches()[0] if direct is not None and len(key_at) else direct if direct is not None else made
 
         return post
 
     return arrow_map(docs, make, BLOBS, AT_ONCE)
 
 
+def _posted(post: np.ndarray, name: np.ndarray, size: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Rows for the buckets of the sets: runs and posts."""
+    to = _set_bucket(name, buckets)
+    order = np.lexsort((name, to))
+    post, name, size, to = post[order], name[order], size[order], to[order]
+    at = _starts(name)  # sets of one bucket are side by side
+    out = np.zeros(len(at), _RUN)
+    out["set"], out["size"], out["count"] = name[at], size[at], np.diff(np.append(at, len(name)))
+    key_at = _starts(to)
+    return pa.record_batch([pa.array(np.full(len(key_at), kind, np.int32)), pa.array(to[key_at].astype(np.int32)), _blobs(out, np.append(np.searchsorted(at, key_at), len(out))), _blobs(post, np.append(key_at, len(post)))], names=["kind", "key", "a", "b"])
+
+
+def _direct(g: np.ndarray, o: np.ndarray, bucket: np.ndarray, df: np.ndarray, heads: np.ndarray, buckets: int) -> pa.RecordBatch:
+    post = np.zeros(len(g), _POST)
+    post["token"], post["df"] = _token(g & _LOW, bucket), df
+    post["home"] = (mix(post["token"]) >> np.uint64(32)).astype(np.uint32)
+    return _posted(post, heads["set"][o], heads["size"][o], 1, buckets)
+
+
 def _fresh_counts(owner: list[np.ndarray]) -> Iterator[int]:
     done = 0
     for o in owner:
@@ -155,10 +242,10 @@ def _shared(buckets: int):
         kind = t.column("kind").to_numpy()
         mine = t.filter(pa.array(kind == 0))
         runs = _join(mine.column("a"), _RUN)
-        low = _join(mine.column("b"), np.uint8).reshape(-1, 5)
+        low = _join(mine.column("b"), np.uint8).reshape(-1, _SENT)
         tok = np.zeros((len(low), 8), np.uint8)
-        tok[:, :5] = low
-        tok = tok.view(np.uint64).ravel() | np.uint64(key[0].as_py()) << np.uint64(40)
+        tok[:, :_SENT] = low
+        tok = _token(tok.view(np.uint64).ravel(), key[0].as_py())
         _, first = np.unique(runs["set"], return_index=True)  # one set came from several tasks
         keep = np.zeros(len(runs), bool)
         keep[first] = True
@@ -174,15 +261,7 @@ def _shared(buckets: int):
         many = np.repeat(df >= 2, df)
         post = np.zeros(int(many.sum()), _POST)
         post["token"], post["df"], post["home"] = tok[many], np.repeat(df, df)[many], (mix(np.repeat(home, df)[many]) >> np.uint64(32)).astype(np.uint32)
-        run, name = run[many], name[many]
-        to = _set_bucket(name, buckets)
-        order = np.lexsort((name, to))
-        post, run, name, to = post[order], run[order], name[order], to[order]
-        at = _starts(name)  # sets of one bucket are side by side
-        out = np.zeros(len(at), _RUN)
-        out["set"], out["size"], out["count"] = name[at], runs["size"][run[at]], np.diff(np.append(at, len(name)))
-        key_at = _starts(to)
-        made = pa.table([pa.array(np.zeros(len(key_at), np.int32)), pa.array(to[key_at].astype(np.int32)), _blobs(out, np.append(np.searchsorted(at, key_at), len(out))), _blobs(post, np.append(key_at, len(post)))], names=["kind", "key", "a", "b"])
+        made = pa.Table.from_batches([_posted(post, name[many], runs["size"][run[many]], 0, buckets)])
         return pa.concat_tables([made, t.filter(pa.array(kind == 1)).select(["kind", "key", "a", "b"]).cast(made.schema)])
 
     return reduce
@@ -193,60 +272,34 @@ def _need(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _survivors(threshold: float):
-    """Reduces a bucket of sets: kind 0, those that may have a partner, with their shared n-grams; kind 1, the documents of a set, where it
-    is of kind 0 or has several."""
+    """Reduces a bucket of sets: those that may have a partner, with their shared n-grams."""
 
     def reduce(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        kind = t.column("kind").to_numpy()
-        mine = t.filter(pa.array(kind == 0))
-        runs, post = _join(mine.column("a"), _RUN), _join(mine.column("b"), _POST)
+        runs, post = _join(t.column("a"), _RUN), _join(t.column("b"), _POST)
         run = np.repeat(np.arange(len(runs)), runs["count"])
         name = runs["set"][run]
         order = np.lexsort((post["token"], post["df"], name))
         name, post, run = name[order], post[order], run[order]
+        new = np.append(True, (name[1:] != name[:-1]) | (post["token"][1:] != post["token"][:-1]))[: len(name)]  # hot ones of a set that came from several tasks
+        name, post, run = name[new], post[new], run[new]
         at = _starts(name)
         shared, size = np.diff(np.append(at, len(name))), runs["size"][run[at]].astype(np.int64)
         need = _need(size, threshold)
         ok = shared >= need
-        sets, lists = name[at], np.zeros(len(at))
         p1 = np.maximum(shared - need + 1, 0)
         done = np.concatenate([[0], np.cumsum(post["df"], dtype=np.int64)])
-        lists = done[at + np.maximum(p1, 0)] - done[at] if len(at) else lists
+        lists = (done[at + p1] - done[at]).astype(float) if len(at) else np.zeros(0)
         least = np.minimum.reduceat(post["token"], at) if len(at) else np.zeros(0, np.uint64)
         group = (mix(least) >> np.uint64(33)).astype(np.int32)
         take = np.repeat(ok, shared)
         cuts = np.concatenate([[0], np.cumsum(shared[ok])])
-        subsets = p1 * (p1 + 1) / 2.0
-        docs = _join(t.filter(pa.array(kind == 1)).column("a"), _DOC)
-        docs = np.unique(docs[docs["id"] != _NO_ID])
-        d_at = _starts(docs["set"])
-        d_count = np.diff(np.append(d_at, len(docs)))
-        wanted = (d_count > 1) | np.isin(docs["set"][d_at], sets[ok])
-        d_take = np.repeat(wanted, d_count)
-        m, k = int(ok.sum()), int(wanted.sum())
-        none = lambda kind, n: pa.nulls(n, kind)
-        cat = pa.concat_arrays
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [m, k])),
-                "id": pa.array(np.concatenate([sets[ok], docs["set"][d_at][wanted]]).view(np.int64)),
-                "size": cat([pa.array(size[ok]), none(pa.int64(), k)]),
-                "grp": cat([pa.array(group[ok]), none(pa.int32(), k)]),
-                "p1": cat([pa.array(p1[ok].astype(np.int32)), none(pa.int32(), k)]),
-                "subsets": cat([pa.array(subsets[ok]), none(pa.float64(), k)]),
-                "lists": cat([pa.array(lists[ok].astype(float)), none(pa.float64(), k)]),
-                "tokens": cat([_blobs(post["token"][take], cuts), none(pa.binary(), k)]),
-                "homes": cat([_blobs(post["home"][take], cuts), none(pa.binary(), k)]),
-                "docs": cat([none(pa.list_(pa.int64()), m), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d_count[wanted])]).astype(np.int32)), pa.array(docs["id"][d_take]))]),
-            }
-        )
+        of = {"tokens": "token", "homes": "home", "dfs": "df"}
+        plain = {"id": name[at].view(np.int64), "size": size, "grp": group, "p1": p1.astype(np.int32), "subsets": p1 * (p1 + 1) / 2.0, "lists": lists}
+        return pa.table({k: pa.array(v[ok]) for k, v in plain.items()} | {k: _blobs(post[v][take], cuts) for k, v in of.items()})
 
     return reduce
 
 
-_NO_ID = -(1 << 63)
-
-
 def boundary(sets: DataFrame) -> float:
     """The size up to which sets are light: where subsets of all up to it and inverted lists of the larger cost least."""
     rows = sets.groupBy(F.floor(F.log2("size") * 4).alias("c")).agg(F.sum("subsets").alias("s"), F.sum("lists").alias("l"), F.max("size").alias("m")).orderBy("c").collect()
@@ -256,25 +309,42 @@ def boundary(sets: DataFrame) -> float:
     return float(rows[k - 1].m) if k else 0.0
 
 
+def _placed(value: np.ndarray, home: np.ndarray, df: np.ndarray, name: int, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists that a set stands in and their buckets. A long list is cut into parts: the set is in one of them, and meets each part of the list in a
+    place of its own."""
+    parts = -(-df.astype(np.int64) // most)
+    long = parts > 1
+    at = home.astype(np.int64) % buckets
+    if not long.any():
+        return value, at
+    v, n = value[long], parts[long]
+    mine = np.repeat((mix(v ^ np.uint64(name & 0xFFFFFFFFFFFFFFFF)) % n.astype(np.uint64)).astype(np.int64), n)
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    two = np.minimum(mine, other) << 32 | np.maximum(mine, other)
+    v = mix(np.repeat(v, n) + mix(two.astype(np.uint64) + np.uint64(1)))
+    return np.concatenate([value[~long], v]), np.concatenate([at[~long], (mix(v) % np.uint64(buckets)).astype(np.int64)])
+
+
 def _keys(sets: DataFrame, light: float, buckets: int) -> DataFrame:
     """A row for each set and bucket of lists: keys of subsets (a), n-grams (b)."""
 
     def make():
         def post(b: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {c: [] for c in ("key", "id", "size", "grp", "heavy", "a", "b")}
-            for name, size, grp, p1, tokens, homes in zip(*(b.column(c) for c in ("id", "size", "grp", "p1", "tokens", "homes")), strict=True):
-                tok, home = np.frombuffer(tokens.as_buffer(), np.uint64), np.frombuffer(homes.as_buffer(), np.uint32) % buckets
-                p, heavy = p1.as_py(), size.as_py() > light
+            for name, size, grp, p1, tokens, homes, dfs in zip(*(b.column(c) for c in ("id", "size", "grp", "p1", "tokens", "homes", "dfs")), strict=True):
+                tok, home, df = np.frombuffer(tokens.as_buffer(), np.uint64), np.frombuffer(homes.as_buffer(), np.uint32), np.frombuffer(dfs.as_buffer(), np.uint32)
+                name, p, heavy = name.as_py(), p1.as_py(), size.as_py() > light
                 subs, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if not heavy:
                     i, j = np.triu_indices(min(p + 1, len(tok)), 1)
-                    subs, at = mix(tok[i] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[j])), home[i]
-                if not heavy and p == len(tok):  # need = 1: a partner may share a single n-gram, and then has need = 1 too
-                    subs, at = np.concatenate([subs, mix(tok)]), np.concatenate([at, home])
-                tok, home = tok[:p], home[:p]
+                    subs, where, many = mix(tok[i] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[j])), home[i], df[i]
+                    if p == len(tok):  # need = 1: a partner may share a single n-gram, and then has need = 1 too
+                        subs, where, many = np.concatenate([subs, mix(tok)]), np.concatenate([where, home]), np.concatenate([many, df])
+                    subs, at = _placed(subs, where, many, name, buckets, LIST)
+                tok, home = _placed(tok[:p], home[:p], df[:p], name, buckets, LIST)
                 for h in np.unique(np.concatenate([at, home])).tolist():
                     out["key"].append(h)
-                    out["id"].append(name.as_py())
+                    out["id"].append(name)
                     out["size"].append(size.as_py())
                     out["grp"].append(grp.as_py())
                     out["heavy"].append(heavy)
@@ -284,7 +354,7 @@ def _keys(sets: DataFrame, light: float, buckets: int) -> DataFrame:
 
         return post
 
-    return arrow_map(sets.select("id", "size", "grp", "p1", "tokens", "homes"), make, "key int, id bigint, size bigint, grp int, heavy boolean, a binary, b binary")
+    return arrow_map(sets.select("id", "size", "grp", "p1", "tokens", "homes", "dfs"), make, "key int, id bigint, size bigint, grp int, heavy boolean, a binary, b binary")
 
 
 def _pairs_of(who: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -303,7 +373,7 @@ def _pairs_of(who: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 def _candidates(threshold: float):
     def reduce(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         name, size, grp, heavy = (t.column(c).to_numpy() for c in ("id", "size", "grp", "heavy"))
-        m, found = len(name), np.zeros(0, np.int64)
+        m, found, more, held = len(name), np.zeros(0, np.int64), [], 0
         for column, need_heavy in (("a", False), ("b", True)):
             if need_heavy and not heavy.any():
                 continue
@@ -323,7 +393,11 @@ def _candidates(threshold: float):
                 if need_heavy:
                     ok &= heavy[a] | heavy[b]
                 a, b = a[ok], b[ok]
-                found = np.unique(np.concatenate([found, np.minimum(a, b) * m + np.maximum(a, b)]))
+                more.append(np.unique(np.minimum(a, b) * m + np.maximum(a, b)))
+                held += len(more[-1])
+                if held > max(len(found), BLOCK):
+                    found, more, held = np.unique(np.concatenate([found, *more])), [], 0
+        found = np.unique(np.concatenate([found, *more]))
         a, b = found // m, found % m
         swap = name[a] > name[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -332,14 +406,16 @@ def _candidates(threshold: float):
     return reduce
 
 
-def _verify(threshold: float, forest: bool):
+def _verify(threshold: float, mode: str):
+    """Of a place's candidates those that are similar: all ('pairs'); as many as connect what all connect ('forest'); or these, and for each set how many
+    documents its partners have (links, with b null: 'classes')."""
+
     def reduce(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
         if not len(pairs) or not len(sets):
-            return none
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64()), "links": pa.array([], pa.int64())})
         name, first = np.unique(sets.column("id").to_numpy(), return_index=True)
         sets = sets.take(pa.array(first))
-        size = sets.column("size").to_numpy().astype(np.int64)
+        size, copies = (sets.column(c).to_numpy().astype(np.int64) for c in ("size", "copies"))
         parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("tokens")]
         count = np.array([len(p) for p in parts], np.int64)
         off = np.concatenate([[0], np.cumsum(count)])
@@ -367,10 +443,17 @@ def _verify(threshold: float, forest: bool):
         sim = both / (size[a] + size[b] - both)
         ok = sim >= threshold - 1e-12
         a, b, sim = a[ok], b[ok], sim[ok]
-        if forest:
+        links = np.zeros(len(name), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        if mode != "pairs":
             keep = spanning(a, b, len(name))
             a, b, sim = a[keep], b[keep], sim[keep]
-        return pa.table({"a": pa.array(name[a]), "b": pa.array(name[b]), "jaccard": pa.array(sim)})
+        out = pa.table({"a": pa.array(name[a]), "b": pa.array(name[b]), "jaccard": pa.array(sim), "links": pa.nulls(len(a), pa.int64())})
+        if mode != "classes":
+            return out
+        some = np.flatnonzero(links)
+        return pa.concat_tables([out, pa.table({"a": pa.array(name[some]), "b": pa.nulls(len(some), pa.int64()), "jaccard": pa.nulls(len(some), pa.float64()), "links": pa.array(links[some])})])
 
     return reduce
 
@@ -389,49 +472,61 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _true_pairs(docs: DataFrame, n: int, threshold: float, forest: bool, light: float | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets (a, b, jaccard), and the documents of each set (id, docs)."""
+def _found(docs: DataFrame, n: int, threshold: float, mode: str, light: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What _verify gives (a, b, jaccard, links); the documents (id, name of the set); the sets (name, copies, rep: the least of their documents)."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = texts_of(docs).where("text is not null and doc_id is not null")
-    shared = _postings(docs, n, parts).groupBy("key").applyInArrow(_shared(parts), BLOBS)
+    first = written(_first_pass(docs, n), "jaccard-first")
+    of = _documents(first)
+    stats = of.groupBy("name").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
+    shared = _postings(docs, n, parts, _hot(first)).groupBy("key").applyInArrow(_shared(parts), BLOBS)
     sets = written(shared.groupBy("key").applyInArrow(_survivors(threshold), SETS), "jaccard-sets")
-    some, ids = sets.where("kind = 0"), sets.where("kind = 1").select("id", "docs")
-    light = boundary(some) if light is None else light
-    pairs = _keys(some, light, parts * 4).groupBy("key").applyInArrow(_candidates(threshold), "a bigint, b bigint, grp int")
+    light = boundary(sets) if light is None else light
+    pairs = _keys(sets, light, parts * 4).groupBy("key").applyInArrow(_candidates(threshold), "a bigint, b bigint, grp int")
     pairs = written(pairs.select("a", "b", F.pmod("grp", F.lit(parts * 2)).alias("grp")), "jaccard-pairs")
+    # A place of many candidates is split by the first set; a row for each place, of which there are parts * 2.
+    many = pairs.groupBy("grp").agg(F.ceil(F.count("*") / VERIFIED).alias("n"))
+    pairs = pairs.join(F.broadcast(many), "grp").select("a", "b", (F.col("grp") + F.lit(parts * 2) * F.pmod(F.xxhash64("a"), F.col("n"))).alias("grp"))
     need = pairs.select(F.col("grp").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    need = need.join(some.select("id", "size", "tokens"), "id").select("at", "id", "size", "tokens")
-    return pairs.groupBy("grp").cogroup(need.groupBy("at")).applyInArrow(_verify(threshold, forest), "a bigint, b bigint, jaccard double"), ids
+    need = need.join(sets.select("id", "size", "tokens"), "id").join(stats.select(F.col("name").alias("id"), "copies"), "id").select("at", "id", "size", "tokens", "copies")
+    return pairs.groupBy("grp").cogroup(need.groupBy("at")).applyInArrow(_verify(threshold, mode), "a bigint, b bigint, jaccard double, links bigint"), of, stats
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, light: float | None = None) -> DataFrame:
-    """left_id < right_id, jaccard. forest: of the pairs that are found in one place, only as many as connect the same documents. light: the boundary, else it's
-    the one of least cost."""
-    true, ids = _true_pairs(docs, n, threshold, forest, light)
-    of = ids.select("id", F.col("docs")[0].alias("doc"))
-    near = true.join(of.select(F.col("id").alias("a"), F.col("doc").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("doc").alias("y")), "b")
+    """left_id < right_id, jaccard: the pairs of the least documents of two sets, and each other document of a set with its least. forest: of the pairs of sets
+    that are found in one place, only as many as connect the same documents. light: the boundary, else it's the one of least cost."""
+    true, of, stats = _found(docs, n, threshold, "forest" if forest else "pairs", light)
+    rep = stats.select("name", "rep")
+    near = true.join(rep.select(F.col("name").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("name").alias("b"), F.col("rep").alias("y")), "b")
     near = near.where("x <> y").groupBy(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).agg(F.max("jaccard").alias("jaccard"))
-    same = ids.select(F.col("docs")[0].alias("left_id"), F.explode(F.expr("slice(docs, 2, size(docs))")).alias("right_id"), F.lit(1.0).alias("jaccard"))
+    same = of.join(rep, "name").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
     return near.withColumn("jaccard", F.round("jaccard", 6)).unionByName(same)
 
 
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, light: float | None = None) -> DataFrame:
-    """left_id < right_id, jaccard of every pair of documents, copies among them. Of a doc_id with several texts the most similar counts."""
-    true, ids = _true_pairs(docs, n, threshold, False, light)
-    near = true.join(ids.withColumnRenamed("id", "a"), "a").select("b", "jaccard", F.explode("docs").alias("x"))
-    near = near.join(ids.withColumnRenamed("id", "b"), "b").select("x", F.explode("docs").alias("y"), "jaccard")
-    same = ids.where("size(docs) > 1").select("docs", F.posexplode("docs").alias("k", "x"))
-    same = same.select("x", F.explode(F.expr("slice(docs, k + 2, size(docs))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    both = near.unionByName(same).where("x <> y").groupBy(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
-    return both.agg(F.max("jaccard").alias("jaccard")).withColumn("jaccard", F.round("jaccard", 6))
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, light: float | None = None) -> DataFrame:
+    """A row for each document with a doc_id: doc_id, class_id (the least doc_id of those that links connect it with, itself among them) and n_links, how many other
+    documents it is similar to, copies and near copies. Documents without a word have no link. Work and rows for copies are in proportion to their number."""
+    true, of, stats = _found(docs, n, threshold, "classes", light)
+    true = written(true, "jaccard-classes")
+    of, stats = written(of.select("id", "name"), "jaccard-docs"), written(stats, "jaccard-stats")
+    rep = stats.select("name", "rep")
+    edges = true.where("b is not null").join(rep.select(F.col("name").alias("a"), F.col("rep").alias("left_id")), "a").join(rep.select(F.col("name").alias("b"), F.col("rep").alias("right_id")), "b")
+    least = components(edges).select(F.col("id").alias("rep"), "least")
+    links = true.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
+    sets = stats.join(links, "name", "left").join(least, "rep", "left")
+    sets = sets.select("name", F.coalesce("least", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = of.join(sets, "name").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    rest = texts_of(docs).where("doc_id is not null").select("doc_id").distinct().join(of.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    return linked.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """id and the least id that pairs connect it with, by alternating stars: every node points its larger
     neighbours, then its smaller ones, to the least."""
     edges = written(pairs.select(F.greatest("left_id", "right_id").alias("u"), F.least("left_id", "right_id").alias("v")).where("u <> v").distinct(), "edges")
+    before = _sum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -439,23 +534,55 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = written(small, "edges")
-        if not edges.exceptAll(after).limit(1).count() and not after.exceptAll(edges).limit(1).count():
+        now = _sum(after)
+        if now == before:
             return after.select(F.col("u").alias("id"), F.col("v").alias("least"))
-        edges = after
+        edges, before = after, now
+
+
+def _sum(edges: DataFrame) -> tuple:
+    """Tells whether two sets of edges are the same."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, without those whose doc_id is connected with a lesser one. Of rows that repeat a doc_id and text one stays;
     rows without a doc_id stay."""
-    gone = components(join(docs, n, threshold, forest=True)).select(F.col("id").alias("gone"))
+    gone = written(components(join(docs, n, threshold, forest=True)).select(F.col("id").alias("gone")), "gone")
     names = docs.columns
     d = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that differ in case only don't clash
     key, text = (F.col(f"c{names.index(k)}") for k in ("doc_id", "text"))
-    left = d.join(gone, key.cast("bigint") == F.col("gone"), "left_anti")
+    few = gone.count() <= IDS_AT_ONCE  # then no text is shuffled
+    left = d.join(F.broadcast(gone) if few else gone, key.cast("bigint") == F.col("gone"), "left_anti")
+    twice = written(d.where(key.isNotNull()).groupBy(key.alias("k"), F.xxhash64(text).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("k", "h"), "repeated")
+    many = twice.count()
+    if not many:
+        return left.toDF(*names)
+    repeated = (key == F.col("k")) & (F.xxhash64(text) == F.col("h"))
+    of = F.broadcast(twice) if many <= IDS_AT_ONCE else twice
+    copies = left.join(of, repeated, "left_semi")
     copy = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text)))
-    named = left.where(key.isNotNull()).withColumn("copy", copy).where("copy = 1").drop("copy")
-    return named.unionByName(left.where(key.isNull())).toDF(*names)
+    return left.join(of, repeated, "left_anti").unionByName(copies.withColumn("copy", copy).where("copy = 1").drop("copy")).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE = rf"""
+with recursive w as (
+    select doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') as w from documents where doc_id is not null and text is not null
+), s as (
+    select distinct doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')] else [array_to_string(w[i:i + {N - 1}], ' ') for i in range(1, len(w) - {N - 2})] end)) as grams from w where len(w) > 0
+), e as materialized (
+    select doc_id, len(grams) as size, unnest(grams) as gram from s
+), p as materialized (
+    select a.doc_id as x, b.doc_id as y from e a join e b on a.gram = b.gram and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.size, b.size having count(*) / (a.size + b.size - count(*)) >= {THRESHOLD}
+), r as (
+    select distinct doc_id as a, doc_id as b from documents where doc_id is not null
+    union select r.a, p.y from r join p on r.b = p.x
+)
+select doc_id, class_id, coalesce(n, 0) as n_links
+from (select a as doc_id, min(b) as class_id from r group by a) left join (select x as doc_id, count(*) as n from p group by x) using (doc_id)
+"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import CHUNK, WORD, arrow_filter, arrow_map, per_document, table, texts_of
+from graphloom.llm.text import BATCH, WORD, arrow_filter, arrow_map, per_document, table, texts_of
 
 #: Labelled documents that the filters are fitted on, for each language (those of the least hash of doc_id).
 TRAIN_DOCS = 600
@@ -156,7 +156,7 @@ def apply(docs: DataFrame, filters: Filters) -> DataFrame:
 
         return score
 
-    return arrow_map(docs, make, SCHEMA, 8 * CHUNK)
+    return arrow_map(docs, make, SCHEMA, BATCH)
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:

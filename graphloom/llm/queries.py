@@ -17,4 +17,4 @@ QUERIES = {
     "op10_cross_entropy_difference": crossent.query,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op4_exact_top_k": topk.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op4_exact_top_k": topk.ORACLE, "op7_ngram_jaccard_join": jaccard.ORACLE, "op9_warc": warc.ORACLE}

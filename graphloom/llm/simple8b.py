@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import PATTERN, VOCABULARY, Batches, load, named
-from graphloom.llm.text import CHUNK, arrow_map, table, texts_of
+from graphloom.llm.text import BATCH, arrow_map, picked, table, texts_of
 
 BLOCK = 128
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -150,12 +151,11 @@ def _batch(doc_id: pa.Array, ids: np.ndarray, off: np.ndarray, ok: np.ndarray) -
     done = np.concatenate([[0], np.cumsum(~back)])
     blocks = -(-count // BLOCK)
     b_off = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int32)
-    null = pa.array(~ok)
     binary = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((w_off * 8).astype(np.int32)), pa.py_buffer(words)])
     starts = pa.ListArray.from_arrays(pa.array(b_off), pa.array((b_at - np.repeat(w_off[:-1], blocks)).astype(np.int32)))
     cols = {"n_tokens": pa.array(count), "n_words": pa.array(np.diff(w_off)), "words": binary, "block_offsets": starts, "round_trip": pa.array(done[off[1:]] == done[off[:-1]])}
     if not ok.all():
-        cols = {k: pa.array([None if bad else v for v, bad in zip(c.to_pylist(), null.to_pylist(), strict=True)], c.type) for k, c in cols.items()}
+        cols = {k: pc.if_else(pa.array(ok), c, pa.scalar(None, c.type)) for k, c in cols.items()}
     return pa.record_batch([doc_id, *cols.values()], names=["doc_id", *cols])
 
 
@@ -165,14 +165,17 @@ def packed(ids: DataFrame) -> DataFrame:
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             lists = b.column("token_ids")
-            rows = [x.as_py() for x in lists]
-            ok = np.array([r is not None and None not in r for r in rows], bool)
-            rows = [r if k else [] for r, k in zip(rows, ok, strict=True)]
-            return _batch(b.column("doc_id"), np.array([i for r in rows for i in r], np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64), ok)
+            count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            none = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+            off = np.concatenate([[0], np.cumsum(count)])
+            ok = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(none[off]) == 0)
+            flat = flat.fill_null(0).to_numpy(zero_copy_only=False)[np.repeat(ok, count)]
+            return _batch(b.column("doc_id"), flat, np.concatenate([[0], np.cumsum(np.where(ok, count, 0))]), ok)
 
         return f
 
-    return arrow_map(ids.selectExpr("cast(doc_id as bigint) doc_id", "cast(token_ids as array<bigint>) token_ids"), make, SCHEMA)
+    return arrow_map(picked(ids, doc_id="bigint", token_ids="array<bigint>"), make, SCHEMA)
 
 
 def unpacked(words: DataFrame) -> DataFrame:
@@ -180,14 +183,19 @@ def unpacked(words: DataFrame) -> DataFrame:
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for n, w, at in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "words", "block_offsets")), strict=True):
-                out.append(None if w is None else unpack(np.frombuffer(w, np.uint64), np.array(at, np.int64), sizes(np.array([n]))).tolist())
-            return pa.record_batch({"doc_id": b.column("doc_id"), "token_ids": pa.array(out, pa.list_(pa.int64()))})
+            data, at = b.column("words"), b.column("block_offsets")
+            ok = data.is_valid().to_numpy(zero_copy_only=False)
+            count = np.where(ok, b.column("n_tokens").fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            n_words = np.array(pc.fill_null(pc.binary_length(data), 0)).astype(np.int64) // 8
+            first = np.cumsum(n_words) - n_words
+            blocks = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = unpack(np.frombuffer(b"".join(data.drop_null().to_pylist()), np.uint64), at.flatten().to_numpy(zero_copy_only=False) + np.repeat(first, blocks), sizes(count))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat), mask=pa.array(~ok))
+            return pa.record_batch({"doc_id": b.column("doc_id"), "token_ids": lists})
 
         return f
 
-    return arrow_map(words.select("doc_id", "n_tokens", "words", "block_offsets"), make, "doc_id bigint, token_ids array<bigint>")
+    return arrow_map(picked(words, doc_id="bigint", n_tokens="bigint", words="binary", block_offsets="array<int>"), make, "doc_id bigint, token_ids array<bigint>")
 
 
 _CODECS: dict[str, Batches] = {}
@@ -216,7 +224,7 @@ def documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return f
 
-    return arrow_map(texts_of(docs), make, SCHEMA, 8 * CHUNK)
+    return arrow_map(texts_of(docs), make, SCHEMA, BATCH)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

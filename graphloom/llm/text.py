@@ -1,7 +1,7 @@
 """Whole texts as numpy arrays: words, word hashes and shingles without a Python object per word.
 
 A word is a maximal run of [a-z0-9] and non-ASCII characters of the lower-cased text; in a regular expression,
-``[a-z0-9\\x{80}-\\x{10FFFF}]+``. Words become 64-bit hashes by prefix sums of byte * B**position, so the
+``[a-z0-9\\x{80}-\\x{10FFFF}]+``. Words become 64-bit hashes by sums of a mixed number for each byte and its place in the word, so the
 cost is a fixed number of vector operations a byte.
 """
 
@@ -19,27 +19,17 @@ from pyspark.sql.types import StructType
 from graphloom.session import ship
 
 #: Bytes that are worked on at once; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of text of a batch that is sent through a function.
+BATCH = 8 << 20
 #: The words of a text, for regular expressions.
 WORD_RE = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
 WORD = np.zeros(256, bool)
 WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(128, 256)]] = True
 
-_POW = np.ones(0, np.uint64)
-_INV = np.ones(0, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        m = max(n, CHUNK + 64)
-        _POW = np.full(m, _BASE, np.uint64)
-        _INV = np.full(m, pow(_BASE, -1, 1 << 64), np.uint64)
-        _POW[0] = _INV[0] = 1
-        _POW, _INV = np.cumprod(_POW), np.cumprod(_INV)
-    return _POW, _INV
+_OF_BYTE = np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +39,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def places(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums (a zero first) of a number for each element and its place after the last of starts, which has no algebraic form: the difference of two
+    sums between a start and its end is a hash of what lies there."""
+    back = np.zeros(len(x), np.int64)  # of each start, how far the one before lies back; so sums give places
+    if len(starts):
+        back[starts[1:]] = np.diff(starts)
+        back[starts[0]] = starts[0]
+    at = np.arange(1, len(x) + 1)
+    at -= np.cumsum(back, out=back)
+    h = at.view(np.uint64)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= _OF_BYTE[x] if x.dtype == np.uint8 else (x.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(h, out=out[1:])
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of an Arrow string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -96,13 +106,12 @@ class Words:
             last[b] = word[b]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.off = np.searchsorted(self.starts, off)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n)[0][:n], out=self.sums[1:])
+        self.sums = places(data, self.starts)
         self.hash = self.between(self.starts, self.ends)
 
     def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the byte ranges."""
-        return mix((self.sums[ends] - self.sums[starts]) * _powers(len(self.data) + 1)[1][starts])
+        """Hashes of the byte ranges, which begin where words do."""
+        return mix(self.sums[ends] - self.sums[starts])
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
@@ -110,8 +119,8 @@ class Words:
 
 def hash_of(word: str | bytes) -> int:
     """The hash that Words gives a lower-case word."""
-    b = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8).astype(np.uint64) + np.uint64(1)
-    return int(mix(np.array([(b * _powers(len(b))[0][: len(b)]).sum(dtype=np.uint64)], np.uint64))[0])
+    b = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)
+    return int(mix(places(b, np.zeros(min(len(b), 1), np.int64))[-1:])[0])
 
 
 def shingles(h: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +187,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = 8 * CHUNK) -> DataFrame:
+def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = BATCH) -> DataFrame:
     """The rows of df, all columns, for which a function of record batches, of at most that many bytes of text, says true; make() is called once a
     task."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import CHUNK, WORD, Words, arrow_filter, arrow_map, picked, hash_of, per_document, table, texts_of
+from graphloom.llm.text import BATCH, WORD, Words, arrow_filter, arrow_map, picked, hash_of, per_document, table, texts_of
 from graphloom.session import written
 
 #: Labelled documents to fit on: those with the least hash of doc_id.
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     every = sample.agg(F.avg(F.expr("int(toxic > 0)")).alias("p")).first().p or 0.0
     if len(totals) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.uint64), Trees(), np.zeros(0), np.zeros(0), float(every))
-    u = arrow_map(sample.where("not held"), make, "u bigint, toxic bigint, clean bigint", 8 * CHUNK).groupBy("u").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    u = arrow_map(sample.where("not held"), make, "u bigint, toxic bigint, clean bigint", BATCH).groupBy("u").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") / totals[1]) / ((F.col("clean") + 0.5) / totals[0])
     rows = u.where(F.col("toxic") >= LEAST_TOXIC).where(odds >= WEAK_ODDS).select("u", (odds >= LEAST_ODDS).alias("strong")).collect()
     lexicon, weak = (np.sort(np.array([r.u for r in rows if r.strong == strong], np.int64).view(np.uint64)) for strong in (True, False))
@@ -263,7 +263,7 @@ def dense(sample: DataFrame, lexicon: np.ndarray, weak: np.ndarray) -> tuple[np.
 
         return f
 
-    got = arrow_map(sample, make, "doc_id bigint, toxic int, held boolean, " + ", ".join(f"f_{n} double" for n in FEATURES), 8 * CHUNK).toPandas()
+    got = arrow_map(sample, make, "doc_id bigint, toxic int, held boolean, " + ", ".join(f"f_{n} double" for n in FEATURES), BATCH).toPandas()
     names = [f"f_{n}" for n in FEATURES]
     got = got.sort_values(["doc_id", *names], ignore_index=True)
     return got[names].to_numpy(), (got.toxic.to_numpy() > 0).astype(float), got.held.to_numpy().astype(bool)
@@ -281,7 +281,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
 
         return score
 
-    return arrow_map(docs, make, SCHEMA, 8 * CHUNK)
+    return arrow_map(docs, make, SCHEMA, BATCH)
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:

@@ -31,12 +31,12 @@ DICTIONARY_MAGIC, FRAME_MAGIC, RAW_DICTIONARY = b"\x5d\x2a\x4d\x18", b"\x28\xb5\
 #: Bytes of a dictionary that is trained, of pages that it's trained on, and of pages in an archive.
 DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES = 64 << 10, 4 << 20, 32 << 20
 LEVEL = 3
-#: A record of more bytes than this is refused, not decoded.
-MOST_BYTES = 1 << 30
+#: What a binary value of a row can hold: a longer block's payload is null, but its length and digest are checked like any other's.
+MOST_PAYLOAD = (1 << 31) - (1 << 20)
 DATE = "2024-01-01T00:00:00Z"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
-SCHEMA = "archive string, frame_at bigint, warc_type string, record_id string, target_uri string, warc_date string, content_type string, content_length bigint, payload string, valid boolean, error string"
+SCHEMA = "archive string, frame_at bigint, warc_type string, record_id string, target_uri string, warc_date string, content_type string, content_length bigint, payload binary, valid boolean, error string"
 _NAME = re.compile(r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+")
 
 
@@ -132,7 +132,7 @@ def parse(data: bytes) -> tuple[dict, str | None]:
     digest = fields.get("warc-block-digest", "")
     if digest.lower().startswith("sha1:") and digest[5:].upper() != base64.b32encode(hashlib.sha1(block).digest()).decode():
         return out, "the block's digest differs"
-    out["payload"] = block.decode("utf-8", "replace")
+    out["payload"] = block
     return out, None
 
 
@@ -152,16 +152,10 @@ def records(data: bytes) -> Iterator[dict]:
             continue
         try:
             one = decoder.decompressobj()
-            size = zstandard.frame_content_size(data[at : at + 18])
-            if size > MOST_BYTES:
-                raise Broken("the record is too large")
-            parts, held, end = [], 0, at
+            parts, end = [], at
             while end < len(data) and not one.eof:  # the frame's end is known only when it's decoded
                 parts.append(one.decompress(view[end : end + (1 << 16)]))
-                held += len(parts[-1])
                 end = min(end + (1 << 16), len(data))
-                if held > MOST_BYTES:
-                    raise Broken("the record is too large")
             if not one.eof:
                 raise Broken("the frame is cut off")
             end -= len(one.unused_data)
@@ -174,15 +168,20 @@ def records(data: bytes) -> Iterator[dict]:
         at = end
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The archives below a path, a row of path and content each."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
 def read(archives: DataFrame) -> DataFrame:
     """The records of archives: path and content, as the binaryFile source gives them."""
 
     def make():
-        kinds = {"frame_at": pa.int64(), "content_length": pa.int64(), "valid": pa.bool_()}
+        kinds = {"frame_at": pa.int64(), "content_length": pa.int64(), "valid": pa.bool_(), "payload": pa.binary()}
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def rows_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+            return pa.record_batch([pa.array([None if n == "payload" and len(r.get(n) or b"") > MOST_PAYLOAD else r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
         return rows_of
 
@@ -196,7 +195,7 @@ def read(archives: DataFrame) -> DataFrame:
                 found = records(content.as_py()) if content.is_valid else iter([{"valid": False, "error": "no archive"}])
                 for r in found:
                     rows.append({"archive": path.as_py()} | r)
-                    size += len(r.get("payload") or "")
+                    size += len(r.get("payload") or b"")
                     if size > 8 << 20:
                         yield rows_of(rows)
                         rows, size = [], 0
@@ -239,7 +238,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) as bigint)").alias("page_id"),
         F.col("target_uri").alias("url"),
-        F.col("payload").alias("html"),
+        F.decode("payload", "UTF-8").alias("html"),
         "content_length",
         "warc_type",
         "valid",

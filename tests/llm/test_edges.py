@@ -51,7 +51,8 @@ def test_toxicity(docs, none, labels):
 def test_jaccard(docs, none):
     got = {(r.left_id, r.right_id): r.jaccard for r in jaccard.join(docs).collect()}
     assert got == {(3, 4): 1.0, (3, 5): 1.0}
-    assert jaccard.join(none).count() == 0
+    assert jaccard.join(none).count() == 0 and jaccard.classes(none).count() == 0
+    assert {tuple(r) for r in jaccard.classes(docs).collect()} == {(i, 3 if i in (4, 5) else i, 2 if i in (3, 4, 5) else 0) for i in range(10)}
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
@@ -116,7 +117,7 @@ def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a", "<p>é"), (2, None, None), (None, "http://b\r\nc", "x" * 3_000_000), (1, "http://a", "<p>é")], "page_id int, url string, html string")
     got = warc.read(warc.write(pages)).collect()
     assert len(got) == 4 and all(r.valid for r in got)
-    assert sorted((r.record_id, r.target_uri or "", len(r.payload)) for r in got) == [("<urn:page:1>", "http://a", 4)] * 2 + [("<urn:page:2>", "", 0), ("<urn:page:>", "http://b c", 3_000_000)]
+    assert sorted((r.record_id, r.target_uri or "", len(r.payload)) for r in got) == [("<urn:page:1>", "http://a", 5)] * 2 + [("<urn:page:2>", "", 0), ("<urn:page:>", "http://b c", 3_000_000)]
     assert warc.read(warc.write(pages.limit(0))).count() == 0
     odd = spark.createDataFrame([("a", None), ("b", b""), ("c", b"no archive")], "path string, content binary")
     assert sorted((r.archive, r.valid) for r in warc.read(odd).collect()) == [("a", False), ("c", False)]

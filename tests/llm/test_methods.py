@@ -78,9 +78,63 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert (got.lang_pred == got.lang).mean() > 0.98 and (got.lang_pred == got.lang)[got.lang >= "l64"].all()
 
 
+def plain_grams(t):
+    b = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in t.lower().encode())
+    b = b" " + b + b" "
+    return [int.from_bytes(b[i : i + 4], "little") for i in range(len(b) - 3) if b"  " not in b[i : i + 4]]
+
+
+def test_language_by_sets_of_n_grams():
+    texts = [*corpus(30, 27, length=(1, 30)), "", "  12 ", "a", "ÀB c東", "a-b--c"]
+    of = {k: np.unique(np.array([g for t in corpus(20, 28 + i) for g in plain_grams(t)], np.uint32)) for i, k in enumerate(("aa", "bb", "cc"))}
+    f = langid.Filters.build(of, bits=1 << 20)
+    for _, _, data, off in per_document(pa.array(texts)):
+        g, go = langid.grams(data, off)
+        assert [g[go[i] : go[i + 1]].tolist() for i in range(len(texts))] == [plain_grams(t) for t in texts]
+        best, n, share, lead, ok = langid.decide(f, g, go)
+    for i, t in enumerate(texts):
+        grams = plain_grams(t)
+        held = sorted(((sum(x in s for x in grams) / len(grams), -k) for k, s in enumerate(set(of[c].tolist()) for c in f.langs)), reverse=True) if grams else [(0.0, -3)] * 2
+        assert n[i] == len(grams) and share[i] == pytest.approx(held[0][0], abs=0.02) and lead[i] == pytest.approx(held[0][0] - held[1][0], abs=0.02)
+        if lead[i] > 0.03:
+            assert best[i] == -held[0][1]
+        if share[i] > langid.MIN_SHARE + 0.02 and lead[i] > langid.MIN_LEAD + 0.02:
+            assert ok[i]
+
+
 # Toxicity
 
 
+def plain_features(t, strong, weak):
+    low = t.lower()
+    read = low.translate(str.maketrans("0134578@$", "oieastbas"))
+    ws = [w for w in re.findall(rb"[a-z0-9\x80-\xff]+", read.encode())]
+    starts = lambda w, lex: any(len(w) > n and (n, w[:n]) in lex for n in toxicity.BEGINNINGS)
+    word, start = [(0, w) in strong for w in ws], [starts(w, strong) and (0, w) not in strong for w in ws]
+    hit = [a or b for a, b in zip(word, start, strict=True)]
+    weak_hit = [((0, w) in weak or starts(w, weak)) and not h for w, h in zip(ws, hit, strict=True)]
+    you = [w.decode("utf-8", "replace") in toxicity.PRONOUNS for w in ws]
+    near = [h and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, h in enumerate(hit)]
+    b, raw, per = low.encode(), t.encode(), max(len(ws), 1)
+    letter = lambda x: x >= 128 or 97 <= x <= 122
+    odd = sum(letter(b[i - 1]) and b[i] in b"0123456789@$*" and letter(b[i + 1]) for i in range(1, len(b) - 1))
+    kinds = len({w for w, h in zip(ws, hit, strict=True) if h})
+    return [math.log1p(len(ws)), sum(word) / per, sum(start) / per, math.log1p(sum(hit)), kinds, sum(near) / per, sum(you) / per, sum(65 <= x <= 90 for x in raw) / max(len(raw), 1), sum(x in b"!?" for x in b) / max(len(b), 1), odd / per, sum(weak_hit) / per, math.log1p(sum(weak_hit))]
+
+
+def test_toxicity_features():
+    from graphloom.llm.text import hash_of
+
+    texts = [*corpus(40, 29, length=(1, 40)), "", "YOU are an 1d10t, you m0r*n!!", "idiotic; and you?", "ÀÉ tú h4cker$ vous", "x"]
+    r = random.Random(30)
+    vocab = sorted({w for t in texts[:40] for w in t.split()})
+    strong = {(0, w.encode()) for w in [*r.sample(vocab, 15), "idiot", "hackers"]} | {(4, b"mor*"[:3] + b"x"), (5, b"idiot")}
+    weak = {(0, w.encode()) for w in r.sample(vocab, 15)} | {(n, w.encode()[:n]) for n in (4, 6) for w in r.sample([v for v in vocab if len(v) > 6], 4)}
+    units = lambda lex: np.sort(np.array([hash_of(w) ^ n for n, w in lex], np.uint64))
+    got = toxicity.batch_features(pa.array(texts), units(strong), units(weak))
+    assert np.allclose(got, [plain_features(t, strong, weak) for t in texts])
+
+
 def test_isotonic_is_least_squares():
     r = np.random.default_rng(3)
     x = r.integers(0, 12, 60).astype(float)
@@ -131,6 +185,17 @@ def test_url_patterns_of_any_depth(spark):
     assert {r.url: r.list_name for r in got} == caps
 
 
+def test_url_repeats_and_ties(spark):
+    t = lambda d: datetime(2024, 1, d)
+    entries = [("ads", "b.com", "add", t(1)), ("ads", "b.com", "add", t(1)), ("spam", "b.com", "add", t(1)), ("spam", "b.com", "remove", t(1)), ("zzz", "b.com", "add", t(1)), ("ads", "c.com", "add", t(1)), ("allow", "c.com", "add", t(1)), ("ads", None, "add", t(1)), ("ads", "d.com", "burn", t(1))]
+    e = spark.createDataFrame(entries, "list_name string, pattern string, action string, at timestamp")
+    long = "http://b.com/" + "/".join(f"p{i}" for i in range(300)) + "?" + "q" * 50_000
+    caps = spark.createDataFrame([(1, "http://b.com/", t(2), "x"), (1, "http://b.com/", t(2), "x"), (2, "http://c.com", t(2), "x"), (3, long, t(2), "x"), (4, "http://d.com", t(2), "x")], "page_id bigint, url string, fetched_at timestamp, `HOST` string")
+    got = sorted((r.page_id, r.blocked, r.list_name, r.n_active) for r in urls.evaluate(caps, e).collect())
+    assert got == [(1, True, "zzz", 2)] * 2 + [(2, False, "allow", 2), (3, True, "zzz", 2), (4, False, None, 0)]
+    assert not any(r.blocked for r in urls.evaluate(caps, e.limit(0)).collect())
+
+
 # Top-k
 
 
@@ -189,31 +254,54 @@ def test_lcs(a, b):
     assert decontam.lcs(np.array(a, np.int64), np.array(b, np.int64)) == lcs_plain(a, b)
 
 
-def test_sketch_is_of_all_passages(spark):
-    texts = corpus(60, 8, length=(1, 700))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    items = decontam.items_of([(1, texts[3], None), (2, texts[9], None)])
-    y, df, n = decontam.sketch(docs, items)
+def dense(texts, known):
     rows = []
     for t in texts:
-        w = words(t)
-        for i in range(0, len(w), decontam.PASSAGE):
-            h = decontam.hashes(" ".join(w[i : i + decontam.PASSAGE]))
-            row = np.zeros(items.width)
-            row[items.column(items.index(h), h)] = 1
+        h = decontam.hashes(t)
+        for i in range(0, len(h), decontam.PASSAGE):
+            row = np.zeros(decontam.WIDTH)
+            row[decontam.column(h[i : i + decontam.PASSAGE], known)] = 1
             rows.append(row)
-    t = np.array(rows)
-    assert n == len(t) and np.array_equal(df, t.sum(axis=0)) and np.allclose(y, t.T @ (t @ decontam.test_matrix(items.width)), rtol=1e-4, atol=1e-3)
+    return np.array(rows)
 
 
-def test_svd_finds_the_leading_space():
+def test_sketch_is_of_all_passages(spark):
+    texts = corpus(60, 8, length=(1, 700))
+    known = decontam.known_words(np.concatenate([decontam.hashes(texts[3]), decontam.hashes(texts[9])]))
+    y, df, n = decontam.sketch(spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string"), known)
+    t = dense(texts, known)
+    assert n == len(t) and np.array_equal(df, t.sum(axis=0)) and np.allclose(y, t.T @ (t @ decontam.test_matrix()), rtol=1e-4, atol=1e-3)
+
+
+def test_svd_is_that_of_numpy():
     r = np.random.default_rng(9)
-    items = decontam.items_of([(i, t, None) for i, t in enumerate(corpus(30, 10))])
-    low = r.random((500, 5)) @ r.random((5, items.width)) * 0.02
-    t = (r.random(low.shape) < low).astype(float)
-    w = decontam.test_matrix(items.width).astype(float)
-    space = decontam.factorised(items, t.T @ (t @ w), t.sum(axis=0), len(t))
-    assert np.isfinite(space.columns).all() and np.allclose(np.linalg.norm(space.of_items, axis=1), 1, atol=1e-5)
+    cols = r.choice(decontam.WIDTH, 300, replace=False)
+    few = np.zeros((40, decontam.WIDTH))
+    few[:, cols] = r.random((40, 300)) < 0.2
+    t = few[r.integers(0, 40, 400)]
+    got = decontam.factorised(t.T @ (t @ decontam.test_matrix().astype(float)), t.sum(axis=0), len(t))
+    n, df = len(t), t.sum(axis=0)
+    idf = (np.log((1 + n) / (1 + df)) + 1) ** decontam.IDF_POWER
+    _, value, v = np.linalg.svd(t * idf, full_matrices=False)
+    rank = int((value**2 > 1e-5 * value[0] ** 2).sum())
+    want = v[:rank].T * idf[:, None] / (value[:rank] ** 2 / n) ** 0.5
+    want -= df / n @ want / (df.sum() / n)
+    a, b = few @ got, few @ want  # alike but for a rotation
+    assert rank < decontam.RANK and np.allclose(a @ a.T, b @ b.T, rtol=1e-3, atol=1e-3 * np.abs(b @ b.T).max())
+
+
+def test_words_of_a_benchmark_have_no_bound(spark, monkeypatch):
+    r = random.Random(71)
+    vocab = [f"v{i}x" for i in range(9000)]
+    bench = [" ".join(vocab[i : i + 30]) for i in range(0, 9000, 30)] + ["four plain short words", "two words", "single"]
+    docs = [(i, " ".join(r.choices(vocab, k=60)) + " " + (edited(bench[i], 0.1, r) if i < 300 else "")) for i in range(360)]
+    docs += [(1000, "here are four plain short words again"), (1001, "four plain and short words"), (1002, "only two words here"), (1003, "single"), (1004, "a single word")]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string")
+    want = {(i, i) for i in range(300)} | {(1000, 300), (1002, 301), (1003, 302)}
+    one = decontam.find(docs, items).collect()
+    assert want == {(x.doc_id, x.item_id) for x in one}
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 100)  # several parts, and nothing else changes
+    assert sorted(map(tuple, decontam.find(docs, items).collect())) == sorted(map(tuple, one))
 
 
 def test_leaks_are_found(spark):
@@ -296,6 +384,31 @@ def test_simple8b_packs():
         assert len(w) == -(-n // most)
 
 
+def plain_simple8b(words, n):
+    """A word at a time, by the layout's definition."""
+    out, i = [], 0
+    while len(out) < n:
+        w, s = words[i], words[i] >> 60
+        if s == simple8b.ESCAPE:
+            out.append(words[i + 1])
+            i += 2
+            continue
+        width = int(simple8b.WIDTHS[s])
+        out += [w >> k * width & ((1 << width) - 1) for k in range(simple8b.COUNTS[s])][: n - len(out)]
+        i += 1
+    return out
+
+
+@settings(deadline=None, max_examples=60)
+@given(IDS)
+def test_simple8b_by_a_plain_decoder(doc):
+    ids = np.array(doc, np.uint64).view(np.int64)
+    w, _, at = simple8b.pack(ids, np.array([0, len(ids)]))
+    size = simple8b.sizes(np.array([len(ids)]))
+    got = [x for k, n in enumerate(size.tolist()) for x in plain_simple8b(w[at[k] :].tolist(), n)]
+    assert got == doc
+
+
 # Jaccard join
 
 
@@ -321,27 +434,45 @@ def test_jaccard_is_exact(spark, light):
     assert {tuple(x) for x in jaccard.join(docs, n, threshold, light=light).collect()} == want
 
 
-@pytest.mark.parametrize("light", [None, 0.0, 1e9])
-def test_all_pairs_of_documents(spark, light):
+def classes_of(texts, n, threshold):
+    """By comparing all pairs: the class of each document, and its number of links."""
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := words(t)) else set() for t in texts]
+    up, links = list(range(len(texts))), [0] * len(texts)
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            links[a] += 1
+            links[b] += 1
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {(i, find(i), k) for i, k in enumerate(links)}
+
+
+@pytest.mark.parametrize(("light", "few"), [(None, False), (0.0, False), (1e9, False), (None, True), (0.0, True), (1e9, True)])
+def test_classes_of_documents(spark, monkeypatch, light, few):
+    if few:  # hot n-grams, long lists and split places from a few sets on
+        for name, value in (("OFTEN", 2), ("HOT", 6), ("LIST", 5), ("VERIFIED", 40)):
+            monkeypatch.setattr(jaccard, name, value)
     r = random.Random(24)
     base = corpus(30, 25, 60, (5, 60))
     texts = [edited(t, rate, r) for t in base[:8] for rate in (0.02, 0.1)]
-    texts = base + base[:8] * 12 + texts * 3 + ["", None]
+    texts = base + base[:8] * 12 + texts * 3 + ["", None] + corpus(40, 26, 12, (5, 40))
     r.shuffle(texts)
-    n, threshold, want = 2, 0.4, {}
-    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := words(t)) else set() for t in texts]
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        if sets[a] and sets[b] and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold:
-            want[a, b] = round(j, 6)
     rows = list(enumerate(texts))
-    got = jaccard.all_pairs(spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string"), n, threshold, light).collect()
-    assert len(got) == len(want) and {(x.left_id, x.right_id): x.jaccard for x in got} == want
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string").repartition(3)
+    got = jaccard.classes(docs, 2, 0.4, light).collect()
+    assert len(got) == len(texts) and {(x.doc_id, x.class_id, x.n_links) for x in got} == classes_of(texts, 2, 0.4)
 
 
 def test_pairs_that_share_a_single_n_gram(spark):
     docs = spark.createDataFrame(list(enumerate(["a b c d e", "a b c d e f", "b c d e f"])), "doc_id bigint, text string")
-    for f in (jaccard.join, jaccard.all_pairs):
-        assert {tuple(x) for x in f(docs, light=1e9).collect()} == {(0, 1, 0.5), (1, 2, 0.5)}
+    assert {tuple(x) for x in jaccard.join(docs, light=1e9).collect()} == {(0, 1, 0.5), (1, 2, 0.5)}
+    assert {tuple(x) for x in jaccard.classes(docs, light=1e9).collect()} == {(0, 0, 1), (1, 0, 2), (2, 0, 1)}
 
 
 def test_components(spark):
@@ -405,15 +536,44 @@ def test_bpe_documents(spark, reference):
     assert all(got[r.doc_id] == reference.encode_ordinary(r.text) for r in docs.collect())
 
 
+def test_bpe_tells_all_strings_apart(ranks, reference):
+    """Strings that every polynomial hash modulo a power of two confuses."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    from graphloom.llm.text import hash_of
+
+    assert hash_of(morse) != hash_of(other)
+    b = bpe.Batches(ranks)
+    ids, off = b.encode(pa.array([morse, other]))
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(2)] == [reference.encode_ordinary(morse), reference.encode_ordinary(other)]
+    assert b.returns(pa.array([morse, other]), ids, off).all()
+
+
+def test_bpe_decodes(spark, reference):
+    texts = ["plain", "", "œ 東京\n", "x" * 5000]
+    rows = [(i, reference.encode_ordinary(t), "other") for i, t in enumerate(texts)] + [(4, None, ""), (5, [1, None], ""), (6, [-1], ""), (7, [1, 10_000_000], ""), (None, [], ""), (8, reference.encode_ordinary("東")[:1], "")]
+    got = {r.doc_id: r.text for r in bpe.decoded(spark.createDataFrame(rows, "doc_id int, token_ids array<int>, `TEXT` string")).collect()}
+    assert got == dict(enumerate(texts)) | dict.fromkeys((4, 5, 6, 7)) | {None: "", 8: got[8]} and "\ufffd" in got[8]
+    assert bpe.decoded(spark.createDataFrame([], "doc_id bigint, token_ids array<int>")).count() == 0
+
+
 # WARC
 
 
+def test_warc_files_and_bytes(spark, tmp_path):
+    bodies = [b"\x89PNG\xff\xfe\x00\x80" * 9, b"", "é東".encode()]
+    for k in range(2):
+        (tmp_path / f"{k}.warc.zst").write_bytes(warc.archive([warc.record(f"http://h/{i}", b, f"<urn:{i}>") for i, b in enumerate(bodies)] * 20))
+    got = warc.read(warc.files(spark, str(tmp_path))).collect()
+    assert len(got) == 120 and all(r.valid and bytes(r.payload) == bodies[int(r.record_id[5:-1])] for r in got)
+
+
 def test_warc_reports_what_is_broken():
     good = [warc.record(f"http://h/{i}", f"<p>{i}</p>".encode() * 40, f"<urn:{i}>") for i in range(40)]
     data = warc.archive(good)
     assert data[:4] == warc.DICTIONARY_MAGIC
     rows = list(warc.records(data))
-    assert len(rows) == 40 and all(r["valid"] for r in rows) and rows[7]["payload"] == "<p>7</p>" * 40
+    assert len(rows) == 40 and all(r["valid"] for r in rows) and rows[7]["payload"] == b"<p>7</p>" * 40
     z = zstandard.ZstdCompressor()
     changed = {
         "no WARC version": b"HTTP/1.1 200\r\n\r\n",
