@@ -119,22 +119,61 @@ def slices(rows: DataFrame, points: DataFrame, min_size: int, text: str = "sente
     return s.select("doc", F.posexplode(F.aggregate("s", empty, step, end)).alias("chunk_ord", "text"))
 
 
+def head(chunks: DataFrame, n: int | None, order: str = "chunk_ord") -> DataFrame:
+    """The first n chunks of each document; all if n is null."""
+    return chunks if n is None else chunks.withColumn("k", F.row_number().over(_by_doc(order))).where(F.col("k") <= n).drop("k")
+
+
 def start_indices(chunks: DataFrame) -> DataFrame:
     """Where each chunk would begin if chunks followed each other without separators."""
     w = Window.partitionBy("doc").orderBy("chunk_ord").rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn("start_index", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
 
 
-def hashed_vectors(texts: pd.Series, width: int = 256) -> list[np.ndarray]:
-    """The embedder that needs no model: signed hashed counts of words, of length 1."""
-    out = []
-    for t in texts:
-        v = np.zeros(width, np.float32)
-        for w in re.findall(r"\w+", (t or "").lower()):
-            h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[(h >> 1) % width] += 1 if h & 1 else -1
-        out.append(v / max(float(np.linalg.norm(v)), 1e-12))
-    return out
+#: The number and sign of each word that was met, so that a word is hashed once a worker; started anew beyond so many.
+_SLOTS: dict[str, int] = {}
+KEPT_WORDS = 1_000_000
+_WORD = re.compile(r"\w+")
+
+
+class Hashed:
+    """The embedder that needs no model: signed hashed counts of words, of length 1. An embedder is called with texts; one that has windows()
+    can tell those of all sentences with their neighbours at once."""
+
+    def __init__(self, width: int = 256):
+        self.width = width
+
+    def slots(self, text: str) -> list[int]:
+        """Of each word 2 * number + (1 if it counts up)."""
+        if len(_SLOTS) > KEPT_WORDS:
+            _SLOTS.clear()
+        out = []
+        for w in _WORD.findall(text.lower()):
+            if (h := _SLOTS.get(w)) is None:
+                h = _SLOTS[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+            out.append(h)
+        return [(h >> 1) % self.width * 2 + (h & 1) for h in out]
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        slots = [self.slots(t or "") for t in texts]
+        flat = np.array([x for s in slots for x in s], np.int64)
+        row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+        return np.bincount(row * self.width + (flat >> 1), (flat & 1) * 2.0 - 1.0, len(slots) * self.width).reshape(len(slots), self.width)
+
+    def __call__(self, texts: pd.Series) -> list[np.ndarray]:
+        v = self.counts(list(texts))
+        return list((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+
+    def windows(self, parts: list[str], buffer: int) -> np.ndarray | None:
+        """The counts of each sentence with buffer neighbours on both sides: sums, as no word goes over a border. None where one does."""
+        if any((a[-1].isalnum() or a[-1] == "_") and (b[0].isalnum() or b[0] == "_") for a, b in zip(parts, parts[1:], strict=False)):
+            return None
+        done = np.concatenate([np.zeros((1, self.width)), np.cumsum(self.counts(parts), axis=0)])
+        n = np.arange(len(parts))
+        return done[np.minimum(n + 1 + buffer, len(parts))] - done[np.maximum(n - buffer, 0)]
+
+
+hashed_vectors = Hashed()
 
 
 def split_text(text: str, cfg: Chunking, embed: Callable[[pd.Series], list[np.ndarray]] = hashed_vectors) -> list[str]:
@@ -142,9 +181,11 @@ def split_text(text: str, cfg: Chunking, embed: Callable[[pd.Series], list[np.nd
     parts = [p for p in (x.strip() for x in re.split(cfg.pattern, text)) if p]
     if len(parts) <= 1 or cfg.kind == "gradient" and len(parts) == 2:
         return parts
-    b = cfg.buffer
-    combined = ["".join(parts[max(0, i - b) : i]) + parts[i] + "".join(" " + x for x in parts[i + 1 : i + 1 + b]) for i in range(len(parts))]
-    v = np.stack(embed(pd.Series(combined))).astype(float)
+    b = max(cfg.buffer, 0)
+    v = embed.windows(parts, b) if hasattr(embed, "windows") else None
+    if v is None:
+        combined = ["".join(parts[max(0, i - b) : i]) + parts[i] + "".join(" " + x for x in parts[i + 1 : i + 1 + b]) for i in range(len(parts))]
+        v = np.stack(embed(pd.Series(combined))).astype(float)
     norm = np.linalg.norm(v, axis=1)
     both = norm[:-1] * norm[1:]
     d = 1 - np.divide((v[:-1] * v[1:]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)

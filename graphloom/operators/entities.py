@@ -68,20 +68,60 @@ def _candidates(rows: DataFrame, cols: list[str], threshold: float) -> DataFrame
     rows = rows.withColumn("name", F.lower("local_name")).withColumn("l", F.lower("label"))
     a, b = _sides(rows, "i", "name", "l", *cols)
     same = a.join(b, (a.doc == b.doc) & (a.name1 == b.name2) & (a.i1 < b.i2)).drop(b.doc).withColumn("ratio", F.lit(None).cast("double"))
-    labels = similar_labels(rows, threshold)
-    both = labels.unionByName(labels.where("l1 <> l2").select("doc", F.col("l2").alias("l1"), F.col("l1").alias("l2"), "ratio"))
-    near = a.join(both.withColumnRenamed("l1", "x1"), (a.doc == both.doc) & (F.col("l1") == F.col("x1"))).drop(both.doc)
-    near = near.withColumnRenamed("l2", "x2").join(b.withColumnRenamed("doc", "d2"), (F.col("doc") == F.col("d2")) & (F.col("l2") == F.col("x2")) & (F.col("i1") < F.col("i2"))).drop("d2", "x1", "x2")
+    near = _near(a, b, _both_ways(similar_labels(rows, threshold)), [])
     return same.unionByName(near.select(same.columns)).where("ratio is null or name1 <> name2")
 
 
+def _both_ways(labels: DataFrame) -> DataFrame:
+    return labels.unionByName(labels.where("l1 <> l2").select("doc", F.col("l2").alias("l1"), F.col("l1").alias("l2"), "ratio"))
+
+
+def _near(a: DataFrame, b: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs i1 < i2 with similar labels, and equal in what else is given."""
+    near = a.join(labels.withColumnRenamed("l1", "x1"), (a.doc == labels.doc) & (F.col("l1") == F.col("x1"))).drop(labels.doc)
+    other = b.withColumnsRenamed({"doc": "d2", **{c: f"{c}_2" for c in on}})
+    return near.withColumnRenamed("l2", "x2").join(other, [F.col("doc") == F.col("d2"), F.col("l2") == F.col("x2"), F.col("i1") < F.col("i2"), *(F.col(c) == F.col(f"{c}_2") for c in on)]).drop("d2", "x1", "x2", *(f"{c}_2" for c in on))
+
+
 def entity_edges(meta: DataFrame, similar: float = SIMILAR, strict: float = STRICT) -> DataFrame:
     """Pairs i1 < i2 of entities that are alike: their types don't conflict and their names are the same, or the labels similar, more so if they
-    share a type."""
-    overlap = F.arrays_overlap("types1", "types2")
-    compatible = (F.size("types1") == 0) | (F.size("types2") == 0) | overlap
-    c = _candidates(meta, ["types"], similar)
-    return c.where(compatible & (F.col("ratio").isNull() | (F.col("ratio") >= F.when(overlap, strict).otherwise(similar)))).select("doc", "i1", "i2").distinct()
+    share a type. Types are part of the join's key, so what they keep apart never meets."""
+    rows = meta.select("doc", "i", F.lower("local_name").alias("name"), F.lower("label").alias("l"), F.when(F.size("types") > 0, F.col("types")).otherwise(F.array(F.lit(""))).alias("t"))
+    typed = rows.select("doc", "i", "name", "l", F.explode("t").alias("t"))
+    bare = rows.where(F.col("t")[0] == "").select("doc", "i", "name", "l")
+    labels = _both_ways(similar_labels(meta, min(similar, strict)))
+    found = []
+    # With a type in common; one without types with any other.
+    for left, right, on, least in ((typed.where("t <> ''"), typed.where("t <> ''"), ["t"], strict), (bare, rows.drop("t"), [], similar), (rows.drop("t"), bare, [], similar)):
+        a = left.select("doc", *on, *(F.col(c).alias(f"{c}1") for c in ("i", "name", "l")))
+        b = right.select("doc", *on, *(F.col(c).alias(f"{c}2") for c in ("i", "name", "l")))
+        same = a.withColumn("name", F.col("name1")).join(b.withColumn("name", F.col("name2")), ["doc", "name", *on]).where("i1 < i2")
+        found += [same.select("doc", "i1", "i2"), _near(a, b, labels.where(F.col("ratio") >= least), on).select("doc", "i1", "i2")]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def entity_classes(meta: DataFrame) -> DataFrame:
+    """doc, i, rep: entities that have every edge in common stand for one another, the first of them for all. These share their types and name, or,
+    where a name occurs once, types and label."""
+    rows = meta.select("doc", "i", F.lower("local_name").alias("name"), F.nullif(F.lower("label"), F.lit("")).alias("l"), F.array_sort("types").alias("t"))
+    name = F.when(F.count("*").over(Window.partitionBy("doc", "name")) > 1, F.col("name"))
+    rows = rows.withColumn("shared", name).withColumn("own", F.when(F.col("shared").isNull() & F.col("l").isNull(), F.col("i")))
+    first = rows.groupBy("doc", "shared", "l", "t", "own").agg(F.min("i").alias("rep"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("shared", "l", "own")]
+    return rows.alias("a").join(first.alias("b"), [F.col("a.doc") == F.col("b.doc"), F.col("a.t") == F.col("b.t"), *same]).select("a.doc", "i", "rep")
+
+
+def entity_clusters(meta: DataFrame, similar: float = SIMILAR, strict: float = STRICT) -> DataFrame:
+    """leaders() of the edges of all entities, found by those of one entity of each class: copies make no pairs."""
+    of = written(entity_classes(meta), "entity-classes")
+    reps = meta.join(of.where("i = rep").select("doc", "i"), ["doc", "i"], "left_semi")
+    led = leaders(entity_edges(reps, similar, strict)).withColumnsRenamed({"i": "rep"})
+    many = of.groupBy("doc", "rep").agg(F.count("*").alias("n"))
+    out = of.join(many, ["doc", "rep"]).join(led, ["doc", "rep"], "left").where("leader is not null or n > 1")
+    return out.select("doc", "i", F.coalesce("leader", "rep").alias("leader"))
 
 
 def predicate_info(triples: DataFrame) -> DataFrame:
@@ -200,7 +240,7 @@ def aggregated(triples: DataFrame, doc_ns: Column, chunk: Column) -> DataFrame:
     """One graph for each document out of those of its chunks. doc_ns (with its '/') and chunk are expressions over the keys doc and hid."""
     meta = written(numbered(entity_meta(triples)), "entities")
     pmeta = written(numbered(predicate_meta(predicate_info(triples))), "predicates")
-    ec, pc = leaders(entity_edges(meta)), leaders(predicate_edges(pmeta))
+    ec, pc = entity_clusters(meta), leaders(predicate_edges(pmeta))
     groups = written(canonical(best_labels(meta, ec), doc_ns), "entity-groups")
     pgroups = written(canonical(most_complete(pmeta, pc), doc_ns), "predicate-groups")
     em, pm = written(mapping(meta, ec, groups, "e"), "entity-map"), written(mapping(pmeta, pc, pgroups, "pred"), "predicate-map")

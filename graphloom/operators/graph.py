@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids
-from graphloom.functions.vocab import COMMENT, DOMAIN, DOMAIN_OF, LABEL, PROPERTY, PROV, RANGE, SCHEMA, TRIPLE, TYPE
+from graphloom.functions.vocab import COMMENT, DOMAIN, DOMAIN_OF, LABEL, NO_IRI, NO_ONTOLOGY, PROPERTY, PROV, RANGE, SCHEMA, TRIPLE, TYPE
 from graphloom.session import written
 
 KEYS = ["doc", "chunk_ord", "hid"]
@@ -44,8 +44,9 @@ def without_chunk_prefixes(namespaces: DataFrame, pattern: str = "/chunk/") -> D
 
 def normalized(curies: DataFrame, namespaces: DataFrame, column: str = "uri") -> DataFrame:
     """The first prefix that begins the URI is replaced wherever it stands in it; adds full and local."""
-    n = F.broadcast(namespaces.select("prefix", F.col("uri").alias("ns"), "ord"))
-    hit = curies.select(column).distinct().join(n, F.startswith(F.col(column), F.concat("prefix", F.lit(":"))))
+    n = namespaces.select("prefix", F.col("uri").alias("ns"), "ord")
+    # A prefix holds no colon, so it's what stands before the first one.
+    hit = curies.select(column).distinct().where(F.contains(column, F.lit(":"))).withColumn("prefix", F.substring_index(column, ":", 1)).join(n, "prefix")
     best = hit.groupBy(column).agg(F.min_by(F.struct("prefix", "ns"), "ord").alias("b"))
     full = F.when(F.col("b").isNotNull(), F.replace(F.col(column), F.concat("b.prefix", F.lit(":")), F.col("b.ns"))).otherwise(F.col(column))
     return curies.join(best, column, "left").withColumn("full", full).withColumn("local", ids.local_name("full")).drop("b")
@@ -69,6 +70,7 @@ def components(triples: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     each is written, so that a lost executor costs a task, not the rounds before."""
     every = entities(triples, keys)
     edges = written(adjacency(triples, keys).where("u > v"), "edges")
+    before = _sum(edges, keys)
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -76,12 +78,18 @@ def components(triples: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [*keys, "u"]).select(*keys, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.where("u <> v").distinct(), "edges")
-        if after.count() == edges.count() and not after.exceptAll(edges).limit(1).count():
+        now = _sum(after, keys)
+        if now == before:
             break
-        edges = after
+        edges, before = after, now
     return every.join(after.select(*keys, F.col("u").alias("e"), F.col("v").alias("component")), [*keys, "e"], "left").withColumn("component", F.coalesce("component", "e"))
 
 
+def _sum(edges: DataFrame, keys: list[str]) -> tuple:
+    """Tells whether two sets of edges are the same, in one scan of each."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v")), F.bit_xor(F.xxhash64("v", "u", *keys))).first())
+
+
 def connectivity(members: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A row for each graph: is it connected, how many components and entities, the largest, how many are alone."""
     size = members.groupBy(*keys, "component").agg(F.count("*").alias("n"))
@@ -190,6 +198,19 @@ def prefix_of(ontologies: DataFrame, namespaces: DataFrame) -> DataFrame:
     return ontologies.join(n, "iri", "left")
 
 
+def selected(names: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """names (short_name and other columns) with the iri of the first ontology of that name (by ord); an unknown or null name is that of no ontology."""
+    first = ontologies.groupBy("short_name").agg(F.min_by("iri", "ord").alias("iri"))
+    out = names.join(first, "short_name", "left")
+    return out.withColumns({"short_name": F.when(F.col("iri").isNull(), F.lit(NO_ONTOLOGY)).otherwise(F.col("short_name")), "iri": F.coalesce("iri", F.lit(NO_IRI))})
+
+
+def merged_ontologies(left: DataFrame, right: DataFrame, heads: DataFrame) -> DataFrame:
+    """The union of two ontologies' triples for each short_name, with the heads of the right one (short_name and what else it has)."""
+    both = left.unionByName(right).distinct()
+    return both.join(heads, "short_name")
+
+
 def updated(registry: DataFrame, short_name: str, triples: DataFrame) -> DataFrame:
     """The registry's triples (short_name and terms) with those added to the ontology of that name, which must be there."""
     if not registry.where(F.col("short_name") == short_name).limit(1).count():

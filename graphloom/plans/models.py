@@ -12,6 +12,7 @@ PROMPTS = {
     "ontology": "Ontology {name}:\n{ontology}\n\nText:\n{text}\n\n{note}Write Turtle for the classes and properties that the text needs and the ontology lacks.",
     "criticise_ontology": "Text:\n{text}\n\nProposed:\n{addendum}\n\nDoes the proposal hold only general terms that the text needs? Score 0 to 100.",
     "facts": "Ontology:\n{ontology}\n\nText:\n{text}\n\n{note}Write Turtle of what the text states, in the namespace {namespace}.",
+    "summary": "Ontology:\n{ontology}\n\nGive a title and a description of a sentence or two.",
     "criticise_facts": "Text:\n{text}\n\nFacts:\n{facts}\n\nAre the facts complete and right? Score 0 to 100.",
 }
 

@@ -120,7 +120,7 @@ def t_pred(spark: SparkSession, sf: str) -> DataFrame:
 def namespaces(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    own = p.select(F.concat(F.lit("g"), (F.col("page_id") % 7).cast("string")).alias("graph_id"), F.concat(F.lit("p"), (F.col("page_id") % 113).cast("string")).alias("prefix"), F.concat(F.lit("http://"), host, F.lit("/")).alias("uri")).distinct()
+    own = p.select(F.concat(F.lit("g"), (F.col("page_id") % 7).cast("string")).alias("graph_id"), F.concat(F.lit("p"), (F.col("page_id") % 11).cast("string")).alias("prefix"), F.concat(F.lit("http://"), host, F.lit("/")).alias("uri")).distinct()
     chunks = t_part(spark, sf).select("doc", "hid").distinct().select(F.col("doc").alias("graph_id"), F.col("hid").alias("prefix"), F.concat(F.lit(DOCS), "doc", F.lit("/chunk/"), "hid", F.lit("/")).alias("uri"))
     return own.unionByName(chunks)
 
@@ -165,7 +165,7 @@ VIEWS = f"""with recursive part_k as (
     union all {_t("p0", f"'{V.RANGE}'", f"'{VOC}N'", "iri", "n_nationkey * 10 + 3")} from nat2
     union all {_t("p0", f"'{V.TYPE}'", f"'{V.PROPERTY}'", "iri", "n_nationkey * 10 + 4")} from nat2 where c = 0 and n_nationkey % 2 = 0
 ), namespaces as (
-    select distinct 'g' || page_id % 7 as graph_id, 'p' || page_id % 113 as prefix, 'http://' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '/' as uri from pages
+    select distinct 'g' || page_id % 7 as graph_id, 'p' || page_id % 11 as prefix, 'http://' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '/' as uri from pages
     union all select distinct doc, hid, '{DOCS}' || doc || '/chunk/' || hid || '/' from t_part
 ), geo_e as (
     select distinct doc, chunk_ord, hid, e from (select doc, chunk_ord, hid, s as e from t_geo union all select doc, chunk_ord, hid, o from t_geo where o_kind = 'iri')
@@ -190,6 +190,9 @@ VIEWS = f"""with recursive part_k as (
         select doc, s0 as e, 'part' || p_partkey as local_name, p_name as label, null::varchar as comment, ['{VOC}' || replace(p_brand, '#', '')] as types, chunk_ord, 0 as pass, p_partkey * 3 as place, 0 as pos from part_k
         union all select doc, '{VOC}' || replace(p_brand, '#', ''), replace(p_brand, '#', ''), null, null, [], min(chunk_ord), 1, min_by(p_partkey, (chunk_ord, p_partkey)) * 3 + 1, 1 from part_k group by all)
 ), part_lab as materialized (select distinct doc, lower(label) as l from part_m where label is not null
+), part_class as materialized (
+    select doc, i, min(i) over (partition by doc, case when many > 1 then lower(local_name) end, nullif(lower(label), ''), types, case when many = 1 and nullif(lower(label), '') is null then i end) as rep
+    from (select *, count(*) over (partition by doc, lower(local_name)) as many from part_m)
 ), part_sim as materialized (
     select x.doc, x.l as l1, y.l as l2, 200.0::double * list_reduce(regexp_extract_all(x.l, '(?s).'), lambda row, ca: [list_max([greatest(row[k], case when k > 1 then row[k - 1] + (substr(y.l, k - 1, 1) = ca)::int else 0 end) for k in range(1, j + 1)]) for j in range(1, len(row) + 1)], [0 for _ in range(length(y.l) + 1)])[-1] / (length(x.l) + length(y.l)) as ratio
     from part_lab x join part_lab y on x.doc = y.doc and x.l <= y.l
@@ -208,6 +211,10 @@ VIEWS = f"""with recursive part_k as (
 ), part_cluster as materialized (from part_led union all select distinct doc, leader, leader from part_led
 ), part_group as materialized (
     select doc, leader, '{DOCS}' || doc || '/' || max_by(local_name, (coalesce(length(label), 0), -i)) as base, max_by(coalesce(label, ''), (coalesce(length(label), 0), -i)) as label from part_m join part_cluster using (doc, i) group by doc, leader
+), part_to as materialized (
+    select m.doc, m.e, m.types, g.base from part_m m join part_cluster c using (doc, i) join part_group g on g.doc = c.doc and g.leader = c.leader
+), part_new as materialized (
+    select t.doc, hid, coalesce(x.base, t.s) as s, p, coalesce(y.base, t.o) as o, o_kind, o_dt from t_part t left join part_to x on x.doc = t.doc and x.e = t.s left join part_to y on y.doc = t.doc and y.e = t.o and t.o_kind = 'iri'
 ), emb as (
     select label::varchar as doc, vec_id as ord, embedding, 1 - array_cosine_similarity(embedding::double[64], (lead(embedding) over w)::double[64]) as distance from embeddings window w as (partition by label order by vec_id)
 ), dist as (from emb where distance is not null
@@ -295,12 +302,20 @@ def drop_chunk_prefixes(spark, sf):
     return graph.without_chunk_prefixes(namespaces(spark, sf))
 
 
-@query("namespace_union", "select graph_id, ord, prefix, uri from (select graph_id, row_number() over (partition by graph_id order by length(prefix), prefix) - 1 as ord, prefix, uri from (select graph_id, prefix, min(uri) as uri from namespaces where contains(uri, '/chunk/') group by all))")
+@query(
+    "namespace_union",
+    """, n as (select graph_id, prefix, uri, row_number() over (partition by graph_id order by prefix, uri) as k, count(*) over (partition by graph_id) as many from namespaces), f as (
+    select graph_id, 0::bigint as k, []::varchar[] as ps, []::varchar[] as us from (select distinct graph_id from n)
+    union all select f.graph_id, n.k, case when not list_contains(ps, prefix) then list_append(ps, prefix) when us[list_position(ps, prefix)] <> uri and not list_contains(us, uri) then list_append(ps, prefix || '_' || len(ps)) else ps end,
+        case when not list_contains(ps, prefix) or us[list_position(ps, prefix)] <> uri and not list_contains(us, uri) then list_append(us, uri) else us end
+    from f join n on n.graph_id = f.graph_id and n.k = f.k + 1
+), g as (select graph_id, max_by(ps, k) as ps, max_by(us, k) as us from f group by graph_id)
+select graph_id, unnest(ps) as prefix, unnest(us) as uri, unnest(range(len(ps)))::int as ord from g""",
+)
 def namespace_union(spark, sf):
-    """Of the chunks of each document; their prefixes differ, so all stay."""
-    n = namespaces(spark, sf).where("contains(uri, '/chunk/')")
-    order = F.row_number().over(graph.Window.partitionBy("graph_id").orderBy(F.length("prefix"), "prefix")).alias("ord")
-    return graph.merged_namespaces(n.select("graph_id", order, "prefix", "uri"), {})
+    """Many a prefix is bound to several URIs in a graph, so that later ones get another name."""
+    order = F.row_number().over(graph.Window.partitionBy("graph_id").orderBy("prefix", "uri")).alias("ord")
+    return graph.merged_namespaces(namespaces(spark, sf).select("graph_id", order, "prefix", "uri"), {})
 
 
 @query("ontology_prefix", f"select r_regionkey, '{VOC}' || r_name as iri, case when r_regionkey < 3 then 'r' || r_regionkey end as prefix from region")
@@ -320,15 +335,14 @@ def ontology_merge(spark, sf):
     """The union of two graphs of a name; name and version come from the right one."""
     onto = lambda df, k, o: df.select(F.concat(F.lit("o"), F.col(k).cast("string")).alias("short_name"), F.lit(VOC).alias("s"), F.lit(V.LABEL).alias("p"), F.col(o).alias("o"))
     left, right = onto(table(spark, sf, "nation"), "n_regionkey", "n_name"), onto(table(spark, sf, "region"), "r_regionkey", "r_name")
-    meta = right.select("short_name", F.concat(F.lit("2.0."), F.substring("short_name", 2, 9)).alias("version")).distinct()
-    return left.unionByName(right).distinct().groupBy("short_name").agg(F.count("*").alias("triples")).join(meta, "short_name")
+    heads = right.select("short_name", F.concat(F.lit("2.0."), F.substring("short_name", 2, 9)).alias("version")).distinct()
+    return graph.merged_ontologies(left, right, heads).groupBy("short_name", "version").agg(F.count("*").alias("triples"))
 
 
 @query("ontology_lookup", f"select event_id, coalesce(case when event_type in ('click', 'view') then event_type end, '{V.NO_ONTOLOGY}') as short_name, coalesce(case when event_type in ('click', 'view') then '{VOC}' || event_type end, '{V.NO_IRI}') as iri from events")
 def ontology_lookup(spark, sf):
-    known = spark.createDataFrame([(n, VOC + n) for n in ("click", "view")], "short_name string, iri string")
-    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("short_name")).join(F.broadcast(known), "short_name", "left")
-    return e.select("event_id", F.when(F.col("iri").isNull(), V.NO_ONTOLOGY).otherwise(F.col("short_name")).alias("short_name"), F.coalesce("iri", F.lit(V.NO_IRI)).alias("iri"))
+    known = spark.createDataFrame([(n, VOC + n, i) for i, n in enumerate(("click", "view"))], "short_name string, iri string, ord int")
+    return graph.selected(table(spark, sf, "events").select("event_id", F.col("event_type").alias("short_name")), known)
 
 
 @query("all_entities", "from geo_e")
@@ -465,25 +479,30 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return written(entities.numbered(entities.entity_meta(t_part(spark, sf))), "entities")
 
 
-@query("entity_edges", "from part_edge")
+@query("entity_edges", """select doc, i1, i2, 'similar' as kind from part_edge e semi join part_class x on x.doc = e.doc and x.i = e.i1 and x.i = x.rep semi join part_class y on y.doc = e.doc and y.i = e.i2 and y.i = y.rep
+union all select doc, rep, i, 'copy' from part_class where i <> rep""")
 def entity_edges(spark, sf):
-    return entities.entity_edges(_parts(spark, sf))
+    """Pairs of the first entities of classes, and which others these stand for."""
+    m = _parts(spark, sf)
+    c = written(entities.entity_classes(m), "entity-classes")
+    e = entities.entity_edges(m.join(c.where("i = rep").select("doc", "i"), ["doc", "i"], "left_semi"))
+    return e.select("doc", "i1", "i2", F.lit("similar").alias("kind")).unionByName(c.where("i <> rep").select("doc", F.col("rep").alias("i1"), F.col("i").alias("i2"), F.lit("copy").alias("kind")))
 
 
 @query("entity_clusters", "select doc, i, leader from part_cluster")
 def entity_clusters(spark, sf):
-    return entities.leaders(entities.entity_edges(_parts(spark, sf)))
+    return entities.entity_clusters(_parts(spark, sf))
 
 
 @query("best_label", "select doc, leader, label from part_group")
 def best_label(spark, sf):
     m = _parts(spark, sf)
-    return entities.best_labels(m, entities.leaders(entities.entity_edges(m))).select("doc", "leader", F.coalesce("label", F.lit("")).alias("label"))
+    return entities.best_labels(m, entities.entity_clusters(m)).select("doc", "leader", F.coalesce("label", F.lit("")).alias("label"))
 
 
 def _named(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     m = _parts(spark, sf)
-    c = entities.leaders(entities.entity_edges(m))
+    c = entities.entity_clusters(m)
     return m, c, entities.canonical(entities.best_labels(m, c), doc_ns())
 
 
@@ -514,7 +533,18 @@ def lineage(spark, sf):
     return entities.lineage(t, t.select("doc", "chunk").distinct(), doc_ns())
 
 
-@query("aggregate_graph")
+@query(
+    "aggregate_graph",
+    f"""select distinct doc, s, 'iri' as s_kind, p, o, o_kind, o_dt, null::varchar as o_lang from (
+    select doc, s, p, o, o_kind, o_dt from part_new
+    union all select doc, base, '{V.LABEL}', label, 'literal', null from part_group where label <> ''
+    union all select doc, base, '{V.TYPE}', unnest(types), 'iri', null from part_to
+    union all select doc, e, '{V.LABEL}', label, 'literal', null from part_m m where label is not null and not exists (from part_to x where x.doc = m.doc and x.e = m.e)
+    union all select doc, e, '{V.TYPE}', unnest(types), 'iri', null from part_m m where not exists (from part_to x where x.doc = m.doc and x.e = m.e)
+    union all select doc, '{DOCS}' || doc || '/chunk/' || hid, '{V.TYPE}', '{V.PROV}Entity', 'iri', null from t_part
+    union all select doc, '{DOCS}' || doc || '/chunk/' || hid, '{V.PROV}wasPartOf', '{DOCS}' || doc, 'iri', null from t_part
+    union all select doc, s, '{V.PROV}wasGeneratedBy', '{DOCS}' || doc || '/chunk/' || hid, 'iri', null from part_new where starts_with(s, '{DOCS}' || doc || '/'))""",
+)
 def aggregate_graph(spark, sf):
     return entities.aggregated(t_part(spark, sf), doc_ns(), chunk_of())
 
@@ -581,10 +611,10 @@ def chunk_start_index(spark, sf):
     return chunking.start_indices(conversations(spark, sf).select("doc", F.col("ord").alias("chunk_ord"), F.col("sentence").alias("text")))
 
 
-@query("chunk_head", "select doc, ord, sentence from conv where ord < 3")
+@query("chunk_head", "select doc, ord, sentence from (select *, row_number() over (partition by doc order by ord) as k from conv) where k <= 3")
 def chunk_head(spark, sf):
     """The first three chunks of each document, in its order."""
-    return conversations(spark, sf).where(F.col("ord") < 3)
+    return chunking.head(conversations(spark, sf), 3, "ord")
 
 
 @query("excerpt", "select doc_id, substr(text, 1, 1000) || ' ...' as excerpt from documents")
@@ -599,9 +629,12 @@ def sentence_split(spark, sf):
     return chunking.sentences(d, chunking.PLAIN)
 
 
-@query("json_text", "select event_id, json_extract_string(props, '$.k') as k from events")
+@query("json_text", "select conv_id, turn, case when turn % 2 = 0 then text else '# JSON Data' || chr(10) || chr(10) || '**conv**: ' || conv_id || chr(10) || '**turn**: ' || turn || chr(10) || '**role**: ' || replace(role, '*', '-') || chr(10) || chr(10) end as text from conversations")
 def json_text(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """Documents with a text, and without one but with fields."""
+    c = table(spark, sf, "conversations")
+    doc = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("text", "role"))).otherwise(F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn", "role")))
+    return c.select("conv_id", "turn", jsonmd.text_of(doc).alias("text"))
 
 
 @query("json_to_md", "select event_id, '# JSON Data' || chr(10) || chr(10) || '**k**: ' || json_extract_string(props, '$.k') || chr(10) || chr(10) as md from events")

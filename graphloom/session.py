@@ -8,18 +8,25 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-_TABLES: list[str] = []
+#: Tables of each application that no scope holds, and those of the scope that is open here.
+_TABLES: dict[str, list[str]] = {}
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -48,14 +55,31 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    _TABLES.append(at)
+    held = _SCOPE.get()
+    (_TABLES.setdefault(spark.sparkContext.applicationId, []) if held is None else held).append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that written() left; call it when the results made from them are stored."""
+def _delete(spark: SparkSession, tables: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What written() leaves within is deleted at the end; no other table is. Store results that are made from it before."""
+    held: list[str] = []
+    token = _SCOPE.set(held)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _delete(spark, held)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that written() left in this application outside of scopes; call it when all results made from them are stored."""
+    _delete(spark, _TABLES.get(spark.sparkContext.applicationId, []))

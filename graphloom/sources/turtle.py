@@ -1,10 +1,11 @@
 """Turtle: a parser and a writer. parse() gives triples in the order of the text, which is what stands for order wherever a graph needs one.
 
-Terms are (value, kind, datatype, language), kinds iri, literal, bnode. Blank nodes are named _:b1, _:b2, ... in the order of the text.
+Terms are (value, kind, datatype, language), kinds iri, literal, bnode. Blank nodes are named b1, b2, ... in the order of the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from urllib.parse import urljoin
 
@@ -41,7 +42,7 @@ def _unescape(s: str) -> str:
 
 
 class Parser:
-    def __init__(self, text: str, base: str = "", prefixes: dict[str, str] | None = None):
+    def __init__(self, text: str, base: str = "", prefixes: dict[str, str] | None = None, tag: str = ""):
         self.tokens: list[tuple[str, str]] = []
         at = 0
         while at < len(text):
@@ -51,7 +52,7 @@ class Parser:
             if m.lastgroup != "ws":
                 self.tokens.append((m.lastgroup, m.group()))
             at = m.end()
-        self.at, self.base, self.prefixes = 0, base, dict(PREFIXES if prefixes is None else prefixes)
+        self.at, self.base, self.tag, self.prefixes = 0, base, tag, dict(PREFIXES if prefixes is None else prefixes)
         self.named: dict[str, str] = {}
         self.blanks = 0
         self.triples: list[tuple] = []
@@ -69,7 +70,7 @@ class Parser:
     def blank(self, label: str | None = None) -> tuple:
         if label is None or label not in self.named:
             self.blanks += 1
-            name = f"_:b{self.blanks}"
+            name = f"_:{self.tag}b{self.blanks}"
             if label is None:
                 return name, "bnode", None, None
             self.named[label] = name
@@ -192,12 +193,12 @@ class Parser:
         return nodes[0]
 
 
-def parse(text: str, escapes: bool = False) -> list[tuple]:
+def parse(text: str, escapes: bool = False, tag: str = "") -> list[tuple]:
     """Distinct triples (s, s_kind, p, o, o_kind, o_dt, o_lang) in order. escapes: first expand backslash escapes of the whole text
-    as Latin-1, for texts that a model or a state file quotes twice."""
+    as Latin-1, for texts that a model or a state file quotes twice. tag: in the names of blank nodes."""
     if escapes:
         text = text.encode().decode("unicode_escape")
-    return list(dict.fromkeys(Parser(text).parse()))
+    return list(dict.fromkeys(Parser(text, tag=tag).parse()))
 
 
 def _quoted(s: str) -> str:
@@ -233,19 +234,20 @@ def render(triples: list[tuple], prefixes: dict[str, str] | None = None) -> str:
 
 
 def parsed(text: Column, escapes: bool = False) -> Column:
-    """Triples of a Turtle column; null where it can't be read."""
+    """Triples of a Turtle column; null where it can't be read. Blank nodes are named by the text too, so those of different graphs stay apart."""
 
     def f(t: str | None) -> list[tuple] | None:
         try:
-            return None if t is None else [(i, *x) for i, x in enumerate(parse(t, escapes))]
+            return None if t is None else [(i, *x) for i, x in enumerate(parse(t, escapes, "g" + hashlib.sha256(t.encode()).hexdigest()[:12]))]
         except (TurtleError, UnicodeDecodeError):
             return None
 
     return F.udf(f, TRIPLE_TYPE, useArrow=True)(text)
 
 
-def rendered(triples: DataFrame, *keys: str) -> DataFrame:
-    """A row of keys and turtle for each graph."""
-    f = F.udf(lambda rows: render([tuple(r) for r in rows]), "string", useArrow=True)
+def rendered(triples: DataFrame, *keys: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """A row of keys and turtle for each graph; prefixes are known beside those that every text has."""
+    known = PREFIXES | (prefixes or {})
+    f = F.udf(lambda rows: render([tuple(r) for r in rows], known), "string", useArrow=True)
     cols = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
     return triples.groupBy(*keys).agg(F.collect_set(F.struct(*(F.coalesce(c, F.lit("")).alias(c) if c[1:] not in ("_dt", "_lang") else F.col(c) for c in cols))).alias("t")).select(*keys, f("t").alias("turtle"))

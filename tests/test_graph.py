@@ -132,6 +132,15 @@ def test_entity_edges(spark, seed):
     assert {(x.i1, x.i2) for x in entities.entity_edges(meta_of(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_clusters_are_those_of_all_edges(spark, seed):
+    r = random.Random(10 + seed)
+    labels = ["John Doe", "john doe", "John D.", "J. Doe", "café owner", "cafe owner", "Acme Corporation", "Acme Corporatiom", "", None]
+    rows = [(d, i, f"e{i}", r.choice(["a", "A", f"n{i}", f"n{i}", f"n{i}"]), r.choice(labels), None, r.sample(["t", "u", "v"], r.randint(0, 2))) for d in "xy" for i in range(1, 60)]
+    m = meta_of(spark, rows)
+    assert sorted(entities.entity_clusters(m).select("doc", "i", "leader").collect()) == sorted(entities.leaders(entities.entity_edges(m)).select("doc", "i", "leader").collect())
+
+
 def test_types_keep_namesakes_apart(spark):
     ns = f"{D}/doc/d/chunk/"
     rows = [("d", i, f"h{i}", f"{ns}h{i}/apple", V.TYPE, FOAF + t, "iri") for i, t in enumerate(("Person", "Company", "Fruit"))]

@@ -1,6 +1,8 @@
 """Chunking, Turtle, JSON, files, workflow, streaming."""
 
+import hashlib
 import json
+import os
 import random
 import re
 
@@ -10,9 +12,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from graphloom import session
+from graphloom.__main__ import main
 from graphloom.functions import vocab as V
 from graphloom.operators import chunking
 from graphloom.plans import jobs, workflow
+from graphloom.plans.client import Client
 from graphloom.plans.models import Rules
 from graphloom.sources import files, jsonmd, turtle
 from graphloom.streaming import ingest
@@ -154,8 +159,13 @@ def test_ontologies_and_store(spark, tmp_path):
     h = heads.first()
     assert (h.short_name, h.title, h.version, h.iri) == ("x", "X", "1.2.0", "http://o/x#") and t.count() == 4
     store.write_ontology(t.withColumn("short_name", files.F.lit("x")).withColumn("version", files.F.lit("1.2.0")))
-    back = spark.read.text(f"{tmp_path}/out/turtle", wholetext=True).first()
-    assert back.file == "ontology_x_1.2.0.ttl" and len(turtle.parse(back.value)) == 4
+    assert len(turtle.parse((tmp_path / "out/ontology_x_1.2.0.ttl").read_text())) == 4
+    facts = t.limit(1).withColumn("doc", files.F.lit("https://example.com/doc/ab12/"))
+    store.write_facts(facts.drop("doc"), files.F.lit("https://example.com/doc/ab12/"))
+    store.write_facts(facts.drop("doc"))
+    assert (tmp_path / "out/facts_ab12.ttl").exists() and (tmp_path / "out/current.ttl").exists() and (tmp_path / "out/ontology_x_1.2.0.ttl").exists()
+    assert spark.read.parquet(f"{tmp_path}/out/facts").count() == 1 and spark.read.parquet(f"{tmp_path}/out/ontologies").count() == 4
+    assert files.descriptions(heads.unionByName(heads)).first()[0].count("\n\n") == 1
     assert heads.select(files.described(heads)).first()[0] == "name: x\nabout: X\niri: http://o/x#"
     assert files.FolderStore("x").ontologies(spark)[1].count() == 0
 
@@ -186,9 +196,9 @@ class Broken(Rules):
 @pytest.mark.parametrize("v", [1, 2, 3, 4])
 def test_calls_are_bounded(v):
     calls = lambda log: sum(r[3] != "Sublimate Ontology" for r in log)
-    log, _ = workflow.run_document("d", ["Alpha meets Beta."], {"o": []}, Stubborn(), v, "https://example.com")
+    log, _, _ = workflow.run_document("d", ["Alpha meets Beta."], {"o": []}, Stubborn(), v, "https://example.com")
     assert 5 <= calls(log) <= 6 * v - 1 and max(r[4] for r in log) <= v and log[-1][5] == "success"
-    log, facts = workflow.run_document("d", ["Alpha meets Beta."], {"o": []}, Broken(), v, "https://example.com")
+    log, facts, _ = workflow.run_document("d", ["Alpha meets Beta."], {"o": []}, Broken(), v, "https://example.com")
     assert not facts and sum(r[3] == "Text to Facts" and r[5] == "failed" for r in log) >= v - 1
 
 
@@ -198,15 +208,17 @@ def test_workflow(spark):
     assert set(log.doc) == {"d", "e"} and log[log.doc == "d"].chunk_ord.is_monotonic_increasing
     assert set(log[log.doc == "d"].ontology) >= {"ontology_d"}
     facts = workflow.run(c, facts=True).toPandas()
-    assert "https://example.com/doc/d/chunk/0/Alpha" in set(facts.s) and (facts[facts.p == V.LABEL].o_kind == "literal").all()
+    assert f"https://example.com/doc/d/chunk/{hashlib.sha256(b'Alpha meets Beta.').hexdigest()[:12]}/Alpha" in set(facts.s) and (facts[facts.p == V.LABEL].o_kind == "literal").all()
 
 
 def test_process_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps({"text": "Alpha meets Beta. Beta likes Gamma."}))
     jobs.run_batch(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    t = spark.read.parquet(f"{tmp_path}/out/triples")
-    assert t.count() > 5 and t.select("file").distinct().count() == 1
+    t = spark.read.parquet(f"{tmp_path}/out/facts")
+    name = t.select("file").distinct().collect()
+    assert t.count() > 5 and len(name) == 1 and len(turtle.parse((tmp_path / "out" / name[0].file).read_text())) == t.count()
+    assert "Term5" in next((tmp_path / "out").glob("ontology_ontology_*_0.0.0.ttl")).read_text()
     q = lambda: ingest.ingest(spark, str(tmp_path / "in"), f"{tmp_path}/chunks", f"{tmp_path}/check", glob="*.json").awaitTermination()
     q()
     assert spark.read.parquet(f"{tmp_path}/chunks").count() == 1
@@ -225,3 +237,140 @@ def test_vectors_are_the_same_everywhere():
 def test_words_of_one_beginning_differ():
     a, b = chunking.hashed_vectors(pd.Series(["http_example_org_some_long_word_one", "http_example_org_some_long_word_two"]))
     assert not np.array_equal(a, b)
+
+
+
+def test_models_are_called_once_and_chunks_connected(spark, tmp_path):
+    text = "Alpha meets Beta. Gamma sees Delta. Zeta likes Omega."
+    docs = spark.createDataFrame([(text,), (text,), (None,)], "text string")
+    at = str(tmp_path / "calls")
+
+    class Counting(Rules):
+        def facts(self, namespace, text, note):
+            with open(at, "a") as f:
+                f.write(namespace + "\n")
+            return Rules.facts(self, namespace, text, note)
+
+    graphs, log, added = jobs.process(docs, jobs.Config(model=Counting))
+    got, steps = graphs.collect(), log.collect()
+    assert added.select("short_name").distinct().count() == 1
+    calls = open(at).read().splitlines()
+    hid = hashlib.sha256(text.encode()).hexdigest()[:12]
+    assert len(calls) == sum(r.node == "Text to Facts" for r in steps) and set(calls) == {f"https://example.com/doc/{hid}/chunk/{hid}/"}
+    parts = {r.s for r in got if r.p == V.PROV + "wasQuotedFrom"}  # triples about the chunk itself are left out
+    assert len(parts) == 3 and {r.o for r in got if r.p == V.PROV + "wasQuotedFrom"} == {f"https://example.com/doc/{hid}/chunk/{hid}"}
+
+
+def test_answers(spark):
+    rows = [("application/json; charset=utf-8", b'{"text": "Alpha meets Beta."}', None), ("text/plain", b"x", None), ("multipart/form-data", b"%PDF", "a.pdf"), ("application/json", None, None), (None, b"{}", None)]
+    got = jobs.respond(spark.createDataFrame(rows, "content_type string, body binary, name string"), jobs.Config(converter=lambda b: "Gamma sees Delta.")).collect()
+    assert sorted(r.code for r in got) == [200, 200, 400, 400, 500]
+    ok = [json.loads(r.json) for r in got if r.code == 200]
+    assert all(x["status"] == "success" and x["metadata"]["chunks_processed"] == 0 and turtle.parse(x["data"]["facts"]) and "Term5" in x["data"]["ontology"] for x in ok)
+    assert {json.loads(r.json)["error_type"] for r in got if r.code != 200} == {"ContentType", "KeyError"}
+
+
+def test_only_office_bytes_are_converted(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def convert(b):
+        with open(seen, "a") as f:
+            f.write(f"{len(b)}\n")
+        return "text"
+
+    rows = [("a.pdf", b"12345"), ("b.json", b'{"text": "x"}'), ("c.pdf", None), ("d.json", None)]
+    got = {r.path: r.status for r in files.converted(spark.createDataFrame(rows, "path string, content binary"), convert).collect()}
+    assert got == {"a.pdf": "success", "b.json": "success", "c.pdf": "failed", "d.json": "failed"} and open(seen).read() == "5\n"
+
+
+def test_files_of_commands(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps({"text": "One. Two."}))
+    (src / "p.pdf").write_bytes(b"%PDF")
+    main(["split-chunks", "--input-path", str(src), "--output-path", str(tmp_path / "chunks")], spark)
+    assert json.loads((tmp_path / "chunks/a.json").read_text()) == {"chunks": ["One. Two."]}
+    jobs.pdfs_to_markdown(spark, str(src), str(tmp_path / "md"), lambda b: f"# {len(b)}")
+    assert json.loads((tmp_path / "md/p.json").read_text()) == {"text": "# 4"}
+    with pytest.raises(Exception, match="not a PDF"):
+        files.pdf_to_markdown(files.crawl(spark, str(src), (".json",)), str).collect()
+    (src / "b.json").write_text(json.dumps({"x": 1}))
+    with pytest.raises(Exception, match="neither text nor fields"):
+        jobs.split_chunks(spark, str(src), str(tmp_path / "more"))
+    main(["batch", "--input-path", str(src), "--working-directory", str(tmp_path / "out"), "--max-visits", "1"], spark)
+    assert list((tmp_path / "out").glob("facts_*.ttl")) and spark.read.parquet(f"{tmp_path}/out/failed").count() == 2
+    with pytest.raises(SystemExit):
+        main(["batch", "--input-path", "x", "--working-directory", "y", "--provider", "openai"])
+    assert "CriticiseFacts --> TextToFacts: failure" in jobs.diagram()
+
+
+def test_states_come_back(spark, tmp_path):
+    state = {"input_text": "t", "doc_hid": "ab", "files": {"a.json": "x"}, "current_chunk": {"text": "c", "hid": "h", "doc_iri": "i", "graph": "<http://a> <http://b> 1 .", "processed": True}, "chunks": [], "success_score": 7.5, "node_visits": {"Text to Facts": 2}, "max_visits": 3, "status": "success"}
+    row = spark.read.schema(files.STATE).json(spark.sparkContext.parallelize([json.dumps(state)]))
+    files.save_states(row, str(tmp_path))
+    back = files.states(spark, str(tmp_path)).drop("file").first()
+    assert back == row.first() and back.node_visits == {"Text to Facts": 2}
+
+
+def test_blank_nodes_of_two_texts_stay_apart(spark):
+    rows = [("<http://a> <http://b> [ <http://c> 1 ] .",), ("<http://a> <http://b> [ <http://c> 2 ] .",)]
+    got = spark.createDataFrame(rows, "t string").select(files.F.explode(turtle.parsed(files.F.col("t"))).alias("x")).select("x.*").collect()
+    assert len({r.s for r in got if r.s_kind == "bnode"}) == 2
+
+
+def test_client():
+    asked = []
+
+    def send(url, headers, body):
+        asked.append((url, headers, body["messages"][0]["content"]))
+        text = body["messages"][0]["content"]
+        answer = '{"success": true, "score": 80, "critique": "fine"}' if "Score" in text else " base \n" if "Name the one" in text else "```turtle\ncd:Alpha a <http://o/T> ; rdfs:label \"Alpha\" .\n```" if "states" in text else "<http://o/T> a rdfs:Class ." if "Write Turtle" in text else "no"
+        return {"choices": [{"message": {"content": answer}}]}
+
+    c = Client("ollama", "m", base_url="http://h/v1", registry={"base": [("http://o/T", "iri", V.TYPE, V.RDFS + "Class", "iri")]}, send=send)
+    log, facts, added = workflow.run_document("d", ["Alpha is."], {"base": []}, c, 3, "https://example.com")
+    assert [r[5] for r in log] == ["success"] * 6 and len(facts) == 2 and added[0][1] == "base" and asked[0][0] == "http://h/v1/chat/completions"
+    assert "http://o/T" in asked[1][2]
+    with pytest.raises(ValueError, match="isn't such an object"):
+        c.summary("base")
+    with pytest.raises(ValueError, match="unknown provider"):
+        Client("other")
+    with pytest.raises(ValueError, match="api_key"):
+        Client("openai")
+    Client("openai", api_key="k", base_url="http://ignored", send=send)("x")
+    assert asked[-1][:2] == ("https://api.openai.com/v1/chat/completions", {"Authorization": "Bearer k"})
+
+
+def test_windows_are_sums_of_sentences():
+    r = random.Random(9)
+    words = ["alpha", "Beta", "gamma_1", "ÉTÉ", "x"]
+    for b in (0, 1, 3):
+        parts = [" ".join(r.choices(words, k=r.randint(1, 6))) + r.choice(".!?") for _ in range(20)]
+        e = chunking.Hashed(64)
+        got = e.windows(parts, b)
+        want = e.counts(["".join(parts[max(0, i - b) : i]) + parts[i] + "".join(" " + x for x in parts[i + 1 : i + 1 + b]) for i in range(len(parts))])
+        assert np.array_equal(got, want)
+    assert e.windows(["no end", "here"], 1) is None
+
+
+def test_tables_of_a_scope(spark):
+    with session.scope(spark):
+        inner = session.written(spark.range(3))
+        assert inner.count() == 3
+        at = inner.inputFiles()[0]
+    outer = session.written(spark.range(2))
+    with session.scope(spark):
+        session.written(spark.range(4))
+    assert not os.path.exists(at[7:]) and outer.count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Fake)
