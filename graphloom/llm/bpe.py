@@ -31,7 +31,7 @@ from graphloom.llm.text import BATCH, CHUNK, arrow_map, buffers, mix, picked, pl
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pretokens, and pairs of tokens, that a worker keeps before it starts anew, and steps of the automaton that it keeps; only speed and memory depend on them.
-KEPT, KEPT_PAIRS, KEPT_STEPS = 400_000, 1_000_000, 2_000_000
+KEPT, KEPT_PAIRS, KEPT_STEPS = 400_000, 1_000_000, 500_000
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean"
 
 
