@@ -549,11 +549,87 @@ def aggregate_graph(spark, sf):
     return entities.aggregated(t_part(spark, sf), doc_ns(), chunk_of())
 
 
-@query("aggregate_predicates")
+def _led(edges: str, nodes: str, name: str) -> str:
+    """Greedy leaders of numbered nodes, and who is led by whom: {name}_cluster (doc, i, leader)."""
+    return f"""{name}_adj as materialized (select doc, i2 as i, list(i1) as lower_ones from {edges} group by all
+), {name}_lead as (
+    select doc, 0::bigint as i, []::bigint[] as leaders from (select distinct doc from {nodes})
+    union all select l.doc, l.i + 1, case when list_has_any(coalesce(a.lower_ones, []), l.leaders) then l.leaders else list_append(l.leaders, l.i + 1) end
+    from {name}_lead l left join {name}_adj a on a.doc = l.doc and a.i = l.i + 1 where l.i < (select max(i) from {nodes} m where m.doc = l.doc)
+), {name}_led as (select e.doc, i2 as i, min(i1) as leader from {edges} e join (select doc, unnest(max_by(leaders, i)) as i from {name}_lead group by doc) l on l.doc = e.doc and l.i = e.i1 group by all
+), {name}_cluster as materialized (from {name}_led union all select distinct doc, leader, leader from {name}_led)"""
+
+
+def _name_of(iri: str) -> str:
+    return f"split_part({iri}, case when contains({iri}, '#') then '#' else '/' end, -1)"
+
+
+_RATIO = "200.0 * " + _LCS.format(a="x", b="y") + " / (length(x) + length(y))"
+_AGGREGATED = f""", e_seen as (
+    select doc, chunk_ord, e, min([triple_ord, pos]) as place from (select doc, chunk_ord, triple_ord, s as e, 0 as pos from t_pred union all select doc, chunk_ord, triple_ord, o, 1 from t_pred where o_kind = 'iri') group by all
+), e_named as (
+    select doc, chunk_ord, s as e, max_by(o, triple_ord) filter (p = '{V.LABEL}') as label, min(triple_ord) as named_at from t_pred where o_kind = 'literal' and p in ('{V.LABEL}', '{V.COMMENT}') group by all
+), e_type as (select doc, s as e, list_sort(list(distinct o)) as types from t_pred where p = '{V.TYPE}' and o_kind = 'iri' group by all
+), e_m as materialized (
+    select doc, e, {_name_of("e")} as local_name, label, types, row_number() over (partition by doc order by ord, e) as i from (
+        select doc, e, nullif(max_by(coalesce(label, ''), chunk_ord), '') as label, coalesce(any_value(types), []) as types,
+            min([chunk_ord, (named_at is null)::int, coalesce(named_at, place[1]), case when named_at is null then place[2] else 0 end]) as ord
+        from e_seen left join e_named using (doc, chunk_ord, e) left join e_type using (doc, e) group by doc, e)
+), e_pair as (
+    select a.doc, a.i as i1, b.i as i2, lower(a.local_name) = lower(b.local_name) as same, list_has_any(a.types, b.types) as share, lower(a.label) as x, lower(b.label) as y
+    from e_m a join e_m b on a.doc = b.doc and a.i < b.i where len(a.types) = 0 or len(b.types) = 0 or list_has_any(a.types, b.types)
+), e_edge as materialized (
+    select doc, i1, i2 from e_pair where same or (x is not null and y is not null and {_RATIO} >= case when share then 90 else 85 end)
+), {_led("e_edge", "e_m", "e")}, e_group as materialized (
+    select doc, leader, '{DOCS}' || doc || '/' || max_by(local_name, (coalesce(length(label), 0), -i)) as base, max_by(coalesce(label, ''), (coalesce(length(label), 0), -i)) as label from e_m join e_cluster using (doc, i) group by doc, leader
+), e_to as materialized (select m.doc, e, types, base from e_m m join e_cluster c using (doc, i) join e_group g on g.doc = c.doc and g.leader = c.leader
+), p_m as materialized (
+    select *, {_name_of("pred")} as local_name, row_number() over (partition by doc order by c, place, pred) as i from (
+        select doc, pred, min(chunk_ord) as c, min_by(place, chunk_ord) as place, {', '.join(map(_long, ('label', 'comment', 'domain', 'range')))}, bool_or(is_explicit) as is_explicit from ({_INFO}) group by doc, pred)
+), p_pair as (
+    select a.doc, a.i as i1, b.i as i2, lower(a.local_name) = lower(b.local_name) as same, lower(a.label) as x, lower(b.label) as y from p_m a join p_m b on a.doc = b.doc and a.i < b.i
+    where (a.domain is null or b.domain is null or a.domain = b.domain) and (a.range is null or b.range is null or a.range = b.range)
+), p_edge as materialized (select doc, i1, i2 from p_pair where same or (x is not null and y is not null and {_RATIO} >= 85)
+), {_led("p_edge", "p_m", "p")}, p_group as materialized (
+    select doc, leader, '{DOCS}' || doc || '/' || max_by(local_name, ((label is not null)::int + (comment is not null)::int + (domain is not null)::int + (range is not null)::int, -i)) as base,
+        {', '.join(f"max_by({c}, (length({c}), -i)) filter ({c} is not null) as {c}" for c in ('label', 'comment', 'domain', 'range'))}, bool_or(is_explicit) as is_explicit
+    from p_m join p_cluster using (doc, i) group by doc, leader
+), p_to as materialized (select m.doc, pred, base from p_m m join p_cluster c using (doc, i) join p_group g on g.doc = c.doc and g.leader = c.leader
+), p_all as materialized (
+    select doc, base as pred, label, comment, domain, range, is_explicit from p_group
+    union all select doc, pred, label, comment, domain, range, is_explicit from p_m m where starts_with(pred, '{DOCS}' || doc || '/') and not exists (from p_to x where x.doc = m.doc and x.pred = m.pred)
+), fresh as materialized (
+    select t.doc, hid, coalesce(x.base, t.s) as s, coalesce(z.base, t.p) as p, coalesce(y.base, t.o) as o, o_kind from t_pred t
+    left join e_to x on x.doc = t.doc and x.e = t.s left join e_to y on y.doc = t.doc and y.e = t.o and t.o_kind = 'iri' left join p_to z on z.doc = t.doc and z.pred = t.p
+)
+select distinct doc, s, 'iri' as s_kind, p, o, o_kind, null::varchar as o_dt, null::varchar as o_lang from (
+    select doc, s, p, o, o_kind from fresh
+    union all select doc, base, '{V.LABEL}', label, 'literal' from e_group where label <> ''
+    union all select doc, base, '{V.TYPE}', unnest(types), 'iri' from e_to
+    union all select doc, e, '{V.LABEL}', label, 'literal' from e_m m where label is not null and not exists (from e_to x where x.doc = m.doc and x.e = m.e)
+    union all select doc, e, '{V.TYPE}', unnest(types), 'iri' from e_m m where not exists (from e_to x where x.doc = m.doc and x.e = m.e)
+    union all select doc, pred, '{V.LABEL}', label, 'literal' from p_all
+    union all select doc, pred, '{V.COMMENT}', comment, 'literal' from p_all
+    union all select doc, pred, '{V.DOMAIN_OF}', domain, 'iri' from p_all
+    union all select doc, pred, '{V.RANGE}', range, 'iri' from p_all
+    union all select doc, pred, '{V.TYPE}', '{V.PROPERTY}', 'iri' from p_all where is_explicit
+    union all select doc, '{DOCS}' || doc || '/chunk/' || hid, '{V.TYPE}', '{V.PROV}Entity', 'iri' from t_pred
+    union all select doc, '{DOCS}' || doc || '/chunk/' || hid, '{V.PROV}wasPartOf', '{DOCS}' || doc, 'iri' from t_pred
+    union all select doc, s, '{V.PROV}wasGeneratedBy', '{DOCS}' || doc || '/chunk/' || hid, 'iri' from fresh where starts_with(s, '{DOCS}' || doc || '/'))
+where o is not null"""
+
+
+@query("aggregate_predicates", _AGGREGATED)
 def aggregate_predicates(spark, sf):
+    """Predicates of two chunks are merged and renamed wherever they stand, as predicates, subjects and objects."""
     return entities.aggregated(t_pred(spark, sf), doc_ns(), chunk_of())
 
 
+@query("predicate_clusters", _AGGREGATED[: _AGGREGATED.index("), p_group as")] + ") select doc, i, leader from p_cluster")
+def predicate_clusters(spark, sf):
+    return entities.leaders(entities.predicate_edges(written(entities.numbered(entities.predicate_meta(entities.predicate_info(t_pred(spark, sf)))), "predicates")))
+
+
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("ord"), F.col("text").alias("sentence"))
 
