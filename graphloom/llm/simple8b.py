@@ -206,7 +206,8 @@ def _codec(key: str, ranks: dict[bytes, int]) -> Batches:
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = codec = Batches(ranks)
-        codec.prefixes.encode = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        public = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        codec.prefixes.encode = lambda piece: public.encode_ordinary(piece.decode())
     return _CODECS[key]
 
 

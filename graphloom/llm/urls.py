@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import picked, table
+from graphloom.session import written
 
 ALLOW = "allow"
 
@@ -45,9 +46,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def candidates(captures: DataFrame) -> DataFrame:
-    """page_id, url, fetched_at, host, row (names the capture), and patterns that could fit."""
-    c = picked(captures, page_id="bigint", url="string", fetched_at="timestamp")
-    c = c.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    """Captures with their host and the patterns that could fit."""
+    c = captures.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels, segments = F.split("host", r"\."), F.split("path", "/")  # the first segment, before the slash, is empty
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/"))
@@ -58,7 +58,9 @@ def candidates(captures: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """A row for each capture: page_id, url, host, fetched_at, blocked, list_name and pattern of the entry that decides, and n_active, how many
     entries are active and fit."""
-    c = candidates(captures).withColumn("row", F.monotonically_increasing_id())
+    # A capture's number is written, as one that is computed twice may differ when a task is run again.
+    c = picked(captures, page_id="bigint", url="string", fetched_at="timestamp").withColumn("row", F.monotonically_increasing_id())
+    c = candidates(written(c, "captures"))
     keys = c.where("fetched_at is not null").select("row", "fetched_at", F.explode("fits").alias("f")).select("row", "fetched_at", "f.*")
     live = intervals(entries)
     hit = keys.join(live, "pattern").where((F.col("fetched_at") >= F.col("active_from")) & (F.col("active_to").isNull() | (F.col("fetched_at") < F.col("active_to"))))
