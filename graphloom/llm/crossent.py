@@ -46,6 +46,27 @@ PIECES = "piece bigint, doc_ids array<bigint>, targets binary, lengths binary, w
 _WORD = np.dtype([("word", "<u8"), ("target", "<i8"), ("all", "<i8")])
 
 
+#: Bytes of a word or bigram within its bucket, of a piece's counts, and of totals.
+_CODE, _COUNT, _TOTAL = 5, 4, 6
+
+
+def _planes(x: np.ndarray, cuts: np.ndarray, width: int) -> pa.Array:
+    """Byte strings of x[cuts[i] : cuts[i + 1]]: the lowest bytes of all, then the next ones, so that what is zero is together and is compressed away."""
+    b = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return pa.array([np.ascontiguousarray(b[i:j].T).tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+
+def _values(blob: pa.Scalar, width: int) -> np.ndarray:
+    planes = np.frombuffer(blob.as_buffer(), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _all_values(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(_values(x, width) for x in column)])
+
+
 @dataclass
 class Sums:
     """Documents with a word and words, of the target and of all; the size of the vocabulary."""
@@ -208,11 +229,12 @@ class Piece:
         self.good = np.concatenate([np.bincount(self.token, good, len(self.hash)), np.bincount(self.of, good, len(self.code))]).astype(np.int64)
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the words and bigrams, the bucket of each, and the order by bucket."""
+        """What is sent of the words and bigrams, the bucket of each, and the order by bucket and what is sent."""
         a, b = self.hash[(self.code >> np.uint64(32)).astype(np.int64)], self.hash[(self.code & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         h = np.concatenate([mix(self.hash), mix(mix(a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + b)])
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        return h, bucket, np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        low = h & np.uint64((1 << 8 * _CODE) - 1)
+        return low, bucket, np.argsort(bucket.astype(np.uint64) << np.uint64(8 * _CODE) | low, kind="stable")
 
     def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct values of each document: document, value, how often."""
@@ -228,12 +250,13 @@ def _sent(pieces: DataFrame, buckets: int) -> DataFrame:
             out = []
             for piece, *x in zip(*(b.column(c) for c in ("piece", "targets", "lengths", "words", "tokens")), strict=True):
                 p = Piece(*(v.as_py() for v in x))
-                h, bucket, order = p.keys(buckets)
-                bucket = bucket[order]
+                low, bucket, order = p.keys(buckets)
+                low, bucket = low[order], bucket[order]
                 at = _starts(bucket)
                 cuts = np.append(at, len(bucket))
-                low = h[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append(pa.record_batch([pa.array(bucket[at].astype(np.int32)), pa.array([piece.as_py()] * len(at), pa.int64()), _blobs(low, cuts), *(_blobs(v[order].astype(np.uint32), cuts) for v in (p.all, p.good))], names=["key", "piece", "code", "all", "target"]))
+                step = np.diff(low, prepend=np.uint64(0))  # they ascend within a bucket
+                step[at] = low[at]
+                out.append(pa.record_batch([pa.array(bucket[at].astype(np.int32)), pa.array([piece.as_py()] * len(at), pa.int64()), _planes(step, cuts, _CODE), *(_planes(v[order], cuts, _COUNT) for v in (p.all, p.good))], names=["key", "piece", "code", "all", "target"]))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(r.num_rows for r in out) else None
 
         return send
@@ -244,18 +267,17 @@ def _sent(pieces: DataFrame, buckets: int) -> DataFrame:
 def _added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Reduces a bucket: to each piece the totals of those of its words and bigrams that are in others too, and which these are, as bits in the order in
     which it sent them."""
-    n, good = (_join(t.column(c), np.uint32) for c in ("all", "target"))
-    size = np.array([len(x.as_buffer()) // 4 for x in t.column("all")], np.int64)
-    code = np.zeros((len(n), 8), np.uint8)
-    code[:, :5] = _join(t.column("code"), np.uint8).reshape(-1, 5)
-    of = np.unique(code.view(np.uint64).ravel(), return_inverse=True)[1]
+    n, good = (_all_values(t.column(c), _COUNT).astype(np.uint32) for c in ("all", "target"))
+    size = np.array([len(x.as_buffer()) // _COUNT for x in t.column("all")], np.int64)
+    of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_values(x, _CODE)) for x in t.column("code"))]), return_inverse=True)[1]
     total, in_target = np.bincount(of, n).astype(np.int64), np.bincount(of, good).astype(np.int64)
     many = total[of] > n
     off = np.concatenate([[0], np.cumsum(size)])
     bits = [np.packbits(many[i:j]).tobytes() for i, j in zip(off[:-1], off[1:], strict=True)]
     cuts = np.concatenate([[0], np.cumsum(many)])[off]
     of = of[many]
-    return pa.table({"piece": t.column("piece"), "key": pa.array([key[0].as_py()] * len(size), pa.int32()), "shared": pa.array(bits, pa.binary()), "all": _blobs(total[of], cuts), "target": _blobs(in_target[of], cuts)})
+    pa.default_memory_pool().release_unused()  # the worker lives on, beside others
+    return pa.table({"piece": t.column("piece"), "key": pa.array([key[0].as_py()] * len(size), pa.int32()), "shared": pa.array(bits, pa.binary()), "all": _planes(total[of], cuts, _TOTAL), "target": _planes(in_target[of], cuts, _TOTAL)})
 
 
 def _scorer(sums: Sums, buckets: int):
@@ -266,7 +288,7 @@ def _scorer(sums: Sums, buckets: int):
         totals = totals.sort_by("key")
         bits = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(size[k])) for k, x in zip(totals.column("key").to_pylist(), totals.column("shared"), strict=True)]
         at = order[np.flatnonzero(np.concatenate([np.zeros(0, np.uint8), *bits]))]
-        p.all[at], p.good[at] = _join(totals.column("all"), np.int64), _join(totals.column("target"), np.int64)
+        p.all[at], p.good[at] = (_all_values(totals.column(c), _TOTAL).astype(np.int64) for c in ("all", "target"))
         m = len(p.hash)
         of_context, of_bigram = p.own(p.token), p.own(p.of)
         next_word = (p.code & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -283,6 +305,7 @@ def _scorer(sums: Sums, buckets: int):
         t, a = (np.full(p.rows, np.nan) for _ in range(2))
         t[p.docs], a[p.docs] = out
         ids = piece.column("doc_ids").combine_chunks().values
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": ids, "n_tokens": pa.array(words), **{k: pa.array(np.round(x, 6), from_pandas=True) for k, x in (("ce_target", t), ("ce_background", a), ("score", t - a))}})
 
     return score
