@@ -469,6 +469,23 @@ def test_classes_of_documents(spark, monkeypatch, light, few):
     assert len(got) == len(texts) and {(x.doc_id, x.class_id, x.n_links) for x in got} == classes_of(texts, 2, 0.4)
 
 
+def test_no_pair_of_a_cluster_leaves_its_place(spark, monkeypatch):
+    for name, value in (("LIST", 100), ("VERIFIED", 2500)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(34)
+    texts = [edited(t, 0.1, r) for t in corpus(2, 34, 60, (60, 61)) for _ in range(200)]
+    made, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name="t": made.append(write(df, name)) or made[-1])
+    got = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 2, 0.4).collect()
+    assert {(x.doc_id, x.class_id, x.n_links) for x in got} == classes_of(texts, 2, 0.4)
+    assert sum(x.n_links for x in got) > 60 * len(texts) and all(t.count() < 20 * len(texts) for t in made)
+
+
+def test_sets_of_many_subsets_are_heavy(spark):
+    sets = spark.createDataFrame([(30, 450.0, 1e9), (300, 11325.0, 1e12)], "size bigint, subsets double, lists double")
+    assert jaccard.boundary(sets) == 30
+
+
 def test_pairs_that_share_a_single_n_gram(spark):
     docs = spark.createDataFrame(list(enumerate(["a b c d e", "a b c d e f", "b c d e f"])), "doc_id bigint, text string")
     assert {tuple(x) for x in jaccard.join(docs, light=1e9).collect()} == {(0, 1, 0.5), (1, 2, 0.5)}
