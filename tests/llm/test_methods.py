@@ -481,6 +481,16 @@ def test_no_pair_of_a_cluster_leaves_its_place(spark, monkeypatch):
     assert sum(x.n_links for x in got) > 60 * len(texts) and all(t.count() < 20 * len(texts) for t in made)
 
 
+def test_one_of_each_sends_no_pairs(spark, monkeypatch):
+    r = random.Random(35)
+    texts = [edited(t, 0.1, r) for t in corpus(2, 35, 60, (60, 61)) for _ in range(120)]
+    made, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name="t": made.append(write(df, name)) or made[-1])
+    got = jaccard.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 2, 0.4)
+    assert {x.doc_id for x in got.collect()} == {c for _, c, _ in classes_of(texts, 2, 0.4)}
+    assert all(t.count() < 20 * len(texts) for t in made)
+
+
 def test_sets_of_many_subsets_are_heavy(spark):
     sets = spark.createDataFrame([(30, 450.0, 1e9), (300, 11325.0, 1e12)], "size bigint, subsets double, lists double")
     assert jaccard.boundary(sets) == 30
