@@ -222,6 +222,20 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
 
 
+def test_every_hundredth_document_is_a_query(spark, tmp_path):
+    import duckdb
+
+    texts = corpus(500, 45, 60, (1, 120)) + ["", "one word", None]
+    texts[200] = texts[3]
+    spark.createDataFrame([*enumerate(texts), (None, "one")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.item_id, r["rank"], r.doc_id, r.score) for r in topk.query(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in got} == {i for i in range(0, len(texts), 100) if texts[i]} and len(got) == topk.K * len({r[0] for r in got})
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(db.execute(topk.ORACLE).fetchall())
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in want] and [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in want])
+
+
 def test_search_stops_early():
     r = np.random.default_rng(7)
     n, vocab = 4000, np.arange(1, 4, dtype=np.uint64)
