@@ -14,6 +14,9 @@ Two documents are linked if the Jaccard similarity of their sets of word n-grams
    is mostly found in one place. A list of more than LIST sets is cut into parts, and each two parts meet in a place of their own.
 4. Sets take all their shared n-grams along, and candidates are verified where they meet, some sets against some others at a time: from the candidates, or where there are
    many, as in a cluster of near copies, all with all by bits. A pair counts only in the place of the first n-gram that both have, so no pair leaves its place but those that are the result.
+5. Where only what is connected is asked for (forest), sets that stand in long lists are first compared with the least sets of their n-grams. A long list of sets that this connects
+   is left out; of one where all but LIST sets at most are connected, the connected ones go to one place each, and the others meet them in all. Parts of other long lists
+   meet as above. So a cluster of near copies is sent in proportion to its size.
 
 Sets are named by 64-bit fingerprints and n-grams by 48 bits and their bucket. Documents with equal sets are one set while pairs are searched, and copies are never
 expanded into pairs: classes gives each document its class (the least doc_id of all that links connect it with) and its number of links, copies and
@@ -46,6 +49,8 @@ AT_ONCE = 16 << 20
 BLOCK, LIST, VERIFIED = 1_000_000, 1024, 250_000
 #: N-grams of the sets on one side that are verified at once; sets that have more subsets are heavy.
 TOKENS, SUBSETS = 1_000_000, 2048
+#: Bytes that a set's places are sent in at once, and the least sets that a set in long lists is compared with.
+SENT_AT_ONCE, STARS = 4 << 20, 4
 #: An n-gram is hot if batches that hold it OFTEN times count it so many times, and more than a millionth of all n-grams; so there are a million hot ones at most.
 OFTEN, HOT, HOT_SHARE = 16, 50_000, 1e-6
 #: Documents whose ids are sent to all tasks; if there are more, they are joined.
@@ -59,7 +64,7 @@ _OFTEN = np.dtype([("gram", "<u8"), ("n", "<u4")])
 _SENT = 6
 _LOW = np.uint64((1 << 8 * _SENT) - 1)
 BLOBS = "kind int, key int, a binary, b binary"
-SETS = "id bigint, size bigint, p1 int, subsets double, lists double, tokens binary, homes binary, dfs binary"
+SETS = "id bigint, size bigint, p1 int, subsets double, lists double, own bigint, long int, tokens binary, homes binary, dfs binary"
 MET = "key int, id bigint, size bigint, copies bigint, heavy boolean, a binary, b binary, tokens binary, homes binary, dfs binary"
 
 
@@ -293,10 +298,12 @@ def _survivors(threshold: float):
         p1 = np.maximum(shared - need + 1, 0)
         done = np.concatenate([[0], np.cumsum(post["df"], dtype=np.int64)])
         lists = (done[at + p1] - done[at]).astype(float) if len(at) else np.zeros(0)
+        in_first = np.arange(len(name)) - np.repeat(at, shared) < np.repeat(p1, shared)
+        longs = np.bincount(np.repeat(np.arange(len(at)), shared)[in_first & (post["df"] > LIST)], minlength=len(at))
         take = np.repeat(ok, shared)
         cuts = np.concatenate([[0], np.cumsum(shared[ok])])
         of = {"tokens": "token", "homes": "home", "dfs": "df"}
-        plain = {"id": name[at].view(np.int64), "size": size, "p1": p1.astype(np.int32), "subsets": p1 * (p1 + 1) / 2.0, "lists": lists}
+        plain = {"id": name[at].view(np.int64), "size": size, "p1": p1.astype(np.int32), "subsets": p1 * (p1 + 1) / 2.0, "lists": lists, "own": (mix(name[at]) >> np.uint64(32)).astype(np.int64), "long": longs.astype(np.int32)}
         return pa.table({k: pa.array(v[ok]) for k, v in plain.items()} | {k: _blobs(post[v][take], cuts) for k, v in of.items()})
 
     return reduce
@@ -328,47 +335,141 @@ def _place(home: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, bucket
     return np.where(n > 1, apart.astype(np.int64), home.astype(np.int64) % buckets), two
 
 
-def _placed(value: np.ndarray, home: np.ndarray, df: np.ndarray, name: int, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _placed(value: np.ndarray, home: np.ndarray, df: np.ndarray, name: int, buckets: int, most: int, fate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the lists that a set stands in and their buckets. A long list is cut into parts: the set is in one of them, and meets each part of the list in a
-    place of its own."""
+    place of its own; unless its fate is another (_fates)."""
     n = _parts(df, most)
     long = n > 1
     at = home.astype(np.int64) % buckets
     if not long.any():
         return value, at
-    v, home, n = value[long], home[long], n[long]
-    mine = np.repeat(_part(home, n, np.uint64(name & 0xFFFFFFFFFFFFFFFF)), n)
-    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    to, two = _place(np.repeat(home, n), np.repeat(n, n), mine, other, buckets)
-    return np.concatenate([value[~long], mix(np.repeat(v, n) + mix(two + np.uint64(1)))]), np.concatenate([at[~long], to])
-
-
-def _keys(sets: DataFrame, light: float, buckets: int) -> DataFrame:
-    """A row for each set and bucket of lists: keys of subsets (a), n-grams (b); all n-grams of the set, and of the first ones home and number of parts."""
-
-    def make():
-        def post(b: pa.RecordBatch) -> pa.RecordBatch:
-            out: dict[str, list] = {c.split()[0]: [] for c in MET.split(", ")}
-            for name, size, copies, p1, tokens, homes, dfs in zip(*(b.column(c) for c in ("id", "size", "copies", "p1", "tokens", "homes", "dfs")), strict=True):
+    short, fate = ~long, np.full(len(n), APART) if fate is None else fate
+    keys, places = [value[short]], [at[short]]
+    for what in (APART, MAIN, OTHER):
+        some = long & (fate == what)
+        if not some.any():
+            continue
+        v, h, m = value[some], home[some], n[some]
+        mine = _part(h, m, np.uint64(name & 0xFFFFFFFFFFFFFFFF))
+        if what == MAIN:
+            to, two = _place(h, m, mine, mine, buckets)
+        else:
+            other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            v, h, mine, m = np.repeat(v, m), np.repeat(h, m), np.repeat(mine, m), np.repeat(m, m)
+            to, two = _place(h, m, mine if what == APART else other, other, buckets)
+        keys.append(mix(v + mix(two + np.uint64(1))))
+        places.append(to)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+#: What becomes of a set in a long list: it meets each part; it's of the connected ones; it meets all those; the list is left out.
+APART, MAIN, OTHER, GONE = 0, 1, 2, 3
+
+
+def _fates(tok: np.ndarray, of: int, plan: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set's n-grams, where the set is connected with of; plan: n-grams of long lists, in order, what most of their sets are connected with, how many others there are."""
+    known, main, others = plan
+    if not len(known):
+        return np.full(len(tok), APART)
+    at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
+    return np.where(known[at] != tok, APART, np.where(others[at] == 0, GONE, np.where(main[at] == of, MAIN, OTHER)))
+
+
+def _keys(sets: DataFrame, light: float, buckets: int, plan: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """A row for each set and bucket of lists: keys of subsets (a), n-grams (b); all n-grams of the set, and of the first ones home and number of parts. sets has
+    star, what a set is connected with. A set may go to many places, so rows are given away a few megabytes at a time."""
+    ship(sets.sparkSession)
+    sent = sets.sparkSession.sparkContext.broadcast(plan) if plan else None
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5)
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(v), kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for name, size, copies, p1, star, tokens, homes, dfs in zip(*(b.column(c) for c in ("id", "size", "copies", "p1", "star", "tokens", "homes", "dfs")), strict=True):
                 tok, home, df = np.frombuffer(tokens.as_buffer(), np.uint64), np.frombuffer(homes.as_buffer(), np.uint32), np.frombuffer(dfs.as_buffer(), np.uint32)
                 name, p, heavy = name.as_py(), p1.as_py(), size.as_py() > light
+                fate = _fates(tok, star.as_py(), sent.value) if sent else np.full(len(tok), APART)
                 subs, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if not heavy:
                     i, j = np.triu_indices(min(p + 1, len(tok)), 1)
-                    subs, where, many = mix(tok[i] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[j])), home[i], df[i]
+                    subs, where, many, then = mix(tok[i] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[j])), home[i], df[i], fate[i]
                     if p == len(tok):  # need = 1: a partner may share a single n-gram, and then has need = 1 too
-                        subs, where, many = np.concatenate([subs, mix(tok)]), np.concatenate([where, home]), np.concatenate([many, df])
-                    subs, at = _placed(subs, where, many, name, buckets, LIST)
-                keys, to = _placed(tok[:p], home[:p], df[:p], name, buckets, LIST)
-                first = home[:p].tobytes(), df[:p].tobytes()
+                        subs, where, many, then = np.concatenate([subs, mix(tok)]), np.concatenate([where, home]), np.concatenate([many, df]), np.concatenate([then, fate])
+                    subs, at = _placed(subs, where, many, name, buckets, LIST, then)
+                keys, to = _placed(tok[:p], home[:p], df[:p], name, buckets, LIST, fate[:p])
+                rest = memoryview(tokens.as_buffer()), home[:p].tobytes(), df[:p].tobytes()
                 for h in np.unique(np.concatenate([at, to])).tolist():
-                    for c, v in zip(out, (h, name, size.as_py(), copies.as_py(), heavy, subs[at == h].tobytes(), keys[to == h].tobytes(), tokens.as_buffer(), *first), strict=True):
-                        out[c].append(v)
-            return pa.record_batch([pa.array([x if isinstance(x, bytes) else memoryview(x) for x in v] if c in ("a", "b", "tokens", "homes", "dfs") else v, kind) for (c, v), kind in zip(out.items(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5), strict=True)], names=list(out))
+                    rows.append((h, name, size.as_py(), copies.as_py(), heavy, subs[at == h].tobytes(), keys[to == h].tobytes(), *rest))
+                    held += sum(map(len, rows[-1][5:]))
+                    if held >= SENT_AT_ONCE:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+                rows, held = [], 0
+            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
+
+    return sets.select("id", "size", "copies", "p1", "star", "tokens", "homes", "dfs").mapInArrow(post, MET)
+
+
+def _stars(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """Similar pairs of sets in long lists and the least sets of their n-grams (a, b, jaccard, links), what these connect (id, least), and a plan of the long lists
+    of which LIST sets at most aren't connected with the others."""
+    within = sets.where("long > 0")
+    if not within.count():
+        return None
+
+    def members():
+        def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+            who, to = [], []
+            for k, homes in enumerate(b.column("homes")):
+                h, n = np.unique(np.frombuffer(homes.as_buffer(), np.uint32), return_counts=True)
+                h = h[np.argsort(-n, kind="stable")[:STARS]]
+                who += [k] * len(h)
+                to.append(h.astype(np.int64))
+            return pa.record_batch([pa.array(np.concatenate(to)), *(b.column(c).take(pa.array(who)) for c in ("id", "size", "tokens"))], names=["own", "id", "size", "tokens"])
 
-        return post
+        return rows
+
+    def similar():
+        def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = b.column("size").to_numpy(), b.column("size_b").to_numpy()
+            both = np.array([len(np.intersect1d(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), assume_unique=True)) for s, t in zip(b.column("tokens"), b.column("tokens_b"), strict=True)])
+            sim = both / (x + y - both)
+            ok = pa.array((both > 0) & (sim >= threshold - 1e-12))
+            return pa.record_batch([b.column("id"), b.column("b"), pa.array(sim), pa.nulls(len(sim), pa.int64())], names=["a", "b", "jaccard", "links"]).filter(ok)
+
+        return rows
+
+    def tally():
+        def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = [np.zeros((0, 2), np.int64)]
+            for star, p1, tokens, dfs in zip(*(b.column(c) for c in ("star", "p1", "tokens", "dfs")), strict=True):
+                p = p1.as_py()
+                tok = np.frombuffer(tokens.as_buffer(), np.int64)[:p][np.frombuffer(dfs.as_buffer(), np.uint32)[:p] > LIST]
+                out.append(np.stack([tok, np.full(len(tok), star.as_py(), np.int64)], axis=1))
+            two, n = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            return pa.record_batch([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(n.astype(np.int64))], names=["token", "star", "n"])
+
+        return rows
 
-    return arrow_map(sets.select("id", "size", "copies", "p1", "tokens", "homes", "dfs"), make, MET, 1 << 20, "tokens")
+    sent = written(arrow_map(within.select("id", "size", "tokens", "homes"), members, "own bigint, id bigint, size bigint, tokens binary", 1 << 20, "tokens"), "jaccard-members")
+    wanted = written(sent.select("own").distinct(), "jaccard-wanted")
+    few = wanted.count() <= IDS_AT_ONCE
+    least = sets.select("own", "id", "size", "tokens").join(F.broadcast(wanted) if few else wanted, "own", "left_semi").toDF("own", "b", "size_b", "tokens_b")
+    pairs = written(arrow_map(sent.join(least, "own").where("id <> b").drop("own"), similar, "a bigint, b bigint, jaccard double, links bigint", 1 << 20, "tokens"), "jaccard-stars")
+    stars = components(pairs.select(F.col("a").alias("left_id"), F.col("b").alias("right_id")))
+    of = within.join(stars, "id", "left").select(F.coalesce("least", "id").alias("star"), "p1", "tokens", "dfs")
+    n = arrow_map(of, tally, "token bigint, star bigint, n bigint", 1 << 20, "tokens").groupBy("token", "star").agg(F.sum("n").alias("n"))
+    main = n.groupBy("token").agg(F.max(F.struct("n", "star")).alias("m"), F.sum("n").alias("all")).select("token", F.col("m.star").alias("star"), (F.col("all") - F.col("m.n")).alias("others"))
+    got = main.where(F.col("others") <= LIST).toPandas()  # of every thousand n-grams of sets one at most is that of a long list
+    token = got["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return pairs, stars, (token[order], got["star"].to_numpy(np.int64)[order], got["others"].to_numpy(np.int64)[order])
 
 
 def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -422,7 +523,7 @@ def _tiles(count: np.ndarray, most: int) -> list[tuple[int, int]]:
 class _Met:
     """The sets that meet in a place, by size."""
 
-    def __init__(self, t: pa.Table, threshold: float, here: int, buckets: int, longest: int, most: int):
+    def __init__(self, t: pa.Table, threshold: float, here: int, buckets: int, longest: int, most: int, again: bool = False):
         t = t.take(pa.array(np.argsort(t.column("size").to_numpy(), kind="stable")))
         self.name, self.size, self.copies, self.heavy = (t.column(c).to_numpy() for c in ("id", "size", "copies", "heavy"))
         self.unsigned = self.name.astype(np.int64).view(np.uint64)
@@ -430,7 +531,7 @@ class _Met:
         self.home, self.first = _flat(t.column("homes"), np.uint32)
         self.df, _ = _flat(t.column("dfs"), np.uint32)
         self.count = np.diff(self.off)
-        self.threshold, self.here, self.buckets, self.longest, self.most = threshold, here, buckets, longest, most
+        self.threshold, self.here, self.buckets, self.longest, self.most, self.again = threshold, here, buckets, longest, most, again
         self.lists = [_Lists(t.column("a")), _Lists(t.column("b"))]
         self.dense = 0
 
@@ -463,7 +564,8 @@ class _Met:
 
     def counts_here(self, a: np.ndarray, b: np.ndarray, home: np.ndarray, df: np.ndarray) -> np.ndarray:
         n = _parts(df, self.longest)
-        return _place(home, n, _part(home, n, self.unsigned[a]), _part(home, n, self.unsigned[b]), self.buckets)[0] == self.here
+        here = _place(home, n, _part(home, n, self.unsigned[a]), _part(home, n, self.unsigned[b]), self.buckets)[0] == self.here
+        return here | (n > 1) if self.again else here  # pairs of long lists may meet in several places
 
     def by_search(self, met: list, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m, found = len(self.name), np.zeros(0, np.int64)
@@ -540,7 +642,7 @@ def _matched(threshold: float, mode: str, buckets: int):
     documents its partners have (links, with b null: 'classes')."""
 
     def reduce(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        met = _Met(t, threshold, key[0].as_py(), buckets, LIST, VERIFIED)
+        met = _Met(t, threshold, key[0].as_py(), buckets, LIST, VERIFIED, mode == "forest")
         name, links, root = met.name, np.zeros(len(met.name), np.int64), np.arange(len(met.name))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for a, b, sim in met.pairs():
@@ -608,8 +710,13 @@ def _found(docs: DataFrame, n: int, threshold: float, mode: str, light: float |
     shared = _postings(docs, n, parts, _hot(first)).groupBy("key").applyInArrow(_shared(parts), BLOBS)
     sets = written(shared.groupBy("key").applyInArrow(_survivors(threshold), SETS), "jaccard-sets")
     light = boundary(sets) if light is None else light
-    met = _keys(sets.join(stats.select(F.col("name").alias("id"), "copies"), "id"), light, parts * 4)
-    return met.groupBy("key").applyInArrow(_matched(threshold, mode, parts * 4), "a bigint, b bigint, jaccard double, links bigint"), of, stats
+    kinds = "a bigint, b bigint, jaccard double, links bigint"
+    if mode == "forest" and (linked := _stars(sets, threshold)):
+        pairs, stars, plan = linked
+        met = _keys(sets.join(stars, "id", "left").withColumns({"copies": F.lit(1).cast("bigint"), "star": F.coalesce("least", "id")}), light, parts * 4, plan)
+        return met.groupBy("key").applyInArrow(_matched(threshold, mode, parts * 4), kinds).unionByName(pairs), of, stats
+    met = _keys(sets.join(stats.select(F.col("name").alias("id"), "copies"), "id").withColumn("star", F.col("id")), light, parts * 4)
+    return met.groupBy("key").applyInArrow(_matched(threshold, mode, parts * 4), kinds), of, stats
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, light: float | None = None) -> DataFrame:

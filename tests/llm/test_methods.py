@@ -505,6 +505,30 @@ def test_one_of_each_sends_no_pairs(spark, monkeypatch):
     assert all(t.count() < 20 * len(texts) for t in made)
 
 
+def test_clusters_of_one_of_each_are_sent_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 32)
+    r = random.Random(36)
+    base = corpus(2, 36, 60, (60, 61))
+    texts = [edited(t, 0.05, r) for t in base for _ in range(300)] + [edited(t, 0.3, r) for t in base for _ in range(20)] + corpus(40, 37, 60, (60, 61))
+    r.shuffle(texts)
+    sent, keys = [], jaccard._keys
+    monkeypatch.setattr(jaccard, "_keys", lambda *a: sent.append(jaccard.written(keys(*a))) or sent[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x.doc_id for x in jaccard.one_of_each(docs, 2, 0.4).collect()} == {c for _, c, _ in classes_of(texts, 2, 0.4)}
+    assert sent[0].count() < 8 * len(texts)  # 13.8 times where each part meets each other
+
+
+def test_a_set_of_many_places_is_sent_in_parts(spark):
+    class Sets:  # gives the function that the workers run
+        sparkSession, select, mapInArrow = spark, lambda self, *_: self, lambda self, f, _: f  # noqa: N815
+
+    tokens = np.arange(1, 2001, dtype=np.uint64)
+    of = {"id": 1, "size": 2000, "copies": 1, "p1": 1000, "star": 1, "tokens": tokens.tobytes(), "homes": (tokens % 500).astype(np.uint32).tobytes(), "dfs": np.full(2000, 2, np.uint32).tobytes()}
+    run = jaccard._keys(Sets(), 0.0, 1000)
+    got = list(run(iter([pa.record_batch({k: pa.array([v]) for k, v in of.items()})])))
+    assert sum(b.num_rows for b in got) == 500 and max(b.nbytes for b in got) < 5 << 20
+
+
 def test_sets_of_many_subsets_are_heavy(spark):
     sets = spark.createDataFrame([(30, 450.0, 1e9), (300, 11325.0, 1e12)], "size bigint, subsets double, lists double")
     assert jaccard.boundary(sets) == 30
