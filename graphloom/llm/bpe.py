@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.text import BATCH, CHUNK, arrow_map, buffers, mix, picked, places, slices, table, texts_of
+from graphloom.llm.text import BATCH, CHUNK, arrow_map, buffers, kept, mix, picked, places, slices, table, texts_of
 
 #: A vocabulary of ranks: base64 bytes and the id on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -378,15 +378,9 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - done + size, size) + np.arange(done[-1] if len(done) else 0)]
 
 
-_BATCHES: dict[str, Batches] = {}
-
-
 def worker(key: str, ranks: dict[bytes, int]) -> Batches:
-    """This worker's encoder of a vocabulary, kept from task to task."""
-    if key not in _BATCHES:
-        _BATCHES.clear()
-        _BATCHES[key] = Batches(ranks)
-    return _BATCHES[key]
+    """This worker's encoder of a vocabulary, kept from task to task of these functions."""
+    return kept(key, lambda: Batches(ranks))
 
 
 def named(ranks: dict[bytes, int]) -> str:
@@ -413,7 +407,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return encode
 
-    return arrow_map(docs, make, SCHEMA, BATCH)
+    return arrow_map(docs, make, SCHEMA, BATCH, keep=key)
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -439,7 +433,7 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         return texts
 
-    return arrow_map(picked(ids, doc_id="bigint", token_ids="array<bigint>"), make, "doc_id bigint, text string")
+    return arrow_map(picked(ids, doc_id="bigint", token_ids="array<bigint>"), make, "doc_id bigint, text string", keep=key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

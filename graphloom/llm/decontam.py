@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Words, arrow_filter, arrow_map, buffers, lower, mix, per_document, picked, pieces, table, texts_of
+from graphloom.llm.text import Words, arrow_filter, arrow_map, begin, buffers, give_back, lower, mix, per_document, picked, pieces, table, texts_of
 from graphloom.session import ship
 
 #: Words of a passage of the SVD; of a window, and between windows.
@@ -140,14 +140,18 @@ def sketch(texts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rank, block = RANK + OVERSAMPLE, 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         known, w = sent.value, test_matrix()
         y, n = np.zeros((WIDTH, rank + 1)), 0
-        for b in (x for whole in batches for x in pieces(whole, AT_ONCE)):
-            for _, _, data, off in per_document(b.column("text"), 1 << 20):
-                for t in passages(Words(data, off), known):
-                    y[:, :rank] += t.T @ (t @ w)
-                    y[:, rank] += t.sum(axis=0)
-                    n += len(t)
+        for whole in batches:
+            for b in pieces(whole, AT_ONCE):
+                for _, _, data, off in per_document(b.column("text")):
+                    for t in passages(Words(data, off), known):
+                        y[:, :rank] += t.T @ (t @ w)
+                        y[:, rank] += t.sum(axis=0)
+                        n += len(t)
+            whole = b = data = off = t = None
+            give_back()
         if n:
             out = y.astype(np.float32)
             sums = [out[i : i + block].tobytes() for i in range(0, WIDTH, block)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Words, arrow_map, mix, per_document, shingles, table, texts_of
+from graphloom.llm.text import Words, arrow_map, begin, give_back, mix, per_document, shingles, table, texts_of
 from graphloom.session import ship, written
 
 #: Words of an n-gram, and the least similarity.
@@ -387,6 +387,7 @@ def _keys(sets: DataFrame, light: float, buckets: int, plan: tuple[np.ndarray, n
         return pa.record_batch([pa.array(list(v), kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         rows, held = [], 0
         for b in batches:
             for name, size, copies, p1, star, tokens, homes, dfs in zip(*(b.column(c) for c in ("id", "size", "copies", "p1", "star", "tokens", "homes", "dfs")), strict=True):
@@ -411,7 +412,7 @@ def _keys(sets: DataFrame, light: float, buckets: int, plan: tuple[np.ndarray, n
             if rows:
                 yield made(rows)
                 rows, held = [], 0
-            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
+            give_back()
 
     return sets.select("id", "size", "copies", "p1", "star", "tokens", "homes", "dfs").mapInArrow(post, MET)
 

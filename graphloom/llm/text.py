@@ -7,6 +7,7 @@ cost is a fixed number of vector operations a byte.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,17 +156,54 @@ def pieces(b: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.Reco
         yield b.slice(i, j - i)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None, text: str = "text") -> DataFrame:
-    """df through a function of record batches, of at most that many bytes of the column text if told so; make() is called once a task."""
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not the GNU C library
+    _trim = None
+
+
+#: What this worker keeps from task to task; a task that doesn't ask for it drops it.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def begin(key: str | None = None) -> None:
+    """Drop what tasks of other functions left in this worker."""
+    for k in _KEPT.keys() - {key}:
+        del _KEPT[k]
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory to the system, not to the next task: the worker lives on, beside others and the JVM, and the C library would keep what
+    arrays below its own threshold took, which grows with use."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None, text: str = "text", keep: str | None = None) -> DataFrame:
+    """df through a function of record batches, of at most that many bytes of the column text if told so; make() is called once a task. keep: key of what the
+    worker keeps for the next one."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(keep)
         f = make()
         for whole in batches:
             for b in [whole] if most is None else pieces(whole, most, text):
                 if b.num_rows and (out := f(b)) is not None:
                     yield out
-            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
+            whole = b = out = None
+            give_back()
+        f = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

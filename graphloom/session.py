@@ -15,6 +15,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that Spark sends to Python, to the end of a row, unless the session says otherwise. Spark's own bound is 10,000 rows of whatever size, which
+#: the JVM holds outside of its heap and the worker beside its work. Less than the 8 MB that are worked on at once, or the last row would often be a piece of its own.
+BATCH_BYTES, _BATCH_CONF = 7 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _SHIPPED: set[str] = set()
 #: Tables of each application that no scope holds, and those of the scope that is open here.
 _TABLES: dict[str, list[str]] = {}
@@ -34,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the Python workers' path, once for each context."""
+    """Put this package on the Python workers' path, once for each context, and bound the batches that they get."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
