@@ -236,6 +236,34 @@ def test_every_hundredth_document_is_a_query(spark, tmp_path):
     assert [r[:3] for r in sorted(got)] == [r[:3] for r in want] and [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in want])
 
 
+def test_long_queries_are_searched_together(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 6000)
+    texts = corpus(300, 8, length=(1, 120))
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stats = topk.statistics(docs)
+    q = topk.queries_of([(i, t) for i, t in enumerate(texts) if len(set(words(t))) >= topk.WHOLE])
+    kinds = {"words": np.uint64, "counts": np.uint32, "docs": np.uint32, "impacts": np.uint8, "tfs": np.uint32, "ids": np.int64, "lengths": np.uint32}
+    index = topk.written(topk.build(docs.coalesce(1), stats), "index")
+    shards = [topk.Shard({c: np.frombuffer(r[c], kind) for c, kind in kinds.items()}, q.vocab, stats.mean_length) for r in index.collect()]
+    idf = np.linspace(0.01, 9, len(q.vocab))
+    weights = [idf[w] * n for w, n in zip(q.words, q.times, strict=True)]
+    assert len(shards) > 2 and len(q.ids) > 50
+    want = topk.Best(len(q.ids), 7)
+    for s in shards:
+        for i, w in enumerate(q.words):
+            want.add(i, *s.whole(w[s.size[w] > 0], weights[i][s.size[w] > 0], 7))
+    for how in ((600, 8 << 20, 1 << 19, 1 << 20), (10**9, 8 << 20, 1, 1), (0, 1, 5000, 100), (600, 5000, 500, 1 << 20)):
+        for name, x in zip(("PRODUCTS", "CELLS", "SCORES", "POSTINGS"), how, strict=True):
+            monkeypatch.setattr(topk, name, x)
+        got = topk.Best(len(q.ids), 7)
+        for s in shards:
+            s.together(q.words, weights, got, np.arange(len(q.ids)), 7)
+        assert all(np.array_equal(a, b) for a, b in zip(want.ids + want.scores, got.ids + got.scores, strict=True))
+    sent = spark.sparkContext.broadcast((q, idf, stats.mean_length))
+    assert topk._searched(index.coalesce(1), sent, 7).count() == 7 * len(q.ids)  # of a task, not of each of its shards
+
+
 def test_search_stops_early():
     r = np.random.default_rng(7)
     n, vocab = 4000, np.arange(1, 4, dtype=np.uint64)
