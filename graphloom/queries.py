@@ -30,11 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task makes triples of, while there are fewer than so many tasks: a file of a few megabytes holds millions of rows, and their triples take a hundred times its bytes.
+ROWS, TASKS = 100_000, 200
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in parts of about ROWS rows, if it has more. Few partitions, so that the one task that reads a file sorts nothing to part it."""
+    n = min(-(-df.count() // ROWS), TASKS)
+    return df.repartition(n, *df.columns) if n > 1 else df
+
+
 def triples(df: DataFrame, keys: dict[str, Column], rows: list[tuple]) -> DataFrame:
     """rows: (order, s, p, o, o_kind, o_dt) as columns for each row of df; those without an o are left out."""
     c = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
     each = F.array(*(F.struct(o.cast("bigint").alias("triple_ord"), c(s).alias("s"), F.lit("iri").alias("s_kind"), c(p).alias("p"), c(v).alias("o"), F.lit(k).alias("o_kind"), c(dt).alias("o_dt"), c(None).alias("o_lang")) for o, s, p, v, k, dt in rows))
-    return df.select(*(v.alias(k) for k, v in keys.items()), F.explode(each).alias("t")).select(*keys, "t.*").where("o is not null")
+    return spread(df).select(*(v.alias(k) for k, v in keys.items()), F.explode(each).alias("t")).select(*keys, "t.*").where("o is not null")
 
 
 def keys_of(doc: Column, chunk: Column, hid: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from graphloom import queries as core
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +46,14 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_views_make_triples_of_a_bounded_number_of_rows_a_task(spark, tmp_path, monkeypatch):
+    part = core.table(spark, "/root/testdata/sf0.001", "part")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    whole = {tuple(r) for r in core.graph_union(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(core, "ROWS", 20)
+    t = core.t_part(spark, str(tmp_path))
+    assert t.count() == 3 * part.count() > 6 * core.ROWS
+    assert t.groupBy(core.F.spark_partition_id()).count().agg({"count": "max"}).first()[0] <= 2 * 3 * core.ROWS
+    assert {tuple(r) for r in core.graph_union(spark, str(tmp_path)).collect()} == whole
