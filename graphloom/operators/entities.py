@@ -18,6 +18,12 @@ from graphloom.session import written
 SIMILAR, STRICT = 85.0, 90.0
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of a join that isn't broadcast. Spark would go by the bytes of files, where names and numbers take a tenth of what their rows do, and put many
+    such tables together in the driver's memory; they grow with the entities."""
+    return df.hint("merge")
+
+
 def entity_labels(triples: DataFrame) -> DataFrame:
     """A row for each entity of each chunk: local name, label, comment, and first, its place in the chunk."""
     named = triples.where("s_kind = 'iri' and o_kind = 'literal'").where(F.col("p").isin(LABEL, COMMENT))
@@ -25,7 +31,7 @@ def entity_labels(triples: DataFrame) -> DataFrame:
     of = named.groupBy("doc", "chunk_ord", F.col("s").alias("e")).agg(last(LABEL).alias("label"), last(COMMENT).alias("comment"), F.min("triple_ord").alias("named_at"))
     seen = triples.select("doc", "chunk_ord", "triple_ord", F.explode(F.array(F.struct(F.col("s").alias("e"), F.col("s_kind").alias("kind"), F.lit(0).alias("pos")), F.struct(F.col("o").alias("e"), F.col("o_kind").alias("kind"), F.lit(1).alias("pos")))).alias("x"))
     seen = seen.where("x.kind = 'iri'").groupBy("doc", "chunk_ord", F.col("x.e").alias("e")).agg(F.min(F.struct("triple_ord", F.col("x.pos").alias("pos"))).alias("at"))
-    out = seen.join(of, ["doc", "chunk_ord", "e"], "left")
+    out = seen.join(apart(of), ["doc", "chunk_ord", "e"], "left")
     first = F.struct(F.when(F.col("named_at").isNull(), F.lit(1)).otherwise(0).alias("pass"), F.coalesce("named_at", "at.triple_ord").alias("at"), F.when(F.col("named_at").isNull(), F.col("at.pos")).otherwise(0).alias("pos"))
     return out.select("doc", "chunk_ord", "e", ids.local_name("e").alias("local_name"), "label", "comment", first.alias("first"))
 
@@ -40,7 +46,7 @@ def entity_meta(triples: DataFrame) -> DataFrame:
     """A row for each entity of each document: the last chunk's record, the place of the first, the types."""
     of = entity_labels(triples).groupBy("doc", "e").agg(F.max_by(F.struct("local_name", "label", "comment"), "chunk_ord").alias("m"), F.min(F.struct("chunk_ord", "first.pass", "first.at", "first.pos", "e")).alias("ord"))
     none = F.array().cast("array<string>")
-    return of.join(entity_types(triples), ["doc", "e"], "left").select("doc", "e", "m.*", "ord", F.coalesce("types", none).alias("types"))
+    return of.join(apart(entity_types(triples)), ["doc", "e"], "left").select("doc", "e", "m.*", "ord", F.coalesce("types", none).alias("types"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def similar_labels(rows: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     longest = F.floor(F.length("l") * (200 - threshold) / threshold + 1e-6)
     a = labels.select("doc", F.col("l").alias("x"), F.explode(F.sequence(F.length("l").cast("long"), longest)).alias("n"))
     b = labels.select("doc", F.col("l").alias("y"), F.length("l").cast("long").alias("n"))
-    pairs = a.join(b, ["doc", "n"]).where((F.length("x") < F.length("y")) | (F.col("x") <= F.col("y"))).where(lengths_allow(F.col("x"), F.col("y"), threshold))
+    pairs = a.join(apart(b), ["doc", "n"]).where((F.length("x") < F.length("y")) | (F.col("x") <= F.col("y"))).where(lengths_allow(F.col("x"), F.col("y"), threshold))
     return pairs.select("doc", F.least("x", "y").alias("l1"), F.greatest("x", "y").alias("l2"), ratio_of(F.col("x"), F.col("y")).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
@@ -67,7 +73,7 @@ def _candidates(rows: DataFrame, cols: list[str], threshold: float) -> DataFrame
     """Pairs i1 < i2 that share a lower-cased local name, or whose labels are similar (ratio)."""
     rows = rows.withColumn("name", F.lower("local_name")).withColumn("l", F.lower("label"))
     a, b = _sides(rows, "i", "name", "l", *cols)
-    same = a.join(b, (a.doc == b.doc) & (a.name1 == b.name2) & (a.i1 < b.i2)).drop(b.doc).withColumn("ratio", F.lit(None).cast("double"))
+    same = a.join(apart(b), (a.doc == b.doc) & (a.name1 == b.name2) & (a.i1 < b.i2)).drop(b.doc).withColumn("ratio", F.lit(None).cast("double"))
     near = _near(a, b, _both_ways(similar_labels(rows, threshold)), [])
     return same.unionByName(near.select(same.columns)).where("ratio is null or name1 <> name2")
 
@@ -78,9 +84,9 @@ def _both_ways(labels: DataFrame) -> DataFrame:
 
 def _near(a: DataFrame, b: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
     """Pairs i1 < i2 with similar labels, and equal in what else is given."""
-    near = a.join(labels.withColumnRenamed("l1", "x1"), (a.doc == labels.doc) & (F.col("l1") == F.col("x1"))).drop(labels.doc)
+    near = a.join(apart(labels.withColumnRenamed("l1", "x1")), (a.doc == labels.doc) & (F.col("l1") == F.col("x1"))).drop(labels.doc)
     other = b.withColumnsRenamed({"doc": "d2", **{c: f"{c}_2" for c in on}})
-    return near.withColumnRenamed("l2", "x2").join(other, [F.col("doc") == F.col("d2"), F.col("l2") == F.col("x2"), F.col("i1") < F.col("i2"), *(F.col(c) == F.col(f"{c}_2") for c in on)]).drop("d2", "x1", "x2", *(f"{c}_2" for c in on))
+    return near.withColumnRenamed("l2", "x2").join(apart(other), [F.col("doc") == F.col("d2"), F.col("l2") == F.col("x2"), F.col("i1") < F.col("i2"), *(F.col(c) == F.col(f"{c}_2") for c in on)]).drop("d2", "x1", "x2", *(f"{c}_2" for c in on))
 
 
 def entity_edges(meta: DataFrame, similar: float = SIMILAR, strict: float = STRICT) -> DataFrame:
@@ -95,7 +101,7 @@ def entity_edges(meta: DataFrame, similar: float = SIMILAR, strict: float = STRI
     for left, right, on, least in ((typed.where("t <> ''"), typed.where("t <> ''"), ["t"], strict), (bare, rows.drop("t"), [], similar), (rows.drop("t"), bare, [], similar)):
         a = left.select("doc", *on, *(F.col(c).alias(f"{c}1") for c in ("i", "name", "l")))
         b = right.select("doc", *on, *(F.col(c).alias(f"{c}2") for c in ("i", "name", "l")))
-        same = a.withColumn("name", F.col("name1")).join(b.withColumn("name", F.col("name2")), ["doc", "name", *on]).where("i1 < i2")
+        same = a.withColumn("name", F.col("name1")).join(apart(b.withColumn("name", F.col("name2"))), ["doc", "name", *on]).where("i1 < i2")
         found += [same.select("doc", "i1", "i2"), _near(a, b, labels.where(F.col("ratio") >= least), on).select("doc", "i1", "i2")]
     out = found[0]
     for x in found[1:]:
@@ -111,16 +117,16 @@ def entity_classes(meta: DataFrame) -> DataFrame:
     rows = rows.withColumn("shared", name).withColumn("own", F.when(F.col("shared").isNull() & F.col("l").isNull(), F.col("i")))
     first = rows.groupBy("doc", "shared", "l", "t", "own").agg(F.min("i").alias("rep"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("shared", "l", "own")]
-    return rows.alias("a").join(first.alias("b"), [F.col("a.doc") == F.col("b.doc"), F.col("a.t") == F.col("b.t"), *same]).select("a.doc", "i", "rep")
+    return rows.alias("a").join(apart(first.alias("b")), [F.col("a.doc") == F.col("b.doc"), F.col("a.t") == F.col("b.t"), *same]).select("a.doc", "i", "rep")
 
 
 def entity_clusters(meta: DataFrame, similar: float = SIMILAR, strict: float = STRICT) -> DataFrame:
     """leaders() of the edges of all entities, found by those of one entity of each class: copies make no pairs."""
     of = written(entity_classes(meta), "entity-classes")
-    reps = meta.join(of.where("i = rep").select("doc", "i"), ["doc", "i"], "left_semi")
+    reps = meta.join(apart(of.where("i = rep").select("doc", "i")), ["doc", "i"], "left_semi")
     led = leaders(entity_edges(reps, similar, strict)).withColumnsRenamed({"i": "rep"})
     many = of.groupBy("doc", "rep").agg(F.count("*").alias("n"))
-    out = of.join(many, ["doc", "rep"]).join(led, ["doc", "rep"], "left").where("leader is not null or n > 1")
+    out = of.join(apart(many), ["doc", "rep"]).join(apart(led), ["doc", "rep"], "left").where("leader is not null or n > 1")
     return out.select("doc", "i", F.coalesce("leader", "rep").alias("leader"))
 
 
@@ -130,7 +136,7 @@ def predicate_info(triples: DataFrame) -> DataFrame:
     m = triples.select("doc", "chunk_ord", F.col("s").alias("pred"), "p", "o", "o_kind", "triple_ord")
     last = lambda p, ok: F.max_by(F.when((F.col("p") == p) & ok, F.col("o")), F.when((F.col("p") == p) & ok, F.col("triple_ord")))
     lit, any_ = F.col("o_kind") == "literal", F.lit(True)
-    return used.join(m, ["doc", "chunk_ord", "pred"], "left").groupBy("doc", "chunk_ord", "pred", "at").agg(
+    return used.join(apart(m), ["doc", "chunk_ord", "pred"], "left").groupBy("doc", "chunk_ord", "pred", "at").agg(
         last(LABEL, lit).alias("label"),
         last(COMMENT, lit).alias("comment"),
         last(DOMAIN_OF, any_).alias("domain"),
@@ -165,16 +171,16 @@ def leaders(edges: DataFrame) -> DataFrame:
     open_ = edges.select("doc", F.col("i1").alias("i")).unionByName(edges.select("doc", F.col("i2").alias("i"))).distinct()
     todo, lead = edges, None
     while open_.limit(1).count():
-        now = written(open_.join(todo.select("doc", F.col("i2").alias("i")).distinct(), ["doc", "i"], "left_anti"), "leaders")
+        now = written(open_.join(apart(todo.select("doc", F.col("i2").alias("i")).distinct()), ["doc", "i"], "left_anti"), "leaders")
         lead = now if lead is None else lead.unionByName(now)
-        claimed = edges.join(now.withColumnRenamed("i", "i1"), ["doc", "i1"], "left_semi").select("doc", F.col("i2").alias("i"))
+        claimed = edges.join(apart(now.withColumnRenamed("i", "i1")), ["doc", "i1"], "left_semi").select("doc", F.col("i2").alias("i"))
         decided = now.unionByName(claimed).distinct()
-        open_ = written(open_.join(decided, ["doc", "i"], "left_anti"), "undecided")
+        open_ = written(open_.join(apart(decided), ["doc", "i"], "left_anti"), "undecided")
         for side in ("i1", "i2"):
-            todo = todo.join(open_.withColumnRenamed("i", side), ["doc", side], "left_semi")
+            todo = todo.join(apart(open_.withColumnRenamed("i", side)), ["doc", side], "left_semi")
         todo = written(todo.select("doc", "i1", "i2"), "undecided-edges")
     lead = open_ if lead is None else lead
-    led = edges.join(lead.withColumnRenamed("i", "i1"), ["doc", "i1"], "left_semi").groupBy("doc", F.col("i2").alias("i")).agg(F.min("i1").alias("leader"))
+    led = edges.join(apart(lead.withColumnRenamed("i", "i1")), ["doc", "i1"], "left_semi").groupBy("doc", F.col("i2").alias("i")).agg(F.min("i1").alias("leader"))
     heads = led.select("doc", F.col("leader").alias("i")).distinct()
     return heads.withColumn("leader", F.col("i")).unionByName(led)
 
@@ -183,7 +189,7 @@ def best_labels(meta: DataFrame, clusters: DataFrame) -> DataFrame:
     """Of each cluster: the local name and label of the member with the longest label, of equals the first."""
     order = F.col("i").cast("long")
     rank = F.struct(F.coalesce(F.length("label"), F.lit(0)), -order)
-    m = meta.join(clusters, ["doc", "i"])
+    m = meta.join(apart(clusters), ["doc", "i"])
     return m.groupBy("doc", "leader").agg(F.max_by("local_name", rank).alias("local_name"), F.nullif(F.max_by(F.coalesce("label", F.lit("")), rank), F.lit("")).alias("label"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
 
 
@@ -191,7 +197,7 @@ def most_complete(meta: DataFrame, clusters: DataFrame) -> DataFrame:
     """Of each cluster of predicates: the local name of the member with most fields set, and the longest value of each."""
     order = F.col("i").cast("long")
     filled = sum((F.coalesce(F.col(c), F.lit("")) != "").cast("int") for c in ("label", "comment", "domain", "range"))
-    m = meta.join(clusters, ["doc", "i"])
+    m = meta.join(apart(clusters), ["doc", "i"])
     return m.groupBy("doc", "leader").agg(F.max_by("local_name", F.struct(filled, -order)).alias("local_name"), *(_longest(c, order) for c in ("label", "comment", "domain", "range")), F.bool_or("is_explicit").alias("is_explicit"))
 
 
@@ -210,16 +216,17 @@ def canonical(groups: DataFrame, doc_ns: Column) -> DataFrame:
 
 
 def mapping(meta: DataFrame, clusters: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    return clusters.join(named.select("doc", "leader", "canonical"), ["doc", "leader"]).join(meta.select("doc", "i", F.col(key).alias("original")), ["doc", "i"]).select("doc", "original", "canonical")
+    return clusters.join(apart(named.select("doc", "leader", "canonical")), ["doc", "leader"]).join(apart(meta.select("doc", "i", F.col(key).alias("original"))), ["doc", "i"]).select("doc", "original", "canonical")
 
 
 def rewritten(triples: DataFrame, entities: DataFrame, predicates: DataFrame, chunk: Column) -> DataFrame:
     """Terms by their canonical IRIs; literals stay, and triples about the chunk itself go."""
     e, p = entities, predicates
     t = triples.withColumn("chunk", chunk).where("s <> chunk")
-    t = t.join(e.select("doc", F.col("original").alias("s"), F.col("canonical").alias("s2")), ["doc", "s"], "left")
+    t = t.join(apart(e.select("doc", F.col("original").alias("s"), F.col("canonical").alias("s2"))), ["doc", "s"], "left")
     t = t.join(p.select("doc", F.col("original").alias("p"), F.col("canonical").alias("p2")), ["doc", "p"], "left")
-    t = t.withColumn("o_iri", F.when(F.col("o_kind") == "iri", F.col("o"))).join(e.select("doc", F.col("original").alias("o_iri"), F.col("canonical").alias("o2")), ["doc", "o_iri"], "left")
+    # By what stands there, literals too: as nulls all of a document's would meet in one task.
+    t = t.join(apart(e.select("doc", F.col("original").alias("o"), F.lit("iri").alias("o_kind"), F.col("canonical").alias("o2"))), ["doc", "o", "o_kind"], "left")
     return t.select("doc", "chunk_ord", "chunk", F.coalesce("s2", "s").alias("s"), "s_kind", F.coalesce("p2", "p").alias("p"), F.coalesce("o2", "o").alias("o"), "o_kind", "o_dt", "o_lang")
 
 
@@ -246,8 +253,8 @@ def aggregated(triples: DataFrame, doc_ns: Column, chunk: Column) -> DataFrame:
     em, pm = written(mapping(meta, ec, groups, "e"), "entity-map"), written(mapping(pmeta, pc, pgroups, "pred"), "predicate-map")
     new = rewritten(triples, em, pm, chunk)
     chunks = triples.withColumn("chunk", chunk).select("doc", "chunk").distinct()
-    alone = meta.join(em.select("doc", F.col("original").alias("e")), ["doc", "e"], "left_anti")
-    palone = pmeta.join(pm.select("doc", F.col("original").alias("pred")), ["doc", "pred"], "left_anti").where(F.startswith(F.col("pred"), doc_ns))
+    alone = meta.join(apart(em.select("doc", F.col("original").alias("e"))), ["doc", "e"], "left_anti")
+    palone = pmeta.join(apart(pm.select("doc", F.col("original").alias("pred"))), ["doc", "pred"], "left_anti").where(F.startswith(F.col("pred"), doc_ns))
     pall = pgroups.select("doc", F.col("canonical").alias("pred"), "label", "comment", "domain", "range", "is_explicit").unionByName(palone.select("doc", "pred", "label", "comment", "domain", "range", "is_explicit"))
     set_ = lambda c: F.nullif(F.col(c), F.lit(""))
     parts = [

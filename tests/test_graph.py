@@ -44,6 +44,25 @@ def test_two_chunks_connect_and_aggregate(spark):
     assert graph.connectivity(graph.components(one)).first().num_components == 1
 
 
+def test_entities_are_not_broadcast(spark):
+    t = table(spark, two_chunks())
+    m = entities.numbered(entities.entity_meta(t))
+    to = m.select("doc", F.col("e").alias("original"), F.col("e").alias("canonical"))
+    clusters = m.select("doc", "i", F.col("i").alias("leader"))
+    groups = clusters.select("doc", "leader", F.lit("x").alias("canonical"))
+    for df in (m, entities.entity_edges(m), entities.entity_classes(m), entities.best_labels(m, clusters), entities.mapping(m, clusters, groups, "e"), entities.rewritten(t, to, to.hint("merge"), chunk())):  # predicates are left to Spark otherwise
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_literals_are_not_renamed(spark):
+    t = table(spark, [("d", 0, "h", "http://o/x", "p", "http://o/x", "iri"), ("d", 0, "h", "http://o/x", "p", "http://o/x", "literal")])
+    to = spark.createDataFrame([("d", "http://o/x", "new")], "doc string, original string, canonical string")
+    got = {(r.s, r.o, r.o_kind) for r in entities.rewritten(t, to, to.where("false"), chunk()).collect()}
+    assert got == {("new", "new", "iri"), ("new", "http://o/x", "literal")}
+
+
 def test_split_is_a_partition(spark):
     rows = [("d", 0, "h", f"{D}/x", "p", "o", "literal"), ("d", 0, "h", "http://o/x", "p", f"{D}/y", "iri"), ("d", 0, "h", "http://o/x", "p", f"{D}/y", "literal"), ("d", 0, "h", "http://o/x", f"{D}/p", "o", "literal")]
     got = graph.split(table(spark, rows)).orderBy("triple_ord").collect()
