@@ -7,7 +7,6 @@ cost is a fixed number of vector operations a byte.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.session import ship
+from graphloom.session import give_back, ship
 
 #: Bytes that are worked on at once; a longer document is a chunk of its own.
 CHUNK = 1 << 18
@@ -156,12 +155,6 @@ def pieces(b: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.Reco
         yield b.slice(i, j - i)
 
 
-try:
-    _trim = ctypes.CDLL(None).malloc_trim
-except (AttributeError, OSError, TypeError):  # not the GNU C library
-    _trim = None
-
-
 #: What this worker keeps from task to task; a task that doesn't ask for it drops it.
 _KEPT: dict[str, object] = {}
 
@@ -180,14 +173,6 @@ def begin(key: str | None = None) -> None:
     give_back()
 
 
-def give_back() -> None:
-    """Free memory to the system, not to the next task: the worker lives on, beside others and the JVM, and the C library would keep what
-    arrays below its own threshold took, which grows with use."""
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-
-
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int | None = None, text: str = "text", keep: str | None = None) -> DataFrame:
     """df through a function of record batches, of at most that many bytes of the column text if told so; make() is called once a task. keep: key of what the
     worker keeps for the next one."""

@@ -10,9 +10,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import give_back, ship
+
 #: Sentence ends for plain text, and for Markdown: before headings and list items, and after a sentence before a long capitalised word.
 PLAIN = r"(?<=[!.?])\s+"
 _LONG_NAME = r"(?<=[.!?])(?<=[a-z].)\s+(?=[A-Z]\w{8})"
@@ -130,9 +133,11 @@ def start_indices(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("start_index", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
 
 
-#: The number and sign of each word that was met, so that a word is hashed once a worker; started anew beyond so many.
+#: The number and sign of each word that was met, so that a common word is hashed once a worker; started anew at so many. Longer words aren't kept.
 _SLOTS: dict[str, int] = {}
-KEPT_WORDS = 1_000_000
+KEPT_WORDS, KEPT_LENGTH = 50_000, 40
+#: Characters of documents whose chunks leave a worker at once.
+AT_ONCE = 2 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -145,12 +150,14 @@ class Hashed:
 
     def slots(self, text: str) -> list[int]:
         """Of each word 2 * number + (1 if it counts up)."""
-        if len(_SLOTS) > KEPT_WORDS:
-            _SLOTS.clear()
         out = []
         for w in _WORD.findall(text.lower()):
             if (h := _SLOTS.get(w)) is None:
-                h = _SLOTS[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+                if len(w) <= KEPT_LENGTH:
+                    if len(_SLOTS) >= KEPT_WORDS:
+                        _SLOTS.clear()
+                    _SLOTS[w] = h
             out.append(h)
         return [(h >> 1) % self.width * 2 + (h & 1) for h in out]
 
@@ -218,11 +225,24 @@ def recursive(text: str, cfg: Chunking, embed: Callable[[pd.Series], list[np.nda
 
 
 def chunk_documents(docs: DataFrame, cfg: Chunking = Chunking(), max_chunks: int | None = None, embed: Callable[[pd.Series], list[np.ndarray]] = hashed_vectors) -> DataFrame:  # noqa: B008
-    """doc, chunk_ord, text of documents (doc, text), a batch of documents at a time. Null texts have no chunk, an empty one an empty chunk."""
+    """doc, chunk_ord, text of documents (doc, text). Null texts have no chunk, an empty one an empty chunk. Batches are bounded by bytes on their way in
+    (session.ship), and by AT_ONCE characters, to the end of a document, on their way out."""
+    ship(docs.sparkSession)
+    schema = pa.schema([("doc", pa.string()), ("chunk_ord", pa.int32()), ("text", pa.string())])
 
     def split(batches):
         for b in batches:
-            rows = [(d, i, c) for d, t in zip(b.doc, b.text, strict=True) if t is not None for i, c in enumerate(recursive(t, cfg, embed)[:max_chunks])]
-            yield pd.DataFrame(rows, columns=["doc", "chunk_ord", "text"])
-
-    return docs.select("doc", "text").mapInPandas(split, "doc string, chunk_ord int, text string")
+            rows, size = [], 0
+            for d, t in zip(b.column("doc"), b.column("text"), strict=True):
+                if t.is_valid:
+                    rows += [(d.as_py(), i, c) for i, c in enumerate(recursive(t.as_py(), cfg, embed)[:max_chunks])]
+                    size += len(t.as_py())
+                if size >= AT_ONCE:
+                    yield pa.record_batch(list(zip(*rows, strict=True)) or [[], [], []], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.record_batch(list(zip(*rows, strict=True)), schema=schema)
+            b = rows = d = t = None
+            give_back()
+
+    return docs.select(F.col("doc").cast("string").alias("doc"), "text").mapInArrow(split, "doc string, chunk_ord int, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -13,12 +14,18 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch that Spark sends to Python, to the end of a row, unless the session says otherwise. Spark's own bound is 10,000 rows of whatever size, which
 #: the JVM holds outside of its heap and the worker beside its work. Less than the 8 MB that are worked on at once, or the last row would often be a piece of its own.
 BATCH_BYTES, _BATCH_CONF = 7 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not the GNU C library
+    _trim = None
+
 _SHIPPED: set[str] = set()
 #: Tables of each application that no scope holds, and those of the scope that is open here.
 _TABLES: dict[str, list[str]] = {}
@@ -55,6 +62,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def give_back() -> None:
+    """Free memory to the system, not to the next task: the worker lives on, beside others and the JVM, and the C library would keep what
+    arrays below its own threshold took, which grows with use."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor costs
     only the tasks that it ran; what is written stays."""

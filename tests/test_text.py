@@ -128,6 +128,26 @@ def test_recursion():
     assert chunking.recursive("short", cfg) == ["short"] and chunking.recursive("", cfg) == [""] and chunking.recursive("x" * 500, cfg) == ["x" * 500]
 
 
+def test_chunking_keeps_a_bounded_number_of_words(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)) + " " + "x" * 5000 + " w1"
+    want = chunking.Hashed().slots(text)
+    monkeypatch.setattr(chunking, "_SLOTS", {})
+    monkeypatch.setattr(chunking, "KEPT_WORDS", 100)
+    assert chunking.Hashed().slots(text) == want and want[1] == want[-1]
+    assert 0 < len(chunking._SLOTS) <= 100 and max(map(len, chunking._SLOTS)) < 100
+
+
+def test_chunks_of_a_batch_leave_in_parts(spark):
+    texts = [f"Text {i} is one. It has two sentences." if i % 3 else None for i in range(60)]
+    conf, at_once = "spark.sql.execution.arrow.maxBytesPerBatch", chunking.AT_ONCE
+    try:
+        chunking.AT_ONCE = 30
+        c = chunking.chunk_documents(docs_of(spark, texts).coalesce(1))
+        assert sorted(r.text for r in c.collect()) == sorted(t for t in texts if t) and spark.conf.get(conf)
+    finally:
+        chunking.AT_ONCE = at_once
+
+
 def test_chunk_documents(spark):
     c = chunking.chunk_documents(docs_of(spark, ["a. b.", None, ""]))
     assert sorted((r.doc, r.chunk_ord, r.text) for r in c.collect()) == [("0", 0, "a. b."), ("2", 0, "")]
