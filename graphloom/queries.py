@@ -731,7 +731,7 @@ def json_to_md(spark, sf):
 @query("turtle_roundtrip", f"select doc, chunk_ord, {', '.join(V.TRIPLE)} from t_part")
 def turtle_roundtrip(spark, sf):
     t = turtle.rendered(t_part(spark, sf), "doc", "chunk_ord")
-    return t.select("doc", "chunk_ord", F.explode(turtle.parsed(F.col("turtle"))).alias("t")).select("doc", "chunk_ord", *(f"t.{c}" for c in V.TRIPLE))
+    return turtle.triples_of(t, "turtle").select("doc", "chunk_ord", *V.TRIPLE)
 
 
 @query("graph_sizes", f"select doc, chunk_ord, count(*) filter ({_FACT}) as facts, count(*) filter (not {_FACT}) as ontology from t_mixed group by doc, chunk_ord")

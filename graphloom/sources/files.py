@@ -78,7 +78,7 @@ def ontologies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Ontologies of the *.ttl files of a folder, by name, and their triples; a file that can't be read is left out. Title, version and IRI come from
     the ontology's own triples."""
     files = spark.read.option("pathGlobFilter", "*.ttl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    t = files.select("path", turtle.parsed(F.col("value")).alias("t")).where("t is not null").select("path", F.explode("t").alias("t")).select("path", "t.*")
+    t = turtle.triples_of(files, "value")
     return summaries(t, "path"), t
 
 

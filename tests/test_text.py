@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,6 +129,20 @@ def test_recursion():
     assert chunking.recursive("short", cfg) == ["short"] and chunking.recursive("", cfg) == [""] and chunking.recursive("x" * 500, cfg) == ["x" * 500]
 
 
+def test_turtle_is_read_and_written_a_graph_at_a_time(spark, monkeypatch):
+    assert isinstance(turtle.Parser(TTL).tokens, Iterator)  # one token is held, not all
+    rows = [(f"g{g}", k, f"http://o/{g}/{n}", "iri", f"http://o/p{n % 3}", f'a "{n}" é', "literal", None, "en") for g in range(5) for k in range(2) for n in range(7 * g + 1)]
+    t = spark.createDataFrame(rows, "doc string, k int, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    for at_once in (3, 10_000):
+        monkeypatch.setattr(turtle, "AT_ONCE", at_once)
+        monkeypatch.setattr(turtle, "TEXT_AT_ONCE", at_once)
+        texts = turtle.rendered(t.coalesce(1), "doc", "k")
+        assert {(r.doc, r.k): r.turtle for r in texts.collect()} == {(f"g{g}", k): turtle.render([r[2:] for r in rows if r[:2] == (f"g{g}", k)]) for g in range(5) for k in range(2)}
+        got = turtle.triples_of(texts.unionByName(spark.createDataFrame([("bad", 0, "<a> <b> ."), ("none", 0, None)], texts.schema)), "turtle").coalesce(1)
+        assert got.columns == ["doc", "k", "triple_ord", *t.columns[2:]] and sorted(map(str, got.drop("triple_ord").collect())) == sorted(map(str, t.collect()))
+        assert got.groupBy("doc", "k").agg({"triple_ord": "max"}).where("`max(triple_ord)` + 1 <> 7 * substr(doc, 2) + 1").count() == 0
+
+
 def test_chunking_keeps_a_bounded_number_of_words(monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000)) + " " + "x" * 5000 + " w1"
     want = chunking.Hashed().slots(text)
